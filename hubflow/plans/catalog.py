@@ -24,3 +24,219 @@ KPI_DOUBLES = ("avg_segment_delay", "std_delay", "median_delay")
 def q_hub_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-supplier-hub delay KPIs with dense delay rank."""
     return K.hub_kpis(journeys_long(spark, sf_dir, "supplier"))
+
+
+# ------------------------------------------------------- transits and edges
+def _succ(spark, sf_dir, hub="supplier"):
+    from hubflow.operators.journeys import with_successor
+    return with_successor(journeys_long(spark, sf_dir, hub))
+
+
+def _t(spark, sf_dir, variant, hub="supplier"):
+    from hubflow.operators.journeys import transits
+    return transits(None, variant, successors=_succ(spark, sf_dir, hub))
+
+
+EMBED_EDGES_SQL = """SELECT src, dst, count(leg_id) AS flow_volume, avg(delay_mins) AS avg_delay
+FROM t_embed GROUP BY src, dst"""
+ROUTER_EDGES_SQL = """SELECT src, dst, avg_delay, volume, std_delay,
+  greatest(0.1, avg_delay + 0.5 * std_delay + 50.0 / (volume + 1)) AS weight
+FROM (SELECT src, dst, avg(delay_mins) AS avg_delay, count(leg_id) AS volume,
+             coalesce(stddev_samp(delay_mins), 0.0) AS std_delay
+      FROM t_router GROUP BY src, dst) e"""
+
+
+@register("transit_edges_embed", doubles=("avg_delay",), ops="W1(V1) P16 P17 P20 A3 G1",
+          sql=f"WITH {S.transits_ctes(variants=('embed',))} {EMBED_EDGES_SQL}")
+def q_transit_edges_embed(spark, sf_dir):
+    """Embed-graph edges: movement count and mean delay per hub pair."""
+    from hubflow.operators.network import embed_edges
+    return embed_edges(_t(spark, sf_dir, "embed"))
+
+
+@register("transit_edges_router", doubles=("avg_delay", "std_delay", "weight"),
+          ops="W1(V2) A4 G3",
+          sql=f"WITH {S.transits_ctes(variants=('router',))} {ROUTER_EDGES_SQL}")
+def q_transit_edges_router(spark, sf_dir):
+    """Router-graph edges with the composite cost weight."""
+    from hubflow.operators.network import router_edges
+    return router_edges(_t(spark, sf_dir, "router")).select(
+        "src", "dst", "avg_delay", "volume", "std_delay", "weight")
+
+
+@register("graph_counts", ops="A15 G13", sql=f"""
+WITH {S.transits_ctes(variants=('embed', 'router'))},
+ee AS (SELECT DISTINCT src, dst FROM t_embed),
+re AS (SELECT DISTINCT src, dst FROM t_router)
+SELECT 'embed' AS graph,
+  (SELECT count(*) FROM (SELECT src AS h FROM ee UNION SELECT dst FROM ee) n WHERE h IS NOT NULL) AS n_nodes,
+  (SELECT count(*) FROM ee) AS n_edges
+UNION ALL
+SELECT 'router',
+  (SELECT count(*) FROM (SELECT src AS h FROM re UNION SELECT dst FROM re) n WHERE h IS NOT NULL),
+  (SELECT count(*) FROM re)""")
+def q_graph_counts(spark, sf_dir):
+    """Node and edge counts of the embed and router graphs."""
+    from hubflow.operators.network import embed_edges, graph_counts, router_edges
+    s = _succ(spark, sf_dir).persist()
+    from hubflow.operators.journeys import transits
+    e = graph_counts(embed_edges(transits(None, "embed", successors=s)))
+    r = graph_counts(router_edges(transits(None, "router", successors=s)))
+    return (e.select(F.lit("embed").alias("graph"), "*")
+            .unionByName(r.select(F.lit("router").alias("graph"), "*")))
+
+
+NODES_SQL = f"""WITH {S.transits_ctes(variants=('embed',))}, {S.hub_kpis_cte()},
+nodes AS (SELECT src AS hub_id FROM t_embed UNION SELECT dst FROM t_embed)
+SELECT n.hub_id, coalesce(k.total_outgoing_flow, 0) AS total_outgoing_flow,
+       coalesce(k.avg_segment_delay, 0.0) AS avg_segment_delay,
+       coalesce(k.std_delay, 0.0) AS std_delay
+FROM nodes n LEFT JOIN kpis k ON n.hub_id = k.hub_id"""
+
+
+def _network_nodes(spark, sf_dir):
+    from hubflow.operators.network import embed_edges, graph_nodes, node_features
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    from hubflow.operators.journeys import transits
+    nodes = graph_nodes(embed_edges(transits(long_df, "embed")))
+    return node_features(nodes, K.hub_kpis(long_df, sort=False))
+
+
+@register("network_nodes", doubles=("avg_segment_delay", "std_delay"), ops="A15 J1 J7",
+          sql=NODES_SQL)
+def q_network_nodes(spark, sf_dir):
+    """Embed-graph nodes with their KPI features (missing -> 0)."""
+    return _network_nodes(spark, sf_dir)
+
+
+@register("standardised_nodes", ops="G2 J1",
+          doubles=("z_total_outgoing_flow", "z_avg_segment_delay", "z_std_delay"),
+          sql=f"""WITH base AS ({NODES_SQL})
+SELECT hub_id,
+  (total_outgoing_flow - avg(total_outgoing_flow) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(total_outgoing_flow) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(total_outgoing_flow) OVER () END AS z_total_outgoing_flow,
+  (avg_segment_delay - avg(avg_segment_delay) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(avg_segment_delay) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(avg_segment_delay) OVER () END AS z_avg_segment_delay,
+  (std_delay - avg(std_delay) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(std_delay) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(std_delay) OVER () END AS z_std_delay
+FROM base""")
+def q_standardised_nodes(spark, sf_dir):
+    """Z-scored node features (population std, zero variance -> /1)."""
+    from hubflow.operators.network import standardise
+    cols = ["total_outgoing_flow", "avg_segment_delay", "std_delay"]
+    z = standardise(_network_nodes(spark, sf_dir), cols, suffix="_z")
+    return z.select("hub_id", *[F.col(c + "_z").alias("z_" + c) for c in cols])
+
+
+FLOW_TOP_SQL = f"""WITH {S.transits_ctes(variants=('flow',))},
+p AS (SELECT src, dst, count(leg_id) AS flow_count, avg(delay_mins) AS avg_delay
+      FROM t_flow GROUP BY src, dst),
+top AS (SELECT * FROM p ORDER BY flow_count DESC, src, dst LIMIT 15)"""
+
+
+@register("flow_paths_top", doubles=("avg_delay",), ops="W1(V5) A6 O3",
+          sql=f"{FLOW_TOP_SQL} SELECT * FROM top")
+def q_flow_paths_top(spark, sf_dir):
+    """Top 15 hub-to-hub flows over all stages."""
+    from hubflow.operators.network import flow_paths
+    return flow_paths(_t(spark, sf_dir, "flow"), top_n=15)
+
+
+@register("sankey_nodes", ops="X2 O7", sql=f"""{FLOW_TOP_SQL},
+n AS (SELECT src AS hub_id FROM top UNION SELECT dst FROM top)
+SELECT hub_id, CAST(row_number() OVER (ORDER BY hub_id) - 1 AS INTEGER) AS node_index FROM n""")
+def q_sankey_nodes(spark, sf_dir):
+    """Node list (with index) of the top-15 flow Sankey."""
+    from hubflow.operators.network import flow_paths, sankey_nodes
+    return sankey_nodes(flow_paths(_t(spark, sf_dir, "flow"), top_n=15))
+
+
+# ------------------------------------------------------------------- costs
+COST_ROWS_SQL = f"""WITH {S.transits_ctes(variants=('cost',))}, {S.hub_kpis_cte()},
+rows_ AS (SELECT *, delay_mins * 5.0 AS delay_cost,
+                 greatest(0.0, (delay_mins - 60) / 60.0) * 0.02 * 100.0 AS penalty_cost
+          FROM t_cost),
+cr AS (SELECT *, delay_cost + penalty_cost AS total_cost FROM rows_)"""
+
+
+@register("delay_costs_hub", ops="W1(V4) F1 A7 J6",
+          doubles=("total_cost", "avg_delay", "cost_per_shipment"), sql=f"""{COST_ROWS_SQL}
+SELECT h.src AS hub_id, h.total_cost, h.shipments, h.avg_delay, k.total_outgoing_flow,
+       h.total_cost / h.shipments AS cost_per_shipment
+FROM (SELECT src, sum(total_cost) AS total_cost, count(leg_id) AS shipments,
+             avg(delay_mins) AS avg_delay FROM cr GROUP BY src) h
+LEFT JOIN kpis k ON h.src = k.hub_id""")
+def q_delay_costs_hub(spark, sf_dir):
+    """Per-hub delay cost table (signed cost, penalty, flow)."""
+    from hubflow.operators import cost as C
+    from hubflow.operators.journeys import transits
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    rows = C.cost_rows(transits(long_df, "cost"))
+    return C.hub_costs(rows, K.hub_kpis(long_df, sort=False)).select(
+        "hub_id", "total_cost", "shipments", "avg_delay", "total_outgoing_flow",
+        "cost_per_shipment")
+
+
+TOTALS_SQL = """SELECT coalesce(sum(total_cost), 0.0) AS total_cost,
+  coalesce(sum(delay_cost), 0.0) AS total_delay_cost,
+  coalesce(sum(penalty_cost), 0.0) AS total_penalty_cost,
+  avg(total_cost) AS avg_cost_per_shipment,
+  coalesce(sum(CASE WHEN delay_cost > 0 THEN delay_cost END), 0.0) AS late_delay_cost,
+  count(*) AS movements FROM cr"""
+
+
+@register("delay_costs_total", ops="A8 F1",
+          doubles=("total_cost", "total_delay_cost", "total_penalty_cost",
+                   "avg_cost_per_shipment", "late_delay_cost"),
+          sql=f"{COST_ROWS_SQL} {TOTALS_SQL}")
+def q_delay_costs_total(spark, sf_dir):
+    """Network delay-cost totals (one row)."""
+    from hubflow.operators import cost as C
+    return C.network_totals(C.cost_rows(_t(spark, sf_dir, "cost")))
+
+
+# --- fixed values: the three what-if scenarios of the ROI query ---
+SCENARIOS = [
+    ("Hub capacity expansion", 15.0, 250000.0),
+    ("Dynamic re-routing", 8.0, 0.0),
+    ("Status quo", 0.0, 50000.0),
+]
+# --- end of fixed values ---
+
+
+def _scen_values():
+    return ", ".join(f"('{n}', {p}, {c})" for n, p, c in SCENARIOS)
+
+
+@register("scenario_roi", ops="F2 O6",
+          doubles=("annual_savings", "implementation_cost", "payback_months", "roi_3year_pct"),
+          sql=f"""{COST_ROWS_SQL}, tot AS ({TOTALS_SQL}),
+sc(name, delay_reduction_pct, implementation_cost) AS (VALUES {_scen_values()}),
+s2 AS (SELECT name AS scenario,
+              (SELECT total_cost FROM tot) * delay_reduction_pct / 100 AS annual_savings,
+              greatest(1.0, implementation_cost) AS implementation_cost FROM sc)
+SELECT scenario, annual_savings, implementation_cost,
+  CASE WHEN annual_savings > 0 THEN implementation_cost / (annual_savings / 12)
+       ELSE CAST('Infinity' AS DOUBLE) END AS payback_months,
+  (annual_savings * 3 - implementation_cost) / implementation_cost * 100 AS roi_3year_pct
+FROM s2""")
+def q_scenario_roi(spark, sf_dir):
+    """ROI of three improvement scenarios against the current delay cost."""
+    from hubflow.operators import cost as C
+    totals = C.network_totals(C.cost_rows(_t(spark, sf_dir, "cost")))
+    return C.scenario_roi(totals, C.scenarios_frame(spark, SCENARIOS))
+
+
+# ---------------------------------------------------------------- patterns
+@register("late_patterns", ops="A11 A12 M8 S6", sql=f"""WITH {S.journeys_cte()},
+seqs AS (SELECT leg_id, string_agg(hub_id, ' -> ' ORDER BY planned_mins, seq) AS pattern
+         FROM journeys WHERE delay_mins > 30 GROUP BY leg_id)
+SELECT pattern, count(*) AS frequency FROM seqs GROUP BY pattern
+ORDER BY frequency DESC, pattern LIMIT 10""")
+def q_late_patterns(spark, sf_dir):
+    """Top 10 hub sequences of late milestones (delay > 30 min)."""
+    from hubflow.operators.patterns import late_patterns
+    return late_patterns(journeys_long(spark, sf_dir, "supplier"), 30, 10)
