@@ -240,3 +240,149 @@ def q_late_patterns(spark, sf_dir):
     """Top 10 hub sequences of late milestones (delay > 30 min)."""
     from hubflow.operators.patterns import late_patterns
     return late_patterns(journeys_long(spark, sf_dir, "supplier"), 30, 10)
+
+
+# --------------------------------------------------------------------- EDA
+EDA_COLS = ["planned_mins", "effective_mins", "delay_mins"]
+
+
+def _eda_input(spark, sf_dir):
+    from hubflow.operators.clean import numeric_metrics
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    return long_df, numeric_metrics(long_df)
+
+
+def _pairs_sql():
+    parts = []
+    for a in EDA_COLS:
+        for b in EDA_COLS:
+            parts.append(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, "
+                         f"corr({a}, {b}) AS correlation FROM journeys")
+    return " UNION ALL ".join(parts)
+
+
+@register("corr_matrix", doubles=("correlation",), ops="P18 E1 X7 S7",
+          sql=f"WITH {S.journeys_cte()} {_pairs_sql()}")
+def q_corr_matrix(spark, sf_dir):
+    """Pearson correlations of planned, effective and delay minutes (long form)."""
+    from hubflow.operators.eda import correlation_matrix
+    df, cols = _eda_input(spark, sf_dir)
+    return correlation_matrix(df, cols)
+
+
+def _vif_sql():
+    a, b, c = EDA_COLS
+    g = {}
+    for x in EDA_COLS:
+        for y in EDA_COLS:
+            g[(x, y)] = f"sum(CAST({x} AS DOUBLE) * CAST({y} AS DOUBLE))"
+    return f"""WITH {S.journeys_cte()},
+gm AS (SELECT {g[(a, b)]} / sqrt({g[(a, a)]} * {g[(b, b)]}) AS x,
+              {g[(a, c)]} / sqrt({g[(a, a)]} * {g[(c, c)]}) AS y,
+              {g[(b, c)]} / sqrt({g[(b, b)]} * {g[(c, c)]}) AS z FROM journeys),
+d AS (SELECT *, 1 + 2 * x * y * z - x * x - y * y - z * z AS det FROM gm)
+SELECT '{a}' AS feature, CASE WHEN det > 1e-12 THEN (1 - z * z) / det
+                          ELSE CAST('Infinity' AS DOUBLE) END AS vif FROM d
+UNION ALL SELECT '{b}', CASE WHEN det > 1e-12 THEN (1 - y * y) / det
+                        ELSE CAST('Infinity' AS DOUBLE) END FROM d
+UNION ALL SELECT '{c}', CASE WHEN det > 1e-12 THEN (1 - x * x) / det
+                        ELSE CAST('Infinity' AS DOUBLE) END FROM d"""
+
+
+@register("vif", doubles=("vif",), ops="E2 S7", sql=_vif_sql())
+def q_vif(spark, sf_dir):
+    """No-intercept variance inflation factors of the three minute columns."""
+    from hubflow.operators.eda import vif
+    df, cols = _eda_input(spark, sf_dir)
+    return vif(df, cols)
+
+
+def _skew_sql():
+    parts = []
+    for c in EDA_COLS:
+        parts.append(f"""SELECT '{c}' AS column_name, avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5)
+          AS skewness FROM (SELECT CAST({c} AS DOUBLE) AS v, avg(CAST({c} AS DOUBLE)) OVER () AS m
+          FROM journeys) t""")
+    return f"""WITH {S.journeys_cte()}, sk AS ({' UNION ALL '.join(parts)})
+SELECT column_name, skewness, CASE WHEN skewness > 1 THEN 'Highly Positive Skew'
+  WHEN skewness < -1 THEN 'Highly Negative Skew'
+  WHEN skewness > -0.5 AND skewness < 0.5 THEN 'Fairly Symmetrical'
+  ELSE 'Moderate Skew' END AS interpretation FROM sk"""
+
+
+@register("skewness_report", doubles=("skewness",), ops="E3 S7", sql=_skew_sql())
+def q_skewness_report(spark, sf_dir):
+    """Population skewness and its label per minute column."""
+    from hubflow.operators.eda import skewness_report
+    df, cols = _eda_input(spark, sf_dir)
+    return skewness_report(df, cols)
+
+
+def _hist_sql(bins=30):
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM journeys" for c in EDA_COLS)
+    return f"""WITH {S.journeys_cte()}, lv AS ({parts}),
+rng AS (SELECT column_name, min(value) AS lo, max(value) AS hi FROM lv GROUP BY column_name),
+b AS (SELECT lv.column_name, lo, hi, CASE WHEN hi - lo = 0 THEN 0 ELSE
+        least(CAST(floor((value - lo) * {bins} / (hi - lo)) AS INTEGER), {bins - 1}) END AS bin
+      FROM lv JOIN rng ON lv.column_name = rng.column_name WHERE value IS NOT NULL)
+SELECT column_name, bin, lo + bin * (hi - lo) / {bins} AS bin_start,
+       lo + (bin + 1) * (hi - lo) / {bins} AS bin_end, count(*) AS count
+FROM b GROUP BY column_name, bin, lo, hi"""
+
+
+@register("histogram", doubles=("bin_start", "bin_end"), ops="E4", sql=_hist_sql())
+def q_histogram(spark, sf_dir):
+    """30-bin histograms of the numeric milestone columns."""
+    from hubflow.operators.eda import histogram
+    df, cols = _eda_input(spark, sf_dir)
+    return histogram(df, cols, bins=30)
+
+
+@register("stage_delay_profile", ops="X4",
+          doubles=("q1_delay", "median_delay", "q3_delay", "mean_delay"),
+          sql=f"""WITH {S.journeys_cte()}
+SELECT stage_group, count(delay_mins) AS n, min(delay_mins) AS min_delay,
+  CAST(quantile_cont(delay_mins, 0.25) AS DOUBLE) AS q1_delay,
+  CAST(quantile_cont(delay_mins, 0.5) AS DOUBLE) AS median_delay,
+  CAST(quantile_cont(delay_mins, 0.75) AS DOUBLE) AS q3_delay,
+  max(delay_mins) AS max_delay, avg(delay_mins) AS mean_delay
+FROM journeys GROUP BY stage_group""")
+def q_stage_delay_profile(spark, sf_dir):
+    """Delay distribution summary per stage group."""
+    from hubflow.operators.eda import stage_delay_profile
+    return stage_delay_profile(journeys_long(spark, sf_dir, "supplier"))
+
+
+def _bin_sql(col, lo, hi, bins):
+    return (f"CASE WHEN {hi} - {lo} = 0 THEN 0 ELSE least(CAST(floor(({col} - {lo}) * {bins} "
+            f"/ ({hi} - {lo})) AS INTEGER), {bins - 1}) END")
+
+
+@register("density_grid", ops="X5", sql=f"""WITH {S.journeys_cte()}, {S.hub_kpis_cte()},
+r AS (SELECT min(CAST(total_outgoing_flow AS DOUBLE)) AS xlo, max(CAST(total_outgoing_flow AS DOUBLE)) AS xhi,
+             min(avg_segment_delay) AS ylo, max(avg_segment_delay) AS yhi FROM kpis)
+SELECT {_bin_sql('CAST(total_outgoing_flow AS DOUBLE)', 'xlo', 'xhi', 20)} AS x_bin,
+       {_bin_sql('avg_segment_delay', 'ylo', 'yhi', 20)} AS y_bin, count(*) AS hubs
+FROM kpis, r GROUP BY 1, 2""")
+def q_density_grid(spark, sf_dir):
+    """20 x 20 hub-count grid over flow and mean delay."""
+    from hubflow.operators.eda import density_grid
+    return density_grid(K.hub_kpis(journeys_long(spark, sf_dir, "supplier"), sort=False))
+
+
+@register("hub_quadrants", doubles=KPI_DOUBLES, ops="A13 X1",
+          sql=f"""WITH {S.journeys_cte()}, {S.hub_kpis_cte()},
+c AS (SELECT quantile_cont(total_outgoing_flow, 0.1) AS cut FROM kpis),
+kept AS (SELECT * FROM kpis WHERE total_outgoing_flow >= (SELECT cut FROM c)),
+m AS (SELECT quantile_cont(total_outgoing_flow, 0.5) AS mf,
+             quantile_cont(avg_segment_delay, 0.5) AS md FROM kept)
+SELECT kept.*, CASE
+  WHEN total_outgoing_flow > mf AND avg_segment_delay > md THEN 'Critical Bottleneck'
+  WHEN total_outgoing_flow > mf THEN 'Efficient Major Hub'
+  WHEN avg_segment_delay > md THEN 'Inefficient Small Hub'
+  ELSE 'Efficient Small Hub' END AS hub_category
+FROM kept, m""")
+def q_hub_quadrants(spark, sf_dir):
+    """Hubs above the 10th flow percentile in four flow/delay quadrants."""
+    return K.hub_quadrants(K.hub_kpis(journeys_long(spark, sf_dir, "supplier"), sort=False))
