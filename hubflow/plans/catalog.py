@@ -386,3 +386,41 @@ FROM kept, m""")
 def q_hub_quadrants(spark, sf_dir):
     """Hubs above the 10th flow percentile in four flow/delay quadrants."""
     return K.hub_quadrants(K.hub_kpis(journeys_long(spark, sf_dir, "supplier"), sort=False))
+
+
+# --------------------------------------------------- wide format: clean/U1
+def _clean(spark, sf_dir):
+    from hubflow.operators.clean import clean_wide
+    from hubflow.sources.tables import journeys_wide
+    return clean_wide(journeys_wide(spark, sf_dir))
+
+
+def _wide_sql(tail: str) -> str:
+    from hubflow.plans import widesql as W
+    return f"WITH {W.raw_wide_sql()}, {W.clean_wide_sql()}{tail}"
+
+
+@register("clean_wide", ops="S1 S2 P1-P7 P11", sql=_wide_sql(" SELECT * FROM clean_w"))
+def q_clean_wide(spark, sf_dir):
+    """The raw 98-column journey table after renaming and type cleaning."""
+    return _clean(spark, sf_dir)
+
+
+@register("clean_summary", ops="P8", sql=_wide_sql(""" SELECT
+  CAST(count(*) AS BIGINT) AS total_columns,
+  CAST(sum(CASE WHEN data_type = 'BIGINT' THEN 1 ELSE 0 END) AS BIGINT) AS numeric_columns,
+  CAST(sum(CASE WHEN data_type = 'BIGINT' THEN 0 ELSE 1 END) AS BIGINT) AS non_numeric_columns
+FROM (DESCRIBE SELECT * FROM clean_w) d(column_name, data_type, n, k, df, ex)"""))
+def q_clean_summary(spark, sf_dir):
+    """Column counts of the cleaned wide table (total / numeric / text)."""
+    from hubflow.operators.clean import clean_summary
+    return clean_summary(spark, _clean(spark, sf_dir))
+
+
+@register("unpivot_long", ops="U1 U2 P9 P10 P12 P13",
+          sql=_wide_sql(", " + __import__("hubflow.plans.widesql", fromlist=["x"]).unpivot_sql()
+                        + " SELECT * FROM unpiv"))
+def q_unpivot_long(spark, sf_dir):
+    """Wide journeys unpivoted to one row per milestone."""
+    from hubflow.operators.journeys import unpivot_long
+    return unpivot_long(_clean(spark, sf_dir))
