@@ -424,3 +424,187 @@ def q_unpivot_long(spark, sf_dir):
     """Wide journeys unpivoted to one row per milestone."""
     from hubflow.operators.journeys import unpivot_long
     return unpivot_long(_clean(spark, sf_dir))
+
+
+# ------------------------------------------- cluster metrics on embeddings
+def _vectors(spark, sf_dir):
+    from hubflow.sources.tables import read_table
+    return read_table(spark, sf_dir, "embeddings")
+
+
+VEC_BASE_SQL = """p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x
+       FROM embeddings WHERE label IS NOT NULL),
+pe AS (SELECT label, unnest(x) AS v, unnest(range(len(x))) AS i FROM p),
+cs AS (SELECT label, list(s ORDER BY i) AS s, list(m ORDER BY i) AS centroid FROM
+        (SELECT label, i, sum(v) AS s, avg(v) AS m FROM pe GROUP BY label, i) t GROUP BY label),
+cn AS (SELECT label, count(*) AS n, sum(list_dot_product(x, x)) AS q FROM p GROUP BY label),
+c AS (SELECT cn.label, n, q, s, centroid FROM cn JOIN cs ON cn.label = cs.label)"""
+
+SIL_SQL = f"""WITH {VEC_BASE_SQL},
+d AS (SELECT p.vec_id, p.label AS plabel, c.label AS clabel, c.n,
+        c.n * list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.s) + c.q AS tot
+      FROM p, c),
+ab AS (SELECT vec_id, plabel AS label, max(CASE WHEN clabel = plabel THEN n END) AS own_n,
+        max(CASE WHEN clabel = plabel AND n > 1 THEN tot / (n - 1) END) AS a,
+        min(CASE WHEN clabel <> plabel THEN tot / n END) AS b
+      FROM d GROUP BY vec_id, plabel),
+sil AS (SELECT vec_id, label, CASE WHEN own_n <= 1 OR b IS NULL THEN 0.0
+               ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
+
+
+@register("silhouette_samples", doubles=("silhouette",), ops="C3 J8",
+          sql=f"{SIL_SQL} SELECT * FROM sil")
+def q_silhouette_samples(spark, sf_dir):
+    """Per-vector squared-Euclidean silhouette, label as cluster."""
+    from hubflow.operators.cluster import silhouette_samples
+    return silhouette_samples(_vectors(spark, sf_dir))
+
+
+@register("silhouette_score", doubles=("silhouette",), ops="C3",
+          sql=f"{SIL_SQL} SELECT avg(silhouette) AS silhouette FROM sil")
+def q_silhouette_score(spark, sf_dir):
+    """Mean silhouette of the labelled vectors."""
+    from hubflow.operators.cluster import silhouette_score
+    return silhouette_score(_vectors(spark, sf_dir))
+
+
+@register("poor_fit_points", doubles=("silhouette",), ops="C6 J9",
+          sql=f"{SIL_SQL} SELECT * FROM sil WHERE silhouette < 0.1")
+def q_poor_fit_points(spark, sf_dir):
+    """Vectors whose silhouette is below 0.1."""
+    from hubflow.operators.cluster import poor_fit_points
+    return poor_fit_points(_vectors(spark, sf_dir), 0.1)
+
+
+@register("davies_bouldin", doubles=("davies_bouldin",), ops="C4", sql=f"""WITH {VEC_BASE_SQL},
+sp AS (SELECT p.label, avg(list_distance(p.x, c.centroid)) AS s
+       FROM p JOIN c ON p.label = c.label GROUP BY p.label),
+cc AS (SELECT c.label, c.centroid, sp.s FROM c JOIN sp ON c.label = sp.label),
+r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.centroid, b.centroid)) AS r
+      FROM cc a JOIN cc b ON a.label <> b.label GROUP BY a.label)
+SELECT avg(coalesce(r, 0.0)) AS davies_bouldin FROM cc LEFT JOIN r ON cc.label = r.label""")
+def q_davies_bouldin(spark, sf_dir):
+    """Davies-Bouldin index of the labelled vectors."""
+    from hubflow.operators.cluster import davies_bouldin
+    return davies_bouldin(_vectors(spark, sf_dir))
+
+
+@register("boundary_points", doubles=("margin_ratio",), ops="C7 W4", sql=f"""WITH {VEC_BASE_SQL},
+dd AS (SELECT e.vec_id, e.label, list_distance(CAST(e.embedding AS DOUBLE[]), c.centroid) AS d,
+              row_number() OVER (PARTITION BY e.vec_id ORDER BY
+                list_distance(CAST(e.embedding AS DOUBLE[]), c.centroid)) AS rn
+       FROM embeddings e, c),
+m AS (SELECT vec_id, label, max(CASE WHEN rn = 1 THEN d END) / max(CASE WHEN rn = 2 THEN d END)
+             AS margin_ratio FROM dd GROUP BY vec_id, label)
+SELECT vec_id, margin_ratio, label AS assigned_cluster FROM m WHERE margin_ratio > 0.85""")
+def q_boundary_points(spark, sf_dir):
+    """Vectors nearly equidistant to their two nearest label centroids."""
+    from hubflow.operators.cluster import boundary_points
+    return boundary_points(_vectors(spark, sf_dir))
+
+
+@register("dim_variance", doubles=("variance",), ops="C8 O5", sql="""
+SELECT CAST(i AS INTEGER) AS dimension, var_pop(v) AS variance FROM
+  (SELECT unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS i
+   FROM embeddings) t GROUP BY i""")
+def q_dim_variance(spark, sf_dir):
+    """Population variance of each embedding dimension."""
+    from hubflow.operators.cluster import dim_variance
+    return dim_variance(_vectors(spark, sf_dir))
+
+
+@register("similar_vectors", doubles=("similarity",), ops="C10 O5", sql="""
+WITH t AS (SELECT min(vec_id) AS target_id FROM embeddings GROUP BY label),
+s AS (SELECT t.target_id, e.vec_id AS similar_id,
+             list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
+               AS similarity
+      FROM t JOIN embeddings q ON q.vec_id = t.target_id
+      JOIN embeddings e ON e.vec_id <> t.target_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY target_id
+        ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 5""")
+def q_similar_vectors(spark, sf_dir):
+    """Top-5 cosine neighbours of the first vector of every label."""
+    from hubflow.operators.cluster import similar_vectors
+    v = _vectors(spark, sf_dir)
+    targets = v.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
+    return similar_vectors(v, targets, top_k=5)
+
+
+# ------------------------------------------------- hub cluster analysis
+def _clustered(spark, sf_dir):
+    from hubflow.operators.cluster import attach_clusters
+    from hubflow.sources.tables import read_table
+    labels = read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("hub_id"),
+        F.col("s_nationkey").alias("cluster_label"))
+    return attach_clusters(K.hub_kpis(journeys_long(spark, sf_dir, "supplier"), sort=False), labels)
+
+
+CLUSTERED_SQL = f"""WITH {S.journeys_cte()}, {S.hub_kpis_cte()},
+cl AS (SELECT k.*, s.s_nationkey AS cluster_label FROM kpis k
+       LEFT JOIN supplier s ON k.hub_id = CAST(s.s_suppkey AS VARCHAR)),
+summ AS (SELECT cluster_label, count(*) AS hub_count, avg(total_outgoing_flow) AS avg_flow,
+           CAST(sum(total_outgoing_flow) AS BIGINT) AS total_flow,
+           avg(avg_segment_delay) AS avg_delay, avg(std_delay) AS avg_std_delay
+         FROM cl WHERE cluster_label IS NOT NULL GROUP BY cluster_label)"""
+SUMMARY_DOUBLES = ("avg_flow", "avg_delay", "avg_std_delay")
+
+
+@register("cluster_summary", doubles=SUMMARY_DOUBLES, ops="A9 J5 C2(labels)",
+          sql=f"{CLUSTERED_SQL} SELECT * FROM summ")
+def q_cluster_summary(spark, sf_dir):
+    """Per-cluster hub statistics (cluster = supplier nation)."""
+    from hubflow.operators.cluster import cluster_summary
+    return cluster_summary(_clustered(spark, sf_dir))
+
+
+@register("cluster_interpretation", doubles=SUMMARY_DOUBLES + ("flow_share_pct",),
+          ops="C5 A16", sql=f"""{CLUSTERED_SQL},
+net AS (SELECT sum(total_outgoing_flow) AS tf, avg(total_outgoing_flow) AS af,
+               avg(avg_segment_delay) AS ad FROM cl)
+SELECT summ.*, CASE WHEN tf > 0 THEN total_flow / tf * 100 ELSE 0.0 END AS flow_share_pct,
+  CASE WHEN avg_flow > af AND avg_delay > ad THEN 'CRITICAL BOTTLENECK - High volume with delays'
+       WHEN avg_flow > af THEN 'EFFICIENT MAJOR HUB - High volume, well-performing'
+       WHEN avg_delay > ad THEN 'INEFFICIENT SMALL HUB - Low volume but problematic'
+       ELSE 'STANDARD HUB - Low volume, acceptable performance' END AS cluster_type,
+  CASE WHEN avg_flow > af AND avg_delay > ad
+         THEN 'Priority 1: Urgent capacity expansion or process optimization needed'
+       WHEN avg_flow > af THEN 'Monitor closely and replicate best practices'
+       WHEN avg_delay > ad THEN 'Investigate operational issues or consider consolidation'
+       ELSE 'Standard operations, routine monitoring' END AS recommendation
+FROM summ, net""")
+def q_cluster_interpretation(spark, sf_dir):
+    """Cluster business type and recommendation versus network means."""
+    from hubflow.operators.cluster import cluster_interpretation
+    return cluster_interpretation(_clustered(spark, sf_dir))
+
+
+@register("cluster_top_hubs", doubles=("avg_segment_delay",), ops="W3", sql=f"""{CLUSTERED_SQL},
+r AS (SELECT cluster_label, CAST(row_number() OVER (PARTITION BY cluster_label
+        ORDER BY total_outgoing_flow DESC, hub_id) AS INTEGER) AS rank,
+        hub_id, total_outgoing_flow, avg_segment_delay FROM cl WHERE cluster_label IS NOT NULL)
+SELECT * FROM r WHERE rank <= 5""")
+def q_cluster_top_hubs(spark, sf_dir):
+    """Five busiest hubs per cluster."""
+    from hubflow.operators.cluster import cluster_top_hubs
+    return cluster_top_hubs(_clustered(spark, sf_dir))
+
+
+@register("executive_table", doubles=("avg_flow", "avg_delay"), ops="X3 A10",
+          sql=f"""{CLUSTERED_SQL} SELECT cluster_label, count(*) AS hubs,
+  avg(total_outgoing_flow) AS avg_flow, avg(avg_segment_delay) AS avg_delay
+FROM cl GROUP BY cluster_label""")
+def q_executive_table(spark, sf_dir):
+    """Executive dashboard table: hubs, mean flow, mean delay per cluster."""
+    from hubflow.operators.cluster import executive_table
+    return executive_table(_clustered(spark, sf_dir))
+
+
+@register("hub_profiles", doubles=("avg_segment_delay", "std_delay"), ops="X6",
+          sql=f"""{CLUSTERED_SQL} SELECT hub_id, total_outgoing_flow, avg_segment_delay,
+  std_delay, max_delay, cluster_label FROM cl""")
+def q_hub_profiles(spark, sf_dir):
+    """Hub profile columns with cluster label."""
+    from hubflow.operators.cluster import hub_profiles
+    return hub_profiles(_clustered(spark, sf_dir))
