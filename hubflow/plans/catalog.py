@@ -608,3 +608,160 @@ def q_hub_profiles(spark, sf_dir):
     """Hub profile columns with cluster label."""
     from hubflow.operators.cluster import hub_profiles
     return hub_profiles(_clustered(spark, sf_dir))
+
+
+# ----------------------------------------------------- graph measures
+def _nation_router(spark, sf_dir):
+    from hubflow.operators.network import router_edges
+    return router_edges(_t(spark, sf_dir, "router", hub="nation"))
+
+
+NATION_EDGES_SQL = f"""{S.transits_ctes(hub='nation', variants=('router',))},
+re AS ({ROUTER_EDGES_SQL}),
+nodes AS (SELECT src AS node FROM re WHERE src IS NOT NULL
+          UNION SELECT dst FROM re WHERE dst IS NOT NULL)"""
+
+
+def _apsp_sql(edge_filter: str = "TRUE", unit: bool = False) -> str:
+    w = "CAST(1000000 AS BIGINT)" if unit else "CAST(round(weight * 1000000) AS BIGINT)"
+    sq = []
+    prev = "d1"
+    for k in (2, 4, 8, 16):
+        sq.append(f"""d{k} AS (SELECT a.s, b.v, min(a.d + b.d) AS d FROM {prev} a
+                 JOIN {prev} b ON a.v = b.s GROUP BY a.s, b.v)""")
+        prev = f"d{k}"
+    return f"""ge AS (SELECT src, dst, {w} AS w FROM re
+          WHERE dst IS NOT NULL AND src <> dst AND {edge_filter}),
+gn AS (SELECT node FROM nodes WHERE node IN (SELECT src FROM re WHERE {edge_filter})
+       OR node IN (SELECT dst FROM re WHERE {edge_filter})),
+d0 AS (SELECT node AS s, node AS v, CAST(0 AS BIGINT) AS d FROM gn
+       UNION ALL SELECT src, dst, w FROM ge),
+d1 AS (SELECT s, v, min(d) AS d FROM d0 GROUP BY s, v),
+{', '.join(sq)},
+dag AS (SELECT du.s, ge.src AS u, ge.dst AS v FROM d16 du JOIN ge ON du.v = ge.src
+        JOIN d16 dv ON dv.s = du.s AND dv.v = ge.dst WHERE du.d + ge.w = dv.d),
+paths(s, last, path) AS (SELECT node, node, [node] FROM gn
+        UNION ALL SELECT p.s, g.v, list_append(p.path, g.v) FROM paths p
+        JOIN dag g ON g.s = p.s AND g.u = p.last),
+sig AS (SELECT s, last AS t, count(*) AS sigma FROM paths GROUP BY s, last),
+inter AS (SELECT s, last AS t, unnest(path[2:len(path) - 1]) AS v FROM paths WHERE len(path) > 2),
+bcs AS (SELECT i.v, sum(1.0 / sg.sigma) AS b FROM inter i JOIN sig sg ON i.s = sg.s AND i.t = sg.t
+        GROUP BY i.v),
+nn AS (SELECT count(*) AS n FROM gn),
+bc AS (SELECT gn.node AS hub_id, coalesce(b, 0.0) *
+         CASE WHEN n > 2 THEN 1.0 / ((n - 1) * (n - 2)) ELSE 0.0 END AS centrality
+       FROM gn LEFT JOIN bcs ON gn.node = bcs.v, nn)"""
+
+
+@register("betweenness", doubles=("centrality",), ops="G5 G3",
+          sql=f"WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql()} SELECT * FROM bc")
+def q_betweenness(spark, sf_dir):
+    """Weighted directed betweenness of the nation-hub router graph."""
+    from hubflow.operators.paths import betweenness
+    return betweenness(_nation_router(spark, sf_dir))
+
+
+UNW_FILTER = "volume > (SELECT quantile_cont(volume, 0.5) FROM re)"
+
+
+@register("betweenness_unweighted", doubles=("centrality",), ops="G7",
+          sql=f"WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql(UNW_FILTER, unit=True)} "
+              "SELECT * FROM bc")
+def q_betweenness_unweighted(spark, sf_dir):
+    """Hop-count betweenness on the busier half of the nation router edges."""
+    from hubflow.operators.paths import betweenness
+    e = _nation_router(spark, sf_dir)
+    med = e.select(F.percentile("volume", 0.5)).scalar()
+    return betweenness(e.filter(F.col("volume") > med), weight=None)
+
+
+@register("bottlenecks", doubles=("centrality_score", "avg_hub_delay"), ops="G6 J10 O2",
+          sql=f"""WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql()}, {S.hub_kpis_cte()}
+SELECT bc.hub_id, bc.centrality AS centrality_score, k.total_outgoing_flow AS flow_volume,
+       k.avg_segment_delay AS avg_hub_delay
+FROM bc JOIN kpis k ON bc.hub_id = k.hub_id
+ORDER BY centrality_score DESC, hub_id LIMIT 10""")
+def q_bottlenecks(spark, sf_dir):
+    """Top-10 bottleneck hubs: centrality with flow and mean delay."""
+    from hubflow.operators.paths import betweenness, bottlenecks
+    kp = K.hub_kpis(journeys_long(spark, sf_dir, "nation"), sort=False)
+    return bottlenecks(betweenness(_nation_router(spark, sf_dir)), kp, top_n=10)
+
+
+@register("k_best_routes", doubles=("total_weight", "total_avg_delay"), ops="G4",
+          sql=f"""WITH RECURSIVE {NATION_EDGES_SQL},
+e AS (SELECT src, dst, weight, avg_delay FROM re WHERE dst IS NOT NULL AND src <> dst),
+pairs AS (SELECT src AS source, dst AS target FROM re WHERE dst IS NOT NULL AND src <> dst
+          ORDER BY volume DESC, src, dst LIMIT 5),
+two AS (SELECT p.source, p.target, e.weight AS cost FROM pairs p
+          JOIN e ON e.src = p.source AND e.dst = p.target
+        UNION ALL SELECT p.source, p.target, a.weight + b.weight FROM pairs p
+          JOIN e a ON a.src = p.source JOIN e b ON b.src = a.dst AND b.dst = p.target
+          WHERE a.dst <> p.target),
+ub AS (SELECT source, target, max(cost) AS ub FROM
+         (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY cost) AS rn FROM two) x
+       WHERE rn <= 3 GROUP BY source, target HAVING count(*) = 3),
+rp(source, target, last, path, cost, delay) AS (
+  SELECT source, target, source, [source], CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM pairs
+  UNION ALL SELECT rp.source, rp.target, e.dst, list_append(rp.path, e.dst),
+         rp.cost + e.weight, rp.delay + e.avg_delay
+  FROM rp JOIN e ON e.src = rp.last JOIN ub ON ub.source = rp.source AND ub.target = rp.target
+  WHERE rp.last <> rp.target AND NOT list_contains(rp.path, e.dst)
+    AND rp.cost + e.weight <= ub.ub + 1e-9),
+r AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source, target
+        ORDER BY cost, path) AS INTEGER) AS rank, array_to_string(path, ' -> ') AS path,
+        CAST(len(path) - 1 AS INTEGER) AS hops, cost AS total_weight, delay AS total_avg_delay
+      FROM rp WHERE last = target)
+SELECT * FROM r WHERE rank <= 3""")
+def q_k_best_routes(spark, sf_dir):
+    """Three cheapest simple routes between the ends of the 5 busiest routes."""
+    from hubflow.operators.paths import k_best_routes
+    e = _nation_router(spark, sf_dir)
+    ok = e.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    pairs = ok.orderBy(F.desc("volume"), "src", "dst").limit(5).select(
+        F.col("src").alias("source"), F.col("dst").alias("target"))
+    return k_best_routes(e, pairs, top_k=3)
+
+
+# ------------------------------------------------------ delay features (M1-M3)
+FEATURE_DOUBLES = ("avg_delay_source", "avg_delay_target", "std_delay_source",
+                   "std_delay_target", "route_avg_delay", "route_std_delay", "delay_risk_score")
+
+
+@register("delay_features", doubles=FEATURE_DOUBLES, ops="W1(V3) P21 A5 A14 J2 J3 J4 M1 M2 M3",
+          sql=f"""WITH {S.transits_ctes(variants=('predict',))}, {S.hub_kpis_cte()},
+t AS (SELECT leg_id, seq, src, dst, delay_mins, planned_mins,
+        src || '_' || coalesce(dst, 'nan') AS route_id,
+        coalesce(TRY_CAST(regexp_extract(stage_group, '(\\d+)', 1) AS INTEGER), 1) AS segment_number,
+        (leg_id % 5) = 0 AS is_test FROM t_predict),
+j AS (SELECT t.*, ks.total_outgoing_flow AS flow_source, ks.avg_segment_delay AS avg_delay_source,
+        ks.std_delay AS std_delay_source, kt.total_outgoing_flow AS flow_target,
+        kt.avg_segment_delay AS avg_delay_target, kt.std_delay AS std_delay_target
+      FROM t LEFT JOIN kpis ks ON t.src = ks.hub_id LEFT JOIN kpis kt ON t.dst = kt.hub_id),
+rs AS (SELECT route_id, avg(delay_mins) AS route_avg_delay, stddev_samp(delay_mins) AS route_std_delay,
+        count(delay_mins) AS route_volume FROM j GROUP BY route_id),
+f AS (SELECT j.leg_id, j.seq, j.src, j.dst, j.route_id, j.segment_number,
+        coalesce(flow_source, 0) AS flow_source, coalesce(flow_target, 0) AS flow_target,
+        avg_delay_source, avg_delay_target,
+        coalesce(std_delay_source, 0.0) AS std_delay_source,
+        coalesce(std_delay_target, 0.0) AS std_delay_target,
+        route_avg_delay, coalesce(route_std_delay, 0.0) AS route_std_delay,
+        coalesce(route_volume, 1) AS route_volume,
+        coalesce(planned_mins, 0) AS planned_duration,
+        coalesce(flow_source, 0) * coalesce(flow_target, 0) AS hub_interaction,
+        coalesce(avg_delay_source, 0.0) + coalesce(avg_delay_target, 0.0) AS delay_risk_score,
+        delay_mins, is_test
+      FROM j LEFT JOIN rs ON j.route_id = rs.route_id)
+SELECT leg_id, seq, src, dst, route_id, segment_number, flow_source, flow_target,
+  coalesce(avg_delay_source, (SELECT avg(avg_delay_source) FROM f), 0.0) AS avg_delay_source,
+  coalesce(avg_delay_target, (SELECT avg(avg_delay_target) FROM f), 0.0) AS avg_delay_target,
+  std_delay_source, std_delay_target,
+  coalesce(route_avg_delay, (SELECT avg(route_avg_delay) FROM f), 0.0) AS route_avg_delay,
+  route_std_delay, route_volume, planned_duration, hub_interaction, delay_risk_score,
+  delay_mins, is_test FROM f""")
+def q_delay_features(spark, sf_dir):
+    """The 13 delay-prediction features per transport movement, with split flag."""
+    from hubflow.operators.journeys import transits
+    from hubflow.operators.predict import delay_features
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    return delay_features(transits(long_df, "predict"), K.hub_kpis(long_df, sort=False))
