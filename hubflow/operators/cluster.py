@@ -227,7 +227,8 @@ def pca_2d(points: DataFrame, vec: str = "embedding", key: str = "vec_id",
     d = len(points.select(as_vector(vec)).first()[0])
     mean = stats.select(F.array(*[F.avg(F.col("x")[i]) for i in range(d)])).scalar()
     keep = [key] + ([label] if label else [])
-    c = points.select(*keep, F.zip_with(as_vector(vec), mean, lambda a, m: a - m).alias("xc"))
+    c = points.select(*keep, as_vector(vec).alias("x")).withColumn("mu", mean)
+    c = c.select(*keep, F.zip_with("x", "mu", lambda a, m: a - m).alias("xc"))
     c = c.withColumn("features", array_to_vector("xc"))
     model = PCA(k=2, inputCol="features", outputCol="pc").fit(c)
     pcm = model.pc.toArray()
@@ -244,19 +245,23 @@ def _features(points: DataFrame, vec: str):
 
 
 def kmeans_fit(points: DataFrame, k: int, n_init: int = 10, seed: int = 42,
-               vec: str = "embedding", max_iter: int = 300):
+               vec: str = "embedding", max_iter: int = 300, parallelism: int = 8):
     """KMeans with ``n_init`` restarts; keeps the lowest training cost."""
     from pyspark.ml.clustering import KMeans
+    from concurrent.futures import ThreadPoolExecutor
     feats = _features(points, vec).persist()
-    best = None
-    for i in range(n_init):
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
                    predictionCol="cluster").fit(feats)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+        return m.summary.trainingCost, i, m
+
+    # restarts are independent Spark jobs: submit them concurrently, as
+    # spark.ml's own tuning does with its ``parallelism`` parameter
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallelism))) as ex:
+        fits = list(ex.map(fit, range(n_init)))
     feats.unpersist()
-    return best[1]
+    return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
 def kmeans_best_k(points: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,

@@ -765,3 +765,124 @@ def q_delay_features(spark, sf_dir):
     from hubflow.operators.predict import delay_features
     long_df = journeys_long(spark, sf_dir, "supplier")
     return delay_features(transits(long_df, "predict"), K.hub_kpis(long_df, sort=False))
+
+
+# ------------------------------------------------- embeddings
+NODE_COLS = ["total_outgoing_flow", "avg_segment_delay", "std_delay"]
+
+
+def _embed_graph(spark, sf_dir):
+    """(standardised node features, embed edges) of the supplier-hub graph."""
+    from hubflow.operators.journeys import transits
+    from hubflow.operators.network import embed_edges, graph_nodes, node_features, standardise
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    edges = embed_edges(transits(long_df, "embed"))
+    nodes = node_features(graph_nodes(edges), K.hub_kpis(long_df, sort=False))
+    z = standardise(nodes, NODE_COLS)
+    return z, edges
+
+
+@register("neighbour_mean", ops="G8 G2 J1",
+          doubles=tuple(f"nbr_{c}" for c in NODE_COLS), sql=f"""WITH base AS ({NODES_SQL}),
+z AS (SELECT hub_id,
+  (total_outgoing_flow - avg(total_outgoing_flow) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(total_outgoing_flow) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(total_outgoing_flow) OVER () END AS f,
+  (avg_segment_delay - avg(avg_segment_delay) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(avg_segment_delay) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(avg_segment_delay) OVER () END AS a,
+  (std_delay - avg(std_delay) OVER ()) /
+    CASE WHEN coalesce(stddev_pop(std_delay) OVER (), 0) = 0 THEN 1
+         ELSE stddev_pop(std_delay) OVER () END AS s
+FROM base),
+{S.transits_ctes(variants=('embed',))},
+ed AS (SELECT DISTINCT src, dst FROM t_embed),
+m AS (SELECT ed.dst, avg(z.f) AS f, avg(z.a) AS a, avg(z.s) AS s
+      FROM ed JOIN z ON ed.src = z.hub_id GROUP BY ed.dst)
+SELECT z.hub_id, coalesce(m.f, 0.0) AS nbr_total_outgoing_flow,
+       coalesce(m.a, 0.0) AS nbr_avg_segment_delay, coalesce(m.s, 0.0) AS nbr_std_delay
+FROM z LEFT JOIN m ON z.hub_id = m.dst""")
+def q_neighbour_mean(spark, sf_dir):
+    """One-hop mean of standardised in-neighbour features per hub."""
+    from hubflow.operators.embed import neighbour_mean
+    z, edges = _embed_graph(spark, sf_dir)
+    return neighbour_mean(z, edges, NODE_COLS)
+
+
+@register("negative_edges", ops="G9")
+def q_negative_edges(spark, sf_dir):
+    """Seeded sample of min(E, 2N) non-edges of the supplier-hub graph."""
+    from hubflow.operators.embed import negative_edges
+    z, edges = _embed_graph(spark, sf_dir)
+    return negative_edges(z, edges, seed=42)
+
+
+@register("link_embedding", ops="G8 G9 G10 G12 S5")
+def q_link_embedding(spark, sf_dir):
+    """16-d hub embeddings from link prediction on the supplier-hub graph."""
+    from hubflow.operators.embed import link_embedding
+    z, edges = _embed_graph(spark, sf_dir)
+    emb, _ = link_embedding(z, edges, NODE_COLS, dim=16, hops=5)
+    return emb
+
+
+@register("contrastive_embedding", ops="G11 G12")
+def q_contrastive_embedding(spark, sf_dir):
+    """16-d hub embeddings from the true-versus-permuted contrastive task."""
+    from hubflow.operators.embed import contrastive_embedding
+    z, edges = _embed_graph(spark, sf_dir)
+    emb, _ = contrastive_embedding(z, edges, NODE_COLS, dim=16, hops=5)
+    return emb
+
+
+# ------------------------------------------------ models (rows-only checks)
+def _features(spark, sf_dir):
+    from hubflow.operators.journeys import transits
+    from hubflow.operators.predict import delay_features
+    long_df = journeys_long(spark, sf_dir, "supplier")
+    return delay_features(transits(long_df, "predict"), K.hub_kpis(long_df, sort=False))
+
+
+@register("gbt_delay", ops="M4 M6")
+def q_gbt_delay(spark, sf_dir):
+    """GBT (150 x depth 5) delay model: MAE and R^2 on the test legs."""
+    from hubflow.operators.predict import evaluate, fit_delay_model
+    f = _features(spark, sf_dir).persist()
+    return evaluate(fit_delay_model(f, "gradient_boosting"), f, "gradient_boosting")
+
+
+@register("rf_delay", ops="M5 M6")
+def q_rf_delay(spark, sf_dir):
+    """Random forest (150 trees) delay model: MAE and R^2 on the test legs."""
+    from hubflow.operators.predict import evaluate, fit_delay_model
+    f = _features(spark, sf_dir).persist()
+    return evaluate(fit_delay_model(f, "random_forest"), f, "random_forest")
+
+
+@register("feature_importance", ops="M7 O4 S8")
+def q_feature_importance(spark, sf_dir):
+    """GBT feature importances, largest first."""
+    from hubflow.operators.predict import feature_importance, fit_delay_model
+    f = _features(spark, sf_dir).persist()
+    return feature_importance(fit_delay_model(f, "gradient_boosting"))
+
+
+@register("kmeans_best_k", ops="C1")
+def q_kmeans_best_k(spark, sf_dir):
+    """Inertia and silhouette for k = 2..8; best k flagged."""
+    from hubflow.operators.cluster import kmeans_best_k
+    return kmeans_best_k(_vectors(spark, sf_dir), max_k=8, n_init=10)
+
+
+@register("kmeans_clusters", ops="C2")
+def q_kmeans_clusters(spark, sf_dir):
+    """KMeans (k=10, best of 20 starts) cluster of every vector."""
+    from hubflow.operators.cluster import kmeans_clusters
+    return kmeans_clusters(_vectors(spark, sf_dir), k=10, n_init=20)
+
+
+@register("pca_2d", ops="C9")
+def q_pca_2d(spark, sf_dir):
+    """2-component PCA of the centred vectors, with label."""
+    from hubflow.operators.cluster import pca_2d
+    return pca_2d(_vectors(spark, sf_dir))
