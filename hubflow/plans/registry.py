@@ -41,7 +41,9 @@ def _spark_side(q: Query) -> Callable[[SparkSession, str], DataFrame]:
         df = q.build(spark, sf_dir)
         if not q.doubles:
             return df
-        return df.select(*[F.round(F.col(c), 4).alias(c) if c in q.doubles else F.col(c)
+        # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines agree bit for bit
+        return df.select(*[(F.round(F.col(c), 4) + F.lit(0.0)).alias(c) if c in q.doubles
+                           else F.col(c)
                            for c in df.columns])
     run.__name__ = q.name
     run.__doc__ = q.build.__doc__
@@ -51,7 +53,7 @@ def _spark_side(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 def _sql_side(q: Query) -> str:
     if not q.doubles:
         return q.sql
-    rep = ", ".join(f"round({c}, 4) AS {c}" for c in q.doubles)
+    rep = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in q.doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{q.sql}\n) AS oracle_q"
 
 
