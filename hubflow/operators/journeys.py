@@ -28,9 +28,27 @@ def unpivot_long(clean: DataFrame, compat: bool = False) -> DataFrame:
     pass over the wide rows, no 32-way union and no shuffle. Times are
     coerced to numbers (invalid -> 0), hubs normalised, delay computed and
     all-zero rows dropped.
+
+    Plan-time pruning: a milestone whose planned and effective columns both
+    stayed text in cleaning holds no numeric value at all (that is what
+    the cleaning guard established), so both times are 0 and the row would
+    be dropped; such milestones are left out of the array.
     """
+    types = dict(clean.dtypes)
     cols = set(clean.columns)
+
+    def minutes(c):
+        if c not in cols:
+            return F.lit(None).cast("double")
+        if types[c] == "string":
+            return to_number(c)
+        return F.col(c).cast("double")
+
+    def always_empty(p, e):
+        return all(c not in cols or types[c] == "string" for c in (p, e))
+
     items = []
+    seq = 0
     for leg in LEG_PREFIXES.values():
         leg_id = f"{leg}_Leg_ID"
         if leg_id not in cols:
@@ -41,30 +59,32 @@ def unpivot_long(clean: DataFrame, compat: bool = False) -> DataFrame:
         last_hub = F.coalesce(
             *[F.when(~F.col(c).cast("string").isin("0", "?"), F.col(c)) for c in last if c in cols],
             F.lit(NO_HUB))
-
-        def item(p, e, hub, milestone, stage):
-            return F.struct(
-                F.col(leg_id).cast("string").alias("leg_id"),
-                F.col(p).cast("string").alias("p"),
-                F.col(e).cast("string").alias("e"),
-                hub.cast("string").alias("hub"),
-                F.lit(milestone).alias("milestone"),
-                F.lit(stage).alias("stage_group"),
-                F.lit(leg).alias("leg_type"),
-                F.lit(len(items)).alias("seq"))
-
-        items.append(item(f"{leg}_{CHECKIN}_Planned_Mins", f"{leg}_{CHECKIN}_Effective_Mins",
-                          first_hub, "RCS", CHECKIN))
+        specs = [(f"{leg}_{CHECKIN}_Planned_Mins", f"{leg}_{CHECKIN}_Effective_Mins",
+                  first_hub, "RCS", CHECKIN)]
         for s in SEGMENTS:
             for kind, milestone in ((DEP, "DEP"), (ARR, "RCF")):
                 base = f"{leg}_{kind}_Seg{s}"
                 hub_c, p_c, e_c = (f"{base}_{SUFFIXES[k]}" for k in ("place", "p", "e"))
                 if hub_c in cols and p_c in cols:
-                    items.append(item(p_c, e_c, F.col(hub_c), milestone, f"Transport_Seg{s}"))
-        items.append(item(f"{leg}_{DELIVERY}_Planned_Mins", f"{leg}_{DELIVERY}_Effective_Mins",
-                          last_hub, "DLV", DELIVERY))
-    if not items:
+                    specs.append((p_c, e_c, F.col(hub_c), milestone, f"Transport_Seg{s}"))
+        specs.append((f"{leg}_{DELIVERY}_Planned_Mins", f"{leg}_{DELIVERY}_Effective_Mins",
+                      last_hub, "DLV", DELIVERY))
+        for p_c, e_c, hub, milestone, stage in specs:
+            if not always_empty(p_c, e_c):
+                items.append(F.struct(
+                    F.col(leg_id).cast("string").alias("leg_id"),
+                    minutes(p_c).alias("p"), minutes(e_c).alias("e"),
+                    hub.cast("string").alias("hub"),
+                    F.lit(milestone).alias("milestone"), F.lit(stage).alias("stage_group"),
+                    F.lit(leg).alias("leg_type"), F.lit(seq).cast("bigint").alias("seq")))
+            seq += 1
+    if not any(f"{leg}_Leg_ID" in cols for leg in LEG_PREFIXES.values()):
         raise ValueError("no leg id column in the cleaned table")
+    schema = ("leg_id string, planned_mins bigint, effective_mins bigint, hub_id string, "
+              "milestone string, stage_group string, leg_type string, delay_mins bigint, "
+              "seq bigint")
+    if not items:
+        return clean.sparkSession.createDataFrame([], schema)
     x = clean.select(F.explode(F.array(*items)).alias("m")).select("m.*")
     hub = normalise_hub("hub")
     if compat:
@@ -74,11 +94,10 @@ def unpivot_long(clean: DataFrame, compat: bool = False) -> DataFrame:
                      F.concat(F.col("hub"), F.lit(".0"))).otherwise(hub)
     out = x.select(
         "leg_id",
-        F.coalesce(to_number("p"), F.lit(0.0)).cast("bigint").alias("planned_mins"),
-        F.coalesce(to_number("e"), F.lit(0.0)).cast("bigint").alias("effective_mins"),
-        hub.alias("hub_id"), "milestone", "stage_group", "leg_type",
-        F.col("seq").cast("bigint").alias("seq"))
-    return out.withColumn("delay_mins", delay_expr()).filter(non_empty()).select(
+        F.coalesce("p", F.lit(0.0)).cast("bigint").alias("planned_mins"),
+        F.coalesce("e", F.lit(0.0)).cast("bigint").alias("effective_mins"),
+        hub.alias("hub_id"), "milestone", "stage_group", "leg_type", "seq")
+    return out.filter(non_empty()).withColumn("delay_mins", delay_expr()).select(
         "leg_id", "planned_mins", "effective_mins", "hub_id", "milestone",
         "stage_group", "leg_type", "delay_mins", "seq")
 

@@ -72,5 +72,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used by iterative graph operators every round so plans stay small and a
     lost executor recomputes from the checkpoint, not from round 0.
     """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A reliable checkpoint runs the plan once to count and once more to
+    # write the files; caching first makes the second pass a cache read.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
