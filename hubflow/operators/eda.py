@@ -110,24 +110,27 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, max_columns: int =
 
 def kde_curve(df: DataFrame, col: str, grid_points: int = 64) -> DataFrame:
     """KDE curve for a histogram panel: Gaussian kernel, Scott's bandwidth
-    ``std * n^(-1/5)``, evaluated on ``grid_points`` over [min, max].
+    ``bw = std * n^(-1/5)``, evaluated on ``grid_points`` over [min, max].
 
-    Each row contributes to every grid point (rows x grid_points work, a
-    fixed multiple), summed with a partial aggregation by grid index."""
+    Returns ``grid_index, x, kernel_mean, bandwidth, density`` where
+    ``kernel_mean`` is the average kernel value at the grid point and
+    ``density = kernel_mean / (bw * sqrt(2 pi))``. Each row contributes to
+    every grid point (a fixed multiple of the rows), summed with a partial
+    aggregation by grid index; the statistics are scalar subqueries."""
     x = F.col(col).cast("double")
     base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     lo = base.select(F.min("x")).scalar()
     hi = base.select(F.max("x")).scalar()
     n = base.select(F.count("x")).scalar()
-    bw = base.select(F.stddev_samp("x")).scalar() * F.pow(n.cast("double"), -0.2)
+    bw = base.select(F.stddev_samp("x") * F.pow(F.count("x").cast("double"), -0.2)).scalar()
     g = base.select("x", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"))
-    pos = lo + (hi - lo) * F.col("i") / (grid_points - 1)
-    k = F.exp(-0.5 * F.pow((F.col("x") - pos) / bw, 2))
-    agg = g.groupBy("i").agg(F.sum(k).alias("ksum"))
+    g = g.withColumn("pos", lo + (hi - lo) * F.col("i") / (grid_points - 1)).withColumn("bw", bw)
+    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("pos")) / F.col("bw"), 2))
+    agg = g.groupBy("i", "pos", "bw").agg(F.sum(k).alias("ksum"))
     return agg.select(
-        F.col("i").alias("grid_index"),
-        (lo + (hi - lo) * F.col("i") / (grid_points - 1)).alias("x"),
-        (F.col("ksum") / (n * bw * np.sqrt(2 * np.pi))).alias("density"))
+        F.col("i").alias("grid_index"), F.col("pos").alias("x"),
+        (F.col("ksum") / n).alias("kernel_mean"), F.col("bw").alias("bandwidth"),
+        (F.col("ksum") / n / (F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
 
 
 def stage_delay_profile(long_df: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def router_edges(t_router: DataFrame, min_weight: float = 0.1,
     return e.withColumn("weight", F.greatest(F.lit(min_weight), w))
 
 
+def with_reverse_edges(edges: DataFrame) -> DataFrame:
+    """G1 ``include_reverse_edges``: add every edge flipped (attributes kept)."""
+    flipped = edges.withColumnRenamed("src", "_d").withColumnRenamed("dst", "src") \
+        .withColumnRenamed("_d", "dst").select(*edges.columns)
+    return edges.unionByName(flipped)
+
+
 def graph_nodes(edges: DataFrame) -> DataFrame:
     """Distinct hubs at either end of an edge (NULL ends excluded)."""
     ends = edges.select(F.col("src").alias("hub_id")).union(edges.select(F.col("dst").alias("hub_id")))

@@ -886,3 +886,37 @@ def q_pca_2d(spark, sf_dir):
     """2-component PCA of the centred vectors, with label."""
     from hubflow.operators.cluster import pca_2d
     return pca_2d(_vectors(spark, sf_dir))
+
+
+# ------------------------------------------------------- chart data extras
+@register("network_drawing", ops="X8 G7 G3",
+          doubles=("avg_delay", "weight", "src_size", "dst_size"),
+          sql=f"""WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql(unit=True)}
+SELECT re.src, re.dst, re.avg_delay, re.volume, re.weight,
+       10 + 100 * s.centrality AS src_size, 10 + 100 * d.centrality AS dst_size
+FROM re LEFT JOIN bc s ON re.src = s.hub_id LEFT JOIN bc d ON re.dst = d.hub_id""")
+def q_network_drawing(spark, sf_dir):
+    """Router edges with node sizes 10 + 100 x hop-count betweenness."""
+    from hubflow.operators.network import network_drawing
+    from hubflow.operators.paths import betweenness
+    e = _nation_router(spark, sf_dir)
+    bc = betweenness(e, weight=None)
+    return network_drawing(e, bc).select("src", "dst", "avg_delay", "volume", "weight",
+                                         "src_size", "dst_size")
+
+
+@register("kde_curve", ops="E4", doubles=("x", "kernel_mean", "bandwidth"), sql=f"""
+WITH {S.journeys_cte()},
+b AS (SELECT CAST(delay_mins AS DOUBLE) AS x FROM journeys WHERE delay_mins IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n,
+              stddev_samp(x) * power(CAST(count(x) AS DOUBLE), -0.2) AS bw FROM b),
+g AS (SELECT CAST(i AS INTEGER) AS grid_index, lo + (hi - lo) * i / 63 AS pos, bw, n
+      FROM st, range(64) t(i))
+SELECT grid_index, pos AS x, sum(exp(-0.5 * power((b.x - pos) / bw, 2))) / n AS kernel_mean,
+       bw AS bandwidth
+FROM g, b GROUP BY grid_index, pos, bw, n""")
+def q_kde_curve(spark, sf_dir):
+    """Gaussian KDE of the milestone delay on a 64-point grid."""
+    from hubflow.operators.eda import kde_curve
+    return kde_curve(journeys_long(spark, sf_dir, "supplier"), "delay_mins").select(
+        "grid_index", "x", "kernel_mean", "bandwidth")
