@@ -309,20 +309,29 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
 def cluster_interpretation(clustered: DataFrame) -> DataFrame:
     """C5 + A16: cluster stats, flow share of the network, and the 4-way
     business type by comparing the cluster's mean flow and mean delay with
-    the network means (scalar subqueries over all hubs)."""
-    tot_flow = clustered.select(F.sum("total_outgoing_flow")).scalar()
-    avg_flow_all = clustered.select(F.avg("total_outgoing_flow")).scalar()
-    avg_delay_all = clustered.select(F.avg("avg_segment_delay")).scalar()
-    s = cluster_summary(clustered)
-    share = F.when(tot_flow > 0, F.col("total_flow") / tot_flow * 100).otherwise(F.lit(0.0))
-    hi_f = F.col("avg_flow") > avg_flow_all
-    hi_d = F.col("avg_delay") > avg_delay_all
+    the network means (window aggregates over the hub-sized table, so the
+    upstream plan runs once)."""
+    every = Window.partitionBy()
+    net = clustered.withColumn("_tf", F.sum("total_outgoing_flow").over(every)) \
+        .withColumn("_af", F.avg("total_outgoing_flow").over(every)) \
+        .withColumn("_ad", F.avg("avg_segment_delay").over(every))
+    s = net.filter(F.col("cluster_label").isNotNull()).groupBy("cluster_label").agg(
+        F.count("*").alias("hub_count"),
+        F.avg("total_outgoing_flow").alias("avg_flow"),
+        F.sum("total_outgoing_flow").alias("total_flow"),
+        F.avg("avg_segment_delay").alias("avg_delay"),
+        F.avg("std_delay").alias("avg_std_delay"),
+        F.first("_tf").alias("_tf"), F.first("_af").alias("_af"), F.first("_ad").alias("_ad"))
+    share = F.when(F.col("_tf") > 0, F.col("total_flow") / F.col("_tf") * 100) \
+        .otherwise(F.lit(0.0))
+    hi_f = F.col("avg_flow") > F.col("_af")
+    hi_d = F.col("avg_delay") > F.col("_ad")
 
     def pick(i):
         return (F.when(hi_f & hi_d, CLUSTER_TYPES[0][i]).when(hi_f, CLUSTER_TYPES[1][i])
                 .when(hi_d, CLUSTER_TYPES[2][i]).otherwise(CLUSTER_TYPES[3][i]))
     return s.withColumn("flow_share_pct", share).withColumn("cluster_type", pick(0)) \
-        .withColumn("recommendation", pick(1))
+        .withColumn("recommendation", pick(1)).drop("_tf", "_af", "_ad")
 
 
 def cluster_top_hubs(clustered: DataFrame, n: int = 5) -> DataFrame:

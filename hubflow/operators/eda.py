@@ -148,12 +148,13 @@ def stage_delay_profile(long_df: DataFrame) -> DataFrame:
 def density_grid(kpis: DataFrame, x: str = "total_outgoing_flow",
                  y: str = "avg_segment_delay", bins: int = 20) -> DataFrame:
     """Hub count per cell of a ``bins x bins`` grid over two KPI columns.
-    The ranges are scalar subqueries of the hub table."""
+    The ranges are window aggregates over the hub-sized table."""
+    from pyspark.sql import Window
+    every = Window.partitionBy()
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    xlo = kpis.select(F.min(xs)).scalar()
-    xhi = kpis.select(F.max(xs)).scalar()
-    ylo = kpis.select(F.min(ys)).scalar()
-    yhi = kpis.select(F.max(ys)).scalar()
-    g = kpis.select(_bin(xs, xlo, xhi, bins).alias("x_bin"),
-                    _bin(ys, ylo, yhi, bins).alias("y_bin"))
+    r = kpis.select(xs.alias("xv"), ys.alias("yv"),
+                    F.min(xs).over(every).alias("xlo"), F.max(xs).over(every).alias("xhi"),
+                    F.min(ys).over(every).alias("ylo"), F.max(ys).over(every).alias("yhi"))
+    g = r.select(_bin(F.col("xv"), F.col("xlo"), F.col("xhi"), bins).alias("x_bin"),
+                 _bin(F.col("yv"), F.col("ylo"), F.col("yhi"), bins).alias("y_bin"))
     return g.groupBy("x_bin", "y_bin").agg(F.count("*").alias("hubs"))

@@ -25,9 +25,9 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
     median keeps a per-hub value->count map, bounded by distinct delays.
 
     Single-row hubs have no sample std; it is filled with the median std of
-    all hubs **before** the volume filter (quirk Q11), computed as a scalar
-    subquery (no join). The dense rank (1 = worst mean delay) runs on the
-    hub-sized result only.
+    all hubs **before** the volume filter (quirk Q11). That median and the
+    dense rank (1 = worst mean delay) are window functions over the
+    hub-sized result (one row per hub), so the milestone data is read once.
     """
     df = long_df
     if "delay_mins" not in df.columns:
@@ -42,9 +42,9 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
         F.percentile("delay_mins", 0.5).alias("median_delay"),
         F.max("delay_mins").alias("max_delay"),
     )
-    median_std = agg.select(F.percentile("std_delay", 0.5)).scalar()
-    filled = agg.withColumn("std_delay",
-                            F.coalesce("std_delay", median_std, F.lit(0.0)))
+    every_hub = Window.partitionBy()
+    filled = agg.withColumn("std_delay", F.coalesce(
+        "std_delay", F.percentile("std_delay", 0.5).over(every_hub), F.lit(0.0)))
     kept = filled.filter(F.col("total_outgoing_flow") >= min_volume)
     ranked = kept.withColumn(
         "delay_rank", F.dense_rank().over(Window.orderBy(F.desc("avg_segment_delay"))))
@@ -57,13 +57,15 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
 def hub_quadrants(kpis: DataFrame, min_flow_percentile: float = 0.10) -> DataFrame:
     """Keep hubs with flow >= the p-th percentile (linear interpolation),
     then split at the medians of flow and mean delay of the kept hubs
-    (``>`` is high, ``<=`` low). All cut-offs are scalar subqueries."""
-    cut = kpis.select(F.percentile("total_outgoing_flow", min_flow_percentile)).scalar()
-    kept = kpis.filter(F.col("total_outgoing_flow") >= cut)
-    med_flow = kept.select(F.percentile("total_outgoing_flow", 0.5)).scalar()
-    med_delay = kept.select(F.percentile("avg_segment_delay", 0.5)).scalar()
-    hi_f = F.col("total_outgoing_flow") > med_flow
-    hi_d = F.col("avg_segment_delay") > med_delay
+    (``>`` is high, ``<=`` low). The cut-offs are window aggregates over the
+    hub-sized table, so the upstream plan runs once."""
+    every_hub = Window.partitionBy()
+    cut = F.percentile("total_outgoing_flow", min_flow_percentile).over(every_hub)
+    kept = kpis.withColumn("_cut", cut).filter(F.col("total_outgoing_flow") >= F.col("_cut"))
+    kept = kept.withColumn("_mf", F.percentile("total_outgoing_flow", 0.5).over(every_hub)) \
+        .withColumn("_md", F.percentile("avg_segment_delay", 0.5).over(every_hub))
+    hi_f = F.col("total_outgoing_flow") > F.col("_mf")
+    hi_d = F.col("avg_segment_delay") > F.col("_md")
     cat = (F.when(hi_f & hi_d, QUADRANTS[0]).when(hi_f, QUADRANTS[1])
            .when(hi_d, QUADRANTS[2]).otherwise(QUADRANTS[3]))
-    return kept.withColumn("hub_category", cat)
+    return kept.withColumn("hub_category", cat).drop("_cut", "_mf", "_md")

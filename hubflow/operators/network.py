@@ -71,14 +71,16 @@ def node_features(nodes: DataFrame, kpis: DataFrame) -> DataFrame:
 def standardise(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """Z-score with the population std; a zero-variance column divides by 1.
 
-    Means and stds are scalar subqueries over ``df`` that Catalyst merges
-    into a single aggregation job."""
+    Means and stds are window aggregates over the whole (node-sized) table,
+    so its upstream plan is evaluated once."""
+    every = Window.partitionBy()
     out = df
     for c in cols:
-        mu = df.select(F.avg(F.col(c).cast("double"))).scalar()
-        sd = df.select(F.stddev_pop(F.col(c).cast("double"))).scalar()
+        x = F.col(c).cast("double")
+        mu = F.avg(x).over(every)
+        sd = F.stddev_pop(x).over(every)
         sd = F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd)
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - mu) / sd)
+        out = out.withColumn(c + suffix, (x - mu) / sd)
     return out
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,16 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialise ``df`` in the shared checkpoint dir.
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and continue from that table.
 
-    Used by iterative graph operators every round so plans stay small and a
-    lost executor recomputes from the checkpoint, not from round 0.
+    Used by the iterative operators every round: plans stay small, a lost
+    executor recomputes from the written table rather than from round 0,
+    and -- unlike an RDD checkpoint -- the re-read table carries file-size
+    statistics, so Catalyst/AQE can broadcast small state tables in the
+    next round. One write job per call.
     """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    # A reliable checkpoint runs the plan once to count and once more to
-    # write the files; caching first makes the second pass a cache read.
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/hubflow-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
