@@ -133,6 +133,24 @@ def kde_curve(df: DataFrame, col: str, grid_points: int = 64) -> DataFrame:
         (F.col("ksum") / n / (F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
 
 
+def stage_delay_histogram(long_df: DataFrame, bins: int = 30,
+                          stage: str = "stage_group") -> DataFrame:
+    """X4 (violin data): equal-width delay histogram per stage. Per-stage
+    ranges are a ``groupBy(stage)`` (one row per stage of the fixed stage
+    vocabulary, so the broadcast is bounded); counts are a partial
+    aggregation by ``(stage, bin)``."""
+    d = long_df.select(F.col(stage).alias("stage_group"),
+                       F.col("delay_mins").cast("double").alias("value")) \
+        .filter(F.col("value").isNotNull())
+    rng = d.groupBy("stage_group").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    b = d.join(F.broadcast(rng), "stage_group").withColumn(
+        "bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    h = b.groupBy("stage_group", "bin", "lo", "hi").agg(F.count("*").alias("count"))
+    w = (F.col("hi") - F.col("lo")) / bins
+    return h.select("stage_group", "bin", (F.col("lo") + F.col("bin") * w).alias("bin_start"),
+                    (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"), "count")
+
+
 def stage_delay_profile(long_df: DataFrame) -> DataFrame:
     """Delay distribution per stage: count, min, quartiles, max, mean."""
     return long_df.groupBy("stage_group").agg(

@@ -143,7 +143,12 @@ def transits(long_df: DataFrame, variant: str = "embed", compat: bool = False,
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {VARIANTS}")
     s = successors if successors is not None else with_successor(long_df, compat)
-    stage = stage_column(s)
+    return s.filter(variant_condition(variant, stage_column(s), compat))
+
+
+def variant_condition(variant: str, stage: str = "stage_group", compat: bool = False):
+    """The row predicate of a transit variant (see ``transits``), usable in
+    filters and in conditional aggregates (several variants in one pass)."""
     src, dst = F.col("src"), F.col("dst")
     conds = []
     if variant != "flow":
@@ -163,4 +168,4 @@ def transits(long_df: DataFrame, variant: str = "embed", compat: bool = False,
     cond = conds[0]
     for c in conds[1:]:
         cond = cond & c
-    return s.filter(cond)
+    return F.coalesce(cond, F.lit(False))

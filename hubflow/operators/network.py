@@ -37,6 +37,22 @@ def router_edges(t_router: DataFrame, min_weight: float = 0.1,
     return e.withColumn("weight", F.greatest(F.lit(min_weight), w))
 
 
+def edge_volumes(successors: DataFrame, variants=("embed", "router")) -> DataFrame:
+    """Several edge variants in ONE pass over the successor table:
+    per ``(src, dst)`` the movement count of each variant (``n_<variant>``),
+    with map-side partial aggregation. Filter ``n_<variant> > 0`` to get
+    that variant's edge set."""
+    from hubflow.operators.journeys import variant_condition
+    from hubflow.functions.columns import stage_column
+    stage = stage_column(successors)
+    conds = {v: variant_condition(v, stage) for v in variants}
+    any_v = None
+    for c in conds.values():
+        any_v = c if any_v is None else any_v | c
+    return successors.filter(any_v).groupBy("src", "dst").agg(
+        *[F.count(F.when(c, F.lit(1))).alias(f"n_{v}") for v, c in conds.items()])
+
+
 def with_reverse_edges(edges: DataFrame) -> DataFrame:
     """G1 ``include_reverse_edges``: add every edge flipped (attributes kept)."""
     flipped = edges.withColumnRenamed("src", "_d").withColumnRenamed("dst", "src") \

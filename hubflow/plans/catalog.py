@@ -77,11 +77,12 @@ SELECT 'router',
   (SELECT count(*) FROM re)""")
 def q_graph_counts(spark, sf_dir):
     """Node and edge counts of the embed and router graphs."""
-    from hubflow.operators.network import embed_edges, graph_counts, router_edges
-    s = _succ(spark, sf_dir).persist()
-    from hubflow.operators.journeys import transits
-    e = graph_counts(embed_edges(transits(None, "embed", successors=s)))
-    r = graph_counts(router_edges(transits(None, "router", successors=s)))
+    from hubflow.operators.network import edge_volumes, graph_counts
+    from hubflow.session import cut_lineage
+    # one pass over the milestones for both graphs; the edge table is small
+    g = cut_lineage(edge_volumes(_succ(spark, sf_dir), ("embed", "router")))
+    e = graph_counts(g.filter(F.col("n_embed") > 0))
+    r = graph_counts(g.filter(F.col("n_router") > 0))
     return (e.select(F.lit("embed").alias("graph"), "*")
             .unionByName(r.select(F.lit("router").alias("graph"), "*")))
 
@@ -95,9 +96,9 @@ FROM nodes n LEFT JOIN kpis k ON n.hub_id = k.hub_id"""
 
 
 def _network_nodes(spark, sf_dir):
+    from hubflow.operators.journeys import transits
     from hubflow.operators.network import embed_edges, graph_nodes, node_features
     long_df = journeys_long(spark, sf_dir, "supplier")
-    from hubflow.operators.journeys import transits
     nodes = graph_nodes(embed_edges(transits(long_df, "embed")))
     return node_features(nodes, K.hub_kpis(long_df, sort=False))
 
@@ -775,9 +776,12 @@ def _embed_graph(spark, sf_dir):
     """(standardised node features, embed edges) of the supplier-hub graph."""
     from hubflow.operators.journeys import transits
     from hubflow.operators.network import embed_edges, graph_nodes, node_features, standardise
+    from hubflow.session import cut_lineage
     long_df = journeys_long(spark, sf_dir, "supplier")
-    edges = embed_edges(transits(long_df, "embed"))
-    nodes = node_features(graph_nodes(edges), K.hub_kpis(long_df, sort=False))
+    # edges and hub KPIs are small aggregates used several times: write once
+    edges = cut_lineage(embed_edges(transits(long_df, "embed")))
+    kp = cut_lineage(K.hub_kpis(long_df, sort=False))
+    nodes = node_features(graph_nodes(edges), kp)
     z = standardise(nodes, NODE_COLS)
     return z, edges
 
@@ -920,3 +924,29 @@ def q_kde_curve(spark, sf_dir):
     from hubflow.operators.eda import kde_curve
     return kde_curve(journeys_long(spark, sf_dir, "supplier"), "delay_mins").select(
         "grid_index", "x", "kernel_mean", "bandwidth")
+
+
+@register("stage_delay_histogram", ops="X4", doubles=("bin_start", "bin_end"), sql=f"""
+WITH {S.journeys_cte()},
+lv AS (SELECT stage_group, CAST(delay_mins AS DOUBLE) AS value FROM journeys
+       WHERE delay_mins IS NOT NULL),
+rng AS (SELECT stage_group, min(value) AS lo, max(value) AS hi FROM lv GROUP BY stage_group),
+b AS (SELECT lv.stage_group, lo, hi, {_bin_sql('value', 'lo', 'hi', 30)} AS bin
+      FROM lv JOIN rng ON lv.stage_group = rng.stage_group)
+SELECT stage_group, bin, lo + bin * (hi - lo) / 30 AS bin_start,
+       lo + (bin + 1) * (hi - lo) / 30 AS bin_end, count(*) AS count
+FROM b GROUP BY stage_group, bin, lo, hi""")
+def q_stage_delay_histogram(spark, sf_dir):
+    """30-bin delay histogram per stage (violin data)."""
+    from hubflow.operators.eda import stage_delay_histogram
+    return stage_delay_histogram(journeys_long(spark, sf_dir, "supplier"))
+
+
+@register("embedding_loss", ops="G12")
+def q_embedding_loss(spark, sf_dir):
+    """Objective history of the link-prediction embedding fit."""
+    from hubflow.operators.embed import link_embedding
+    z, edges = _embed_graph(spark, sf_dir)
+    _, loss = link_embedding(z, edges, NODE_COLS, dim=16, hops=5)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(loss)],
+                                 "iteration int, loss double")

@@ -16,6 +16,18 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(raw_schema()).option("header", True).csv(path)
 
 
+def read_raw_csv_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """Like ``read_raw_csv`` but a missing file gives ``None`` (the
+    driver script's "report and return" behaviour) instead of raising."""
+    from pyspark.errors import AnalysisException
+    try:
+        return read_raw_csv(spark, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+
+
 def read_table_file(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S3: re-read a cleaned table written by a sink (parquet or CSV)."""
     if fmt == "csv":
