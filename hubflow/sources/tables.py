@@ -112,14 +112,24 @@ def journeys_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     departure/arrival segments and delivery; the inbound legs and the third
     arrival do not exist and are ``?``, as is any missing line and any
     effective time of 0. Repeated ``(order, line)`` pairs keep the first by
-    ``(shipdate, partkey, suppkey, quantity)``. One aggregation, keyed by
-    order, with map-side partial aggregation.
+    ``(shipdate, partkey, suppkey, quantity)``: a ``row_number`` window
+    clustered by order, then one hash aggregation by order with primitive
+    conditional maxima; both reuse the partitioning by order key.
     """
     lines = _lines(spark, sf_dir, "supplier")
-    key = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
-    val = F.struct("planned_mins", "effective_mins", "l_suppkey")
-    aggs = [F.min_by(val, F.when(F.col("l_linenumber") == i + 1, key)).alias(f"x{i}")
-            for i in range(len(LINE_TO_RAW))]
+    # first row per (order, line): a window clustered by order (satisfied by
+    # the join's partitioning on the order key), then a hash aggregation by
+    # order with primitive conditional maxima -- no further exchange.
+    first = Window.partitionBy("leg_id", "l_linenumber").orderBy(
+        "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+    lines = lines.withColumn("_rk", F.row_number().over(first)).filter(F.col("_rk") == 1)
+    aggs = []
+    for i in range(len(LINE_TO_RAW)):
+        on_line = F.col("l_linenumber") == i + 1
+        aggs += [F.max(F.when(on_line, F.col("planned_mins"))).alias(f"p{i}"),
+                 F.max(F.when(on_line, F.col("effective_mins"))).alias(f"e{i}"),
+                 F.max(F.when(on_line, F.col("l_suppkey"))).alias(f"s{i}"),
+                 F.max(F.when(on_line, F.lit(1))).alias(f"h{i}")]
     g = lines.groupBy("leg_id").agg(*aggs)
     q = F.lit("?")
     exprs = {}
@@ -127,14 +137,13 @@ def journeys_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     exprs["nr"] = nr
     exprs["legs"] = F.lit("0")
     for i, raw in enumerate(LINE_TO_RAW):
-        x = F.col(f"x{i}")
-        exprs[f"{raw}_p"] = F.coalesce(x["planned_mins"].cast("string"), q)
-        exprs[f"{raw}_e"] = F.when(x["effective_mins"] != 0,
-                                   x["effective_mins"].cast("string")).otherwise(q)
+        exprs[f"{raw}_p"] = F.coalesce(F.col(f"p{i}").cast("string"), q)
+        exprs[f"{raw}_e"] = F.when(F.col(f"e{i}") != 0,
+                                   F.col(f"e{i}").cast("string")).otherwise(q)
         if raw not in ("o_rcs", "o_dlv"):
-            exprs[f"{raw}_place"] = F.coalesce(x["l_suppkey"].cast("string"), q)
+            exprs[f"{raw}_place"] = F.coalesce(F.col(f"s{i}").cast("string"), q)
     exprs["o_legid"] = nr
-    hops = sum(F.when(F.col(f"x{i}").isNotNull(), 1).otherwise(0) for i in (1, 3, 5))
+    hops = sum(F.coalesce(F.col(f"h{i}"), F.lit(0)) for i in (1, 3, 5))
     exprs["o_hops"] = hops.cast("string")
     cols = [exprs.get(c, q).alias(c) for c in raw_columns()]
     return g.select(*cols)
