@@ -63,6 +63,20 @@ def cluster_stats(points: DataFrame, label: str = "label", vec: str = "embedding
     return st.withColumn("centroid", F.transform("vsum", lambda v: v / F.col("n")))
 
 
+MAX_CLUSTERS = 10_000  # bound on k x d state shipped to every task
+
+
+def checked_stats(points: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
+    """``cluster_stats`` written once (k rows) and size-checked: the per-point
+    scoring ships all k rows to every task, so k must stay bounded."""
+    from hubflow.session import cut_lineage
+    stats = cut_lineage(cluster_stats(points, label, vec))
+    k = stats.count()
+    if k > MAX_CLUSTERS:
+        raise ValueError(f"{k} clusters exceed MAX_CLUSTERS={MAX_CLUSTERS}")
+    return stats
+
+
 def _stats_array(stats: DataFrame):
     """All k cluster rows as one array value (scalar subquery)."""
     return stats.select(F.collect_list(F.struct("label", "n", "vsum", "sqsum", "centroid"))).scalar()
@@ -75,7 +89,7 @@ def silhouette_samples(points: DataFrame, label: str = "label", vec: str = "embe
     Mean squared distance from x to cluster C is
     ``(n_C |x|^2 - 2 x.S_C + Q_C) / n_C`` (own cluster: divided by n_C - 1);
     ``s = (b - a) / max(a, b)``, 0 for a singleton cluster."""
-    stats = cluster_stats(points, label, vec)
+    stats = checked_stats(points, label, vec)
     arr = _stats_array(stats)
     p = points.select(key, F.col(label).alias("label"), as_vector(vec).alias("x")) \
         .filter(F.col("label").isNotNull())
@@ -116,7 +130,7 @@ def davies_bouldin(points: DataFrame, label: str = "label", vec: str = "embeddin
     ``S_i`` = mean distance of cluster i's points to its centroid (one pass
     over the points); then over the k centroids ``max_j (S_i+S_j)/d_ij``,
     averaged. The centroid array reaches each point as a scalar subquery."""
-    stats = cluster_stats(points, label, vec)
+    stats = checked_stats(points, label, vec)
     cents = stats.select(F.collect_list(F.struct("label", "centroid"))).scalar()
     p = points.select(F.col(label).alias("label"), as_vector(vec).alias("x")) \
         .filter(F.col("label").isNotNull())
@@ -138,7 +152,7 @@ def boundary_points(points: DataFrame, centres: DataFrame | None = None, ratio:
     ``ratio`` are boundary points. ``centres`` (label, centroid) defaults to
     the label means; pass a fitted model's centres to reuse it."""
     if centres is None:
-        centres = cluster_stats(points, label, vec).select("label", "centroid")
+        centres = checked_stats(points, label, vec).select("label", "centroid")
     arr = centres.select(F.collect_list("centroid")).scalar()
     p = points.select(key, F.col(label).alias("assigned_cluster"), as_vector(vec).alias("x"))
     d = F.sort_array(F.transform("cents", lambda c: _dist(F.col("x"), c)))
