@@ -102,28 +102,56 @@ def unpivot_long(clean: DataFrame, compat: bool = False) -> DataFrame:
         "stage_group", "leg_type", "delay_mins", "seq")
 
 
-def with_successor(long_df: DataFrame, compat: bool = False) -> DataFrame:
+def with_successor(long_df: DataFrame, compat: bool = False,
+                   skew_safe: bool = False, partitions: int | None = None) -> DataFrame:
     """``src``/``dst`` = this hub and the next one in the leg.
 
-    Order is ``(planned_mins, seq)`` within ``leg_id`` (quirk Q4): one hash
-    shuffle by leg, then a sort inside each partition. A leg is one journey
-    (a handful of milestones); a hot leg id is still split across no more
-    than one task per leg, and the window streams rows rather than
-    collecting them.
+    Order is ``(planned_mins, seq)`` within ``leg_id`` (quirk Q4). Default:
+    one hash shuffle by leg and a ``lead`` window; legs are journeys, so
+    their size is bounded by the journey, and the window buffer spills if
+    one is large.
+
+    ``skew_safe=True`` is for inputs where one leg id may hold a large share
+    of all rows (e.g. scrubbed ``'0'`` leg ids): rows are range-partitioned
+    on the full sort key ``(leg_id, planned_mins, seq)``, so a hot leg is
+    split over many tasks; ``lead`` runs per (partition, leg) block; the
+    last row of each block takes the first hub of the same leg's next block,
+    found from a table with one row per block (a leg spans at most
+    ``partitions`` blocks, so that window is bounded).
     """
     order = ["planned_mins", "seq"] if "seq" in long_df.columns else ["planned_mins"]
-    w = Window.partitionBy("leg_id").orderBy(*order)
-    nxt = F.lead("hub_id").over(w)
-    if compat:
-        nxt = F.coalesce(nxt, F.lit(MISSING))
     if "delay_mins" not in long_df.columns:
         long_df = long_df.withColumn(
             "delay_mins", to_number("effective_mins") - to_number("planned_mins"))
-    return long_df.withColumn("src", F.col("hub_id")).withColumn("dst", nxt)
+    if not skew_safe:
+        w = Window.partitionBy("leg_id").orderBy(*order)
+        nxt = F.lead("hub_id").over(w)
+    else:
+        spark = long_df.sparkSession
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cols = long_df.columns
+        r = long_df.repartitionByRange(n, "leg_id", *order).withColumn(
+            "_blk", F.spark_partition_id())
+        wb = Window.partitionBy("_blk", "leg_id").orderBy(*order)
+        r = r.withColumn("_in", F.lead("hub_id").over(wb)) \
+             .withColumn("_last", F.lead(F.lit(1)).over(wb).isNull())
+        first = r.groupBy("_blk", "leg_id").agg(
+            F.min_by("hub_id", F.struct(*order)).alias("_first"))
+        nb = first.withColumn(
+            "_next", F.lead("_first").over(Window.partitionBy("leg_id").orderBy("_blk"))) \
+            .select("_blk", "leg_id", "_next")
+        long_df = r.join(nb, ["_blk", "leg_id"], "left")
+        nxt = F.when(F.col("_last"), F.col("_next")).otherwise(F.col("_in"))
+        long_df = long_df.withColumn("_dst", nxt).select(*cols, "_dst")
+        nxt = F.col("_dst")
+    if compat:
+        nxt = F.coalesce(nxt, F.lit(MISSING))
+    out = long_df.withColumn("src", F.col("hub_id")).withColumn("dst", nxt)
+    return out.drop("_dst") if skew_safe else out
 
 
 def transits(long_df: DataFrame, variant: str = "embed", compat: bool = False,
-             successors: DataFrame | None = None) -> DataFrame:
+             successors: DataFrame | None = None, skew_safe: bool = False) -> DataFrame:
     """Filter the successor table the way each consumer of the source does.
 
     ==========  ===========  =================  ==========  =========
@@ -142,7 +170,7 @@ def transits(long_df: DataFrame, variant: str = "embed", compat: bool = False,
     """
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {VARIANTS}")
-    s = successors if successors is not None else with_successor(long_df, compat)
+    s = successors if successors is not None else with_successor(long_df, compat, skew_safe)
     return s.filter(variant_condition(variant, stage_column(s), compat))
 
 
