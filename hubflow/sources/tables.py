@@ -149,13 +149,5 @@ def journeys_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(*cols)
 
 
-def milestones_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Small milestone table from literal rows (tests and examples only)."""
-    schema = ("leg_id string, planned_mins bigint, effective_mins bigint, hub_id string, "
-              "milestone string, stage_group string, leg_type string")
-    df = spark.createDataFrame(rows, schema)
-    return df.withColumn("delay_mins", delay_expr())
-
-
-__all__ = ["read_table", "journeys_long", "journeys_wide", "milestones_from_rows",
-           "TABLES", "LINE_STAGES", "SEGMENTS", "LEG_PREFIXES"]
+__all__ = ["read_table", "journeys_long", "journeys_wide", "TABLES", "LINE_STAGES",
+           "SEGMENTS", "LEG_PREFIXES"]
