@@ -323,12 +323,14 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
 def cluster_interpretation(clustered: DataFrame) -> DataFrame:
     """C5 + A16: cluster stats, flow share of the network, and the 4-way
     business type by comparing the cluster's mean flow and mean delay with
-    the network means (window aggregates over the hub-sized table, so the
-    upstream plan runs once)."""
-    every = Window.partitionBy()
-    net = clustered.withColumn("_tf", F.sum("total_outgoing_flow").over(every)) \
-        .withColumn("_af", F.avg("total_outgoing_flow").over(every)) \
-        .withColumn("_ad", F.avg("avg_segment_delay").over(every))
+    the network means (the hub table is written once; the network sums and
+    means are one distributed aggregation over it)."""
+    from hubflow.session import cut_lineage
+    clustered = cut_lineage(clustered)
+    tot = clustered.agg(F.sum("total_outgoing_flow"), F.avg("total_outgoing_flow"),
+                        F.avg("avg_segment_delay")).first()
+    net = clustered.withColumn("_tf", F.lit(tot[0])).withColumn("_af", F.lit(tot[1])) \
+        .withColumn("_ad", F.lit(tot[2]))
     s = net.filter(F.col("cluster_label").isNotNull()).groupBy("cluster_label").agg(
         F.count("*").alias("hub_count"),
         F.avg("total_outgoing_flow").alias("avg_flow"),

@@ -166,13 +166,12 @@ def stage_delay_profile(long_df: DataFrame) -> DataFrame:
 def density_grid(kpis: DataFrame, x: str = "total_outgoing_flow",
                  y: str = "avg_segment_delay", bins: int = 20) -> DataFrame:
     """Hub count per cell of a ``bins x bins`` grid over two KPI columns.
-    The ranges are window aggregates over the hub-sized table."""
-    from pyspark.sql import Window
-    every = Window.partitionBy()
-    xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    r = kpis.select(xs.alias("xv"), ys.alias("yv"),
-                    F.min(xs).over(every).alias("xlo"), F.max(xs).over(every).alias("xhi"),
-                    F.min(ys).over(every).alias("ylo"), F.max(ys).over(every).alias("yhi"))
-    g = r.select(_bin(F.col("xv"), F.col("xlo"), F.col("xhi"), bins).alias("x_bin"),
-                 _bin(F.col("yv"), F.col("ylo"), F.col("yhi"), bins).alias("y_bin"))
+    The hub table is written once; its ranges are one distributed
+    aggregation (four numbers)."""
+    from hubflow.session import cut_lineage
+    k = cut_lineage(kpis.select(F.col(x).cast("double").alias("xv"),
+                                F.col(y).cast("double").alias("yv")))
+    r = k.agg(F.min("xv"), F.max("xv"), F.min("yv"), F.max("yv")).first()
+    g = k.select(_bin(F.col("xv"), F.lit(r[0]), F.lit(r[1]), bins).alias("x_bin"),
+                 _bin(F.col("yv"), F.lit(r[2]), F.lit(r[3]), bins).alias("y_bin"))
     return g.groupBy("x_bin", "y_bin").agg(F.count("*").alias("hubs"))

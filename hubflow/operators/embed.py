@@ -55,9 +55,10 @@ def neighbour_mean(nodes: DataFrame, edges: DataFrame, cols: list[str],
 
 
 def _node_index(nodes: DataFrame, key: str, seed: int) -> DataFrame:
-    """Dense node index in a seeded hash order (hub-sized table)."""
-    w = Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return nodes.select(key).distinct().withColumn("idx", F.row_number().over(w) - 1)
+    """Dense 0-based node index in a seeded hash order (distributed)."""
+    from hubflow.functions.ranking import row_index
+    d = nodes.select(key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    return row_index(d, [F.col("_h"), F.col(key)], "idx").select(key, "idx")
 
 
 def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.functions.columns import NO_HUB, non_empty, to_number
+from hubflow.functions.ranking import dense_rank, exact_percentile
+from hubflow.session import cut_lineage
 
 KPI_COLUMNS = ["hub_id", "total_outgoing_flow", "avg_segment_delay", "std_delay",
                "median_delay", "max_delay", "delay_rank"]
@@ -25,9 +27,10 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
     median keeps a per-hub value->count map, bounded by distinct delays.
 
     Single-row hubs have no sample std; it is filled with the median std of
-    all hubs **before** the volume filter (quirk Q11). That median and the
-    dense rank (1 = worst mean delay) are window functions over the
-    hub-sized result (one row per hub), so the milestone data is read once.
+    all hubs **before** the volume filter (quirk Q11). The hub table is
+    written once; the exact median and the dense rank (1 = worst mean delay)
+    are computed from it with distributed helpers (no single-partition
+    window: hubs grow with the data), so the milestones are read once.
     """
     df = long_df
     if "delay_mins" not in df.columns:
@@ -42,12 +45,12 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
         F.percentile("delay_mins", 0.5).alias("median_delay"),
         F.max("delay_mins").alias("max_delay"),
     )
-    every_hub = Window.partitionBy()
+    agg = cut_lineage(agg)  # the hub table, written once and reused below
+    med = exact_percentile(agg, "std_delay", 0.5)
     filled = agg.withColumn("std_delay", F.coalesce(
-        "std_delay", F.percentile("std_delay", 0.5).over(every_hub), F.lit(0.0)))
+        "std_delay", F.lit(med).cast("double"), F.lit(0.0)))
     kept = filled.filter(F.col("total_outgoing_flow") >= min_volume)
-    ranked = kept.withColumn(
-        "delay_rank", F.dense_rank().over(Window.orderBy(F.desc("avg_segment_delay"))))
+    ranked = dense_rank(kept, F.desc("avg_segment_delay"), "avg_segment_delay", "delay_rank")
     ranked = ranked.select(*KPI_COLUMNS)
     if sort:
         ranked = ranked.orderBy(F.desc("total_outgoing_flow"), "hub_id")
@@ -57,15 +60,15 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
 def hub_quadrants(kpis: DataFrame, min_flow_percentile: float = 0.10) -> DataFrame:
     """Keep hubs with flow >= the p-th percentile (linear interpolation),
     then split at the medians of flow and mean delay of the kept hubs
-    (``>`` is high, ``<=`` low). The cut-offs are window aggregates over the
-    hub-sized table, so the upstream plan runs once."""
-    every_hub = Window.partitionBy()
-    cut = F.percentile("total_outgoing_flow", min_flow_percentile).over(every_hub)
-    kept = kpis.withColumn("_cut", cut).filter(F.col("total_outgoing_flow") >= F.col("_cut"))
-    kept = kept.withColumn("_mf", F.percentile("total_outgoing_flow", 0.5).over(every_hub)) \
-        .withColumn("_md", F.percentile("avg_segment_delay", 0.5).over(every_hub))
-    hi_f = F.col("total_outgoing_flow") > F.col("_mf")
-    hi_d = F.col("avg_segment_delay") > F.col("_md")
+    (``>`` is high, ``<=`` low). The hub table is written once and the
+    cut-offs are exact distributed percentiles over it."""
+    k = cut_lineage(kpis)
+    cut = exact_percentile(k, "total_outgoing_flow", min_flow_percentile)
+    kept = k.filter(F.col("total_outgoing_flow") >= F.lit(cut))
+    mf = exact_percentile(kept, "total_outgoing_flow", 0.5)
+    md = exact_percentile(kept, "avg_segment_delay", 0.5)
+    hi_f = F.col("total_outgoing_flow") > F.lit(mf)
+    hi_d = F.col("avg_segment_delay") > F.lit(md)
     cat = (F.when(hi_f & hi_d, QUADRANTS[0]).when(hi_f, QUADRANTS[1])
            .when(hi_d, QUADRANTS[2]).otherwise(QUADRANTS[3]))
-    return kept.withColumn("hub_category", cat).drop("_cut", "_mf", "_md")
+    return kept.withColumn("hub_category", cat)

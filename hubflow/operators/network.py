@@ -87,16 +87,17 @@ def node_features(nodes: DataFrame, kpis: DataFrame) -> DataFrame:
 def standardise(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """Z-score with the population std; a zero-variance column divides by 1.
 
-    Means and stds are window aggregates over the whole (node-sized) table,
-    so its upstream plan is evaluated once."""
-    every = Window.partitionBy()
-    out = df
-    for c in cols:
-        x = F.col(c).cast("double")
-        mu = F.avg(x).over(every)
-        sd = F.stddev_pop(x).over(every)
-        sd = F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd)
-        out = out.withColumn(c + suffix, (x - mu) / sd)
+    The table is written once; means and stds are one distributed
+    aggregation over it (2 x len(cols) numbers reach the driver)."""
+    from hubflow.session import cut_lineage
+    out = cut_lineage(df)
+    m = out.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}")
+                  for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        mu = m[f"m{i}"] if m[f"m{i}"] is not None else 0.0
+        sd = m[f"s{i}"] if m[f"s{i}"] else 1.0
+        out = out.withColumn(c + suffix, (F.col(c).cast("double") - F.lit(mu)) / F.lit(sd))
     return out
 
 

@@ -10,7 +10,7 @@ batch operator. Restart-safe through the query checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubflow.functions.columns import NO_HUB, non_empty
@@ -41,8 +41,9 @@ def start_monitor(stream: DataFrame, out_path: str, checkpoint: str,
     """Start the query: every trigger overwrites ``out_path`` with the
     current KPI table plus its dense delay rank."""
     def publish(batch: DataFrame, _batch_id: int) -> None:
-        ranked = batch.withColumn(
-            "delay_rank", F.dense_rank().over(Window.orderBy(F.desc("avg_segment_delay"))))
+        from hubflow.functions.ranking import dense_rank
+        ranked = dense_rank(batch, F.desc("avg_segment_delay"), "avg_segment_delay",
+                            "delay_rank")
         ranked.write.mode("overwrite").parquet(out_path)
 
     w = (running_hub_kpis(stream).writeStream.outputMode("complete")
