@@ -350,11 +350,19 @@ def cluster_interpretation(clustered: DataFrame) -> DataFrame:
         .withColumn("recommendation", pick(1)).drop("_tf", "_af", "_ad")
 
 
-def cluster_top_hubs(clustered: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` busiest hubs of each cluster (ties by hub id)."""
-    w = Window.partitionBy("cluster_label").orderBy(F.desc("total_outgoing_flow"), "hub_id")
-    return clustered.filter(F.col("cluster_label").isNotNull()) \
-        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+def cluster_top_hubs(clustered: DataFrame, n: int = 5, salts: int = 64) -> DataFrame:
+    """The ``n`` busiest hubs of each cluster (ties by hub id).
+
+    Two-stage top-n so a cluster holding most hubs is not ranked in one
+    task: first per (cluster, hash salt of the hub), then per cluster over
+    at most ``n * salts`` survivors."""
+    order = [F.desc("total_outgoing_flow"), F.col("hub_id")]
+    c = clustered.filter(F.col("cluster_label").isNotNull()).withColumn(
+        "_salt", F.pmod(F.xxhash64("hub_id"), F.lit(salts)))
+    w1 = Window.partitionBy("cluster_label", "_salt").orderBy(*order)
+    c = c.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
+    w2 = Window.partitionBy("cluster_label").orderBy(*order)
+    return c.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n) \
         .select("cluster_label", "rank", "hub_id", "total_outgoing_flow", "avg_segment_delay")
 
 

@@ -90,7 +90,12 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42,
         if cand.count() >= target or draws * 4 > max(n // 2, 1):
             break
         draws *= 4
-    return cand.orderBy(F.xxhash64(F.lit(seed + 1), "src", "dst"), "src", "dst").limit(target)
+    # first ``target`` pairs in a seeded hash order, ranked distributively
+    # (target grows with the node count, so no single-task top-k)
+    from hubflow.functions.ranking import row_index
+    h = cand.withColumn("_h", F.xxhash64(F.lit(seed + 1), "src", "dst"))
+    ranked = row_index(h, [F.col("_h"), F.col("src"), F.col("dst")], "_i")
+    return ranked.filter(F.col("_i") < target).select("src", "dst")
 
 
 def _pair_features(h_i, h_j, p: int):
