@@ -14,7 +14,8 @@ def is_id_column(name: str) -> bool:
     return "_ID" in name
 
 
-def clean_wide(raw: DataFrame, compat: bool = False) -> DataFrame:
+def clean_wide(raw: DataFrame, compat: bool = False,
+               numeric_columns: set[str] | None = None) -> DataFrame:
     """P1-P6 in one projection.
 
     Rename by the generated map, keep the first of duplicate targets, make
@@ -22,7 +23,9 @@ def clean_wide(raw: DataFrame, compat: bool = False) -> DataFrame:
     column to BIGINT minutes (invalid -> 0) **if** it holds at least one
     numeric value; columns without any numeric text stay text (NULL -> '0').
     The "has a number" guard is a single global aggregation (one row of
-    counts) over all candidate columns, so the data is scanned once for it.
+    counts) over all candidate columns, so the data is scanned once for it;
+    callers that know which (cleaned) columns are numeric can pass
+    ``numeric_columns`` and skip that pass.
     """
     mapping = rename_map(compat)
     names = [mapping.get(c, c) for c in raw.columns]
@@ -34,7 +37,9 @@ def clean_wide(raw: DataFrame, compat: bool = False) -> DataFrame:
     renamed = raw.select(*[F.col(f"`{raw.columns[i]}`").alias(names[i]) for i in keep])
     others = [c for c in renamed.columns if not is_id_column(c)]
     numeric = set()
-    if others:
+    if numeric_columns is not None:
+        numeric = {c for c in others if c in numeric_columns}
+    elif others:
         counts = renamed.agg(*[F.count(to_number(c)).alias(c) for c in others]).first()
         numeric = {c for c in others if counts[c] > 0}
     exprs = []
