@@ -963,3 +963,21 @@ def q_embedding_loss(spark, sf_dir):
     _, loss = link_embedding(z, edges, NODE_COLS, dim=16, hops=5)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(loss)],
                                  "iteration int, loss double")
+
+
+# ------------------------------------------------ source-compatible variant
+def _compat_sql():
+    from hubflow.plans import widesql as W
+    return (f"WITH {W.raw_wide_sql()}, {W.clean_wide_sql(compat=True)}, "
+            f"{W.unpivot_sql(compat=True)}, {S.hub_kpis_cte(src='unpiv')} SELECT * FROM kpis")
+
+
+@register("hub_kpis_compat", doubles=KPI_DOUBLES, ops="Q1 Q3 compat: P2 U1 A1", sql=_compat_sql())
+def q_hub_kpis_compat(spark, sf_dir):
+    """Hub KPIs through the raw wide path with the source's quirks reproduced
+    (duplicate IN_2 hub column dropped, DLV hubs split as 'x.0')."""
+    from hubflow.operators.clean import clean_wide
+    from hubflow.operators.journeys import unpivot_long
+    from hubflow.sources.tables import journeys_wide
+    c = clean_wide(journeys_wide(spark, sf_dir), compat=True)
+    return K.hub_kpis(unpivot_long(c, compat=True))

@@ -44,13 +44,17 @@ def numeric_raw_columns() -> set[str]:
     return out
 
 
-def clean_wide_sql() -> str:
+def clean_wide_sql(compat: bool = False) -> str:
     """CTE ``clean_w``: rename, drop duplicate targets, ids to text, numbers."""
-    m = rename_map()
+    m = rename_map(compat)
     numeric = numeric_raw_columns()
     sel = []
+    seen = set()
     for c in raw_columns():
         n = m.get(c, c)
+        if n in seen:
+            continue
+        seen.add(n)
         if "_ID" in n:
             sel.append(f"CASE WHEN {c} IS NULL OR replace({c}, '?', '0') = 'nan' THEN '0' "
                        f"ELSE replace({c}, '?', '0') END AS {n}")
@@ -61,12 +65,15 @@ def clean_wide_sql() -> str:
     return f"clean_w AS (SELECT {', '.join(sel)} FROM raw_wide)"
 
 
-def unpivot_sql() -> str:
+def unpivot_sql(compat: bool = False) -> str:
     """CTE ``unpiv``: the long milestone rows of ``clean_w``."""
+    cols = {rename_map(compat).get(c, c) for c in raw_columns()}
     parts = []
     k = 0
     for leg in LEG_PREFIXES.values():
         first = f"{leg}_{DEP}_Seg1_Hub_ID"
+        if first not in cols:
+            first = "'none'"
         lasts = [f"{leg}_{ARR}_Seg{s}_Hub_ID" for s in reversed(SEGMENTS)]
         last = "coalesce(" + ", ".join(
             f"CASE WHEN {c} NOT IN ('0', '?') THEN {c} END" for c in lasts) + ", 'none')"
@@ -84,11 +91,16 @@ def unpivot_sql() -> str:
         for s in SEGMENTS:
             for kind, ms in ((DEP, "DEP"), (ARR, "RCF")):
                 b = f"{leg}_{kind}_Seg{s}"
+                if f"{b}_Hub_ID" not in cols:
+                    continue
                 parts.append(sel(f"{b}_Planned_Mins", f"{b}_Effective_Mins", f"{b}_Hub_ID",
                                  ms, f"Transport_Seg{s}"))
         parts.append(sel(f"{leg}_{DELIVERY}_Planned_Mins", f"{leg}_{DELIVERY}_Effective_Mins",
                          last, "DLV", DELIVERY))
     u = " UNION ALL ".join(parts)
+    norm = "CASE WHEN hub IS NULL OR hub IN ('0', '0.0', 'nan', '?') THEN 'none' ELSE hub END"
+    hub_sql = (f"CASE WHEN milestone = 'DLV' AND regexp_full_match(hub, '\\d+') "
+               f"THEN hub || '.0' ELSE {norm} END") if compat else norm
 
     def num(x):
         v = f"TRY_CAST({x} AS DOUBLE)"
@@ -96,8 +108,8 @@ def unpivot_sql() -> str:
     return f"""
     u0 AS ({u}),
     u1 AS (SELECT leg_id, {num('p')} AS planned_mins, {num('e')} AS effective_mins,
-             CASE WHEN hub IS NULL OR hub IN ('0', '0.0', 'nan', '?') THEN 'none' ELSE hub END
-               AS hub_id, milestone, stage_group, leg_type, CAST(seq AS BIGINT) AS seq FROM u0),
+             {hub_sql} AS hub_id, milestone, stage_group, leg_type, CAST(seq AS BIGINT) AS seq
+             FROM u0),
     unpiv AS (SELECT leg_id, planned_mins, effective_mins, hub_id, milestone, stage_group,
              leg_type, CASE WHEN effective_mins <> 0 AND planned_mins <> 0
                THEN effective_mins - planned_mins ELSE CAST(0 AS BIGINT) END AS delay_mins, seq
