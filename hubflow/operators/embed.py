@@ -2,7 +2,7 @@
 
 * G8: K-hop mean propagation ``h_{k+1}(v) = avg(h_k(u) for u -> v)``, each
   hop one join with the edge table and one ``groupBy(dst)`` (partial
-  aggregation), checkpointed between hops.
+  aggregation), the state written to the checkpoint folder between hops.
 * G9: negative pairs from a seeded hash of (node, draw), minus existing
   edges (``left_anti``), deduplicated: no pair enumeration.
 * G10/G11: a bilinear logistic regression ``sigma(h_i' M h_j)`` fitted with
