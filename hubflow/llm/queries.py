@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import linededup, pii, secrets, sql
+from hubflow.llm import decontaminate, linededup, packing, pii, secrets, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(found)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair with the item contained."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"),
+                                      _table(spark, sf_dir, "benchmark"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket, batch and slot of every document."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -32,5 +43,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op7_line_dedup, op8_pii)}
-ORACLE_SQL = {"op1_secret_scan": sql.SECRETS, "op7_line_dedup": sql.LINE_DEDUP, "op8_pii": sql.PII}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing,
+                                    op7_line_dedup, op8_pii)}
+ORACLE_SQL = {"op1_secret_scan": sql.SECRETS, "op2_decontamination": sql.DECONTAMINATION,
+              "op3_packing": sql.PACKING, "op7_line_dedup": sql.LINE_DEDUP, "op8_pii": sql.PII}

@@ -103,3 +103,69 @@ LINE_DEDUP = "WITH " + line_dedup(
     f"regexp_replace(coalesce(html, ''), '{_MARKUP}', chr(10), 'g')", 0.1, 5) + """
 SELECT id AS page_id, array_to_string(kept, chr(10)) AS text, len(lines)::BIGINT AS n_lines,
        (len(lines) - len(kept))::BIGINT AS n_dropped FROM kept"""
+
+
+def word_list(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def shingle_list(w: str) -> str:
+    """Distinct five-word shingles of the word list ``w`` as strings."""
+    return (f"CASE WHEN len({w}) = 0 THEN [] WHEN len({w}) < 5 THEN ['short ' || array_to_string({w}, ' ')] "
+            f"ELSE list_distinct(list_transform(range(1, len({w}) - 3), "
+            f"lambda i: array_to_string({w}[i:i + 4], ' '))) END")
+
+
+def contaminated(docs: str) -> str:
+    """CTEs up to ``leak(doc_id, item_id, n_shared, n_item)`` for a table of documents."""
+    return f"""
+dw AS (SELECT doc_id, {word_list('text')} AS w FROM {docs}),
+iw AS (SELECT item_id, {word_list('text')} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest({shingle_list('w')}) AS g FROM dw),
+il AS (SELECT item_id, unnest({shingle_list('w')}) AS g FROM iw),
+leak AS (SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM ds JOIN il USING (g)
+         JOIN (SELECT item_id, count(*) AS n_item FROM il GROUP BY item_id) USING (item_id)
+         GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.75 * n_item)"""
+
+
+DECONTAMINATION = "WITH " + contaminated("documents") + """
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM leak"""
+
+
+def packing(docs: str, n_buckets: int = 16, budget: int = 65536) -> str:
+    """Table expression text after ``WITH RECURSIVE``: the packing of ``docs``."""
+    return rf"""
+ln AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM {docs}),
+rw AS (SELECT doc_id, n, greatest(1, CASE WHEN n <= 4096 THEN n ELSE
+         ((n + (1::BIGINT << (length(bin(n)) - 12)) - 1) // (1::BIGINT << (length(bin(n)) - 12)))
+         * (1::BIGINT << (length(bin(n)) - 12)) END) AS b FROM ln),
+hs AS (SELECT list(b ORDER BY b) AS lens, list(c ORDER BY b) AS cum, len(list(b)) AS m
+       FROM (SELECT b, sum(count(*)) OVER (ORDER BY b)::HUGEINT AS c FROM rw GROUP BY b)),
+dp AS (
+  SELECT 1 AS k, list_transform(range(1, m + 1), lambda j: lens[j] * cum[j]) AS best,
+         [list_transform(range(1, m + 1), lambda j: 0)] AS picks, lens, cum, m FROM hs
+  UNION ALL
+  SELECT k + 1, list_transform(opts, lambda o: list_min(o)),
+         list_append(picks, list_transform(opts, lambda o: len(o) - list_position(list_reverse(o), list_min(o)) + 1)),
+         lens, cum, m
+  FROM (SELECT k, picks, lens, cum, m, list_transform(range(1, m + 1), lambda j:
+          CASE WHEN j <= k THEN [best[j]] ELSE
+          list_transform(range(1, j), lambda i: CASE WHEN i < k THEN NULL ELSE best[i] + lens[j] * (cum[j] - cum[i]) END) END
+        ) AS opts FROM dp WHERE k < least({n_buckets}, m))
+),
+last AS (SELECT * FROM dp ORDER BY k DESC LIMIT 1),
+bk AS (
+  SELECT k, m AS j, [lens[m]] AS bounds, picks, lens FROM last
+  UNION ALL
+  SELECT k - 1, picks[k][j], list_prepend(lens[picks[k][j]], bounds), picks, lens FROM bk WHERE k > 1
+),
+bd AS (SELECT bounds FROM bk WHERE k = 1),
+pl AS (SELECT doc_id, n, len(list_filter(bounds, lambda x: x < b)) AS bucket,
+              bounds[len(list_filter(bounds, lambda x: x < b)) + 1] AS bucket_len FROM rw, bd),
+nb AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS nth,
+              greatest(1, {budget} // bucket_len) AS cap FROM pl)
+SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_len, nth // cap AS batch, nth % cap AS slot,
+       bucket_len - n AS padding FROM nb"""
+
+
+PACKING = "WITH RECURSIVE " + packing("documents")
