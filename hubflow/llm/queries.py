@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, linededup, packing, pii, secrets, sql
+from hubflow.llm import decontaminate, linededup, packing, pii, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labels outside the held-out third."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -43,7 +52,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity,
                                     op7_line_dedup, op8_pii)}
 ORACLE_SQL = {"op1_secret_scan": sql.SECRETS, "op2_decontamination": sql.DECONTAMINATION,
               "op3_packing": sql.PACKING, "op7_line_dedup": sql.LINE_DEDUP, "op8_pii": sql.PII}

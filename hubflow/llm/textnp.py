@@ -20,6 +20,11 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: white space and every ASCII character that is not a letter
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[128:] = False
+NOT_LETTER[65:91] = False
+NOT_LETTER[97:123] = False
 _pow_cache: dict[str, np.ndarray] = {}
 
 
@@ -60,9 +65,11 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
-def words(offs: np.ndarray, raw: np.ndarray, fold: bool = True, spans: bool = False):
+def words(offs: np.ndarray, raw: np.ndarray, spans: bool = False,
+          gaps: np.ndarray = _IS_SPACE):
     """(hash per word, first word index per document [n+1]) and, with
-    ``spans``, byte start and end of each word within ``raw``.
+    ``spans``, byte start and end of each word within ``raw``. ``gaps`` marks
+    the bytes between words.
 
     Works through the rows in blocks of about BLOCK_BYTES, so memory follows
     the block and the words, not the batch's text.
@@ -75,7 +82,7 @@ def words(offs: np.ndarray, raw: np.ndarray, fold: bool = True, spans: bool = Fa
         j = min(j, n)
         lo, hi = int(offs[i]), int(offs[j])
         b = raw[lo:hi]
-        gap = _IS_SPACE[b]
+        gap = gaps[b]
         # a document border ends a word as white space does
         word_here = ~gap
         before = np.empty(len(b) + 1, dtype=bool)
@@ -91,7 +98,7 @@ def words(offs: np.ndarray, raw: np.ndarray, fold: bool = True, spans: bool = Fa
         end = np.flatnonzero(word_here & ends_mask) + 1
         p, inv = _powers(len(b) + 1)
         acc = np.zeros(len(b) + 1, dtype=U)
-        np.cumsum(_BYTE[_FOLD[b] if fold else b] * p[:len(b)], out=acc[1:])
+        np.cumsum(_BYTE[_FOLD[b]] * p[:len(b)], out=acc[1:])
         h = mix((acc[end] - acc[start]) * inv[start] + (end - start).astype(U))
         hashes.append(h)
         if spans:
@@ -132,3 +139,22 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, n: int = 5) -> list[np.ndarra
             s = np.zeros(0, dtype=U)
         sets.append(s)
     return sets
+
+
+def distinct_words(h: np.ndarray):
+    """(index of one occurrence per distinct word, place of every word among them)."""
+    _, at, place = np.unique(h, return_index=True, return_inverse=True)
+    return at, place
+
+
+def prefix_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray,
+                  sizes: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per size: (hash of the words' first bytes, whether the word is longer)."""
+    out, acc = [], np.zeros(len(start), dtype=U)
+    top = max(len(raw) - 1, 0)
+    for k in range(1, sizes.stop):
+        b = raw[np.minimum(start + k - 1, top)] if len(raw) else np.zeros(len(start), np.uint8)
+        acc = acc * U(_BASE) + _BYTE[_FOLD[b]]
+        if k in sizes:
+            out.append((mix(acc + U(k * 0xA0761D6478BD642F % (1 << 64))), end - start > k))
+    return out
