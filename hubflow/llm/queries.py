@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, linededup, packing, pii, secrets, sql, toxicity
+from hubflow.llm import decontaminate, linededup, ngram_join, packing, pii, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return ngram_join.link_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -52,7 +57,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity,
-                                    op7_line_dedup, op8_pii)}
-ORACLE_SQL = {"op1_secret_scan": sql.SECRETS, "op2_decontamination": sql.DECONTAMINATION,
-              "op3_packing": sql.PACKING, "op7_line_dedup": sql.LINE_DEDUP, "op8_pii": sql.PII}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity, op5_ngram_join,
+    op7_line_dedup, op8_pii)}
+ORACLE_SQL = {
+    "op1_secret_scan": sql.SECRETS,
+    "op2_decontamination": sql.DECONTAMINATION,
+    "op3_packing": sql.PACKING,
+    "op5_ngram_join": sql.NGRAM_JOIN,
+    "op7_line_dedup": sql.LINE_DEDUP,
+    "op8_pii": sql.PII,
+}

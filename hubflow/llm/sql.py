@@ -169,3 +169,27 @@ SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_len, nth // cap AS b
 
 
 PACKING = "WITH RECURSIVE " + packing("documents")
+
+
+def ascii_word_list(text: str) -> str:
+    return (rf"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), "
+            r"'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')")
+
+
+def near_components(docs: str) -> str:
+    """CTEs (recursive) up to ``comp(doc_id, n, component_id)``."""
+    return f"""
+nw AS (SELECT doc_id, {ascii_word_list('text')} AS w FROM {docs}),
+ng AS (SELECT doc_id, {shingle_list('w')} AS gs FROM nw),
+nu AS (SELECT doc_id, unnest(gs) AS g FROM ng),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM nu x JOIN nu y ON x.g = y.g AND x.doc_id <> y.doc_id
+         JOIN ng p ON p.doc_id = x.doc_id JOIN ng q ON q.doc_id = y.doc_id
+         GROUP BY x.doc_id, y.doc_id, len(p.gs), len(q.gs)
+         HAVING 100 * count(*) >= 75 * (len(p.gs) + len(q.gs) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM ng UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT ng.doc_id, len(gs)::BIGINT AS n, c.component_id FROM ng
+         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id))"""
+
+
+NGRAM_JOIN = "WITH RECURSIVE " + near_components("documents") + """
+SELECT doc_id, n AS n_shingles, component_id FROM comp"""
