@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, linededup, ngram_join, packing, pii, secrets, sql, toxicity
+from hubflow.llm import decontaminate, embed_dedup, linededup, ngram_join, packing, pii, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every embedding."""
+    return embed_dedup.vector_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity, op5_ngram_join,
-    op7_line_dedup, op8_pii)}
+    op7_line_dedup, op8_pii, op9_embedding_dedup)}
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRETS,
     "op2_decontamination": sql.DECONTAMINATION,
@@ -67,4 +72,5 @@ ORACLE_SQL = {
     "op5_ngram_join": sql.NGRAM_JOIN,
     "op7_line_dedup": sql.LINE_DEDUP,
     "op8_pii": sql.PII,
+    "op9_embedding_dedup": sql.EMBEDDINGS,
 }

@@ -193,3 +193,16 @@ comp AS (SELECT ng.doc_id, len(gs)::BIGINT AS n, c.component_id FROM ng
 
 NGRAM_JOIN = "WITH RECURSIVE " + near_components("documents") + """
 SELECT doc_id, n AS n_shingles, component_id FROM comp"""
+
+
+EMBEDDINGS = """WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm, len(e) AS d FROM v WHERE ok),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.vec_id <> y.vec_id AND x.d = y.d
+         WHERE list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = c.vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept FROM c"""
