@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, embed_dedup, linededup, ngram_join, packing, pii, secrets, sql, toxicity
+from hubflow.llm import decontaminate, embed_dedup, linededup, ngram_join, packing, pii, quality, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,14 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.vector_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label quality of every document."""
+    return quality.score_quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity, op5_ngram_join,
-    op7_line_dedup, op8_pii, op9_embedding_dedup)}
+    op7_line_dedup, op8_pii, op9_embedding_dedup, op10_quality)}
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRETS,
     "op2_decontamination": sql.DECONTAMINATION,

@@ -65,6 +65,18 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return offs, raw
 
 
+def pieces(batches, column: str, nbytes: int = BLOCK_BYTES):
+    """The batches cut into slices of about ``nbytes`` of text (one row at least)."""
+    for b in batches:
+        offs, _ = text_buffers(b.column(column))
+        i = 0
+        while i < b.num_rows:
+            j = int(np.searchsorted(offs, offs[i] + nbytes, side="right")) - 1
+            j = min(max(i + 1, j), b.num_rows)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def words(offs: np.ndarray, raw: np.ndarray, spans: bool = False,
           gaps: np.ndarray = _IS_SPACE):
     """(hash per word, first word index per document [n+1]) and, with
