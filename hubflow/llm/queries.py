@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, embed_dedup, linededup, ngram_join, packing, pii, quality, secrets, sql, toxicity
+from hubflow.llm import decontaminate, embed_dedup, linededup, lm_score, ngram_join, packing, pii, quality, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the corpus's trigram counts."""
+    out = lm_score.stupid_backoff(_table(spark, sf_dir, "documents"))
+    return out.withColumns({"log_score": F.round("log_score", 4) + F.lit(0.0),
+                            "mean_log_score": F.round("mean_log_score", 6) + F.lit(0.0)})
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -69,12 +76,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity, op5_ngram_join,
-    op7_line_dedup, op8_pii, op9_embedding_dedup, op10_quality)}
+    op6_lm_score,    op7_line_dedup, op8_pii, op9_embedding_dedup, op10_quality)}
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRETS,
     "op2_decontamination": sql.DECONTAMINATION,
     "op3_packing": sql.PACKING,
     "op5_ngram_join": sql.NGRAM_JOIN,
+    "op6_lm_score": sql.LM_SCORE,
     "op7_line_dedup": sql.LINE_DEDUP,
     "op8_pii": sql.PII,
     "op9_embedding_dedup": sql.EMBEDDINGS,

@@ -206,3 +206,24 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reac
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM link WHERE a = c.vec_id) AS n_links, component_id,
        vec_id = component_id AS kept FROM c"""
+
+
+LM_SCORE = rf"""WITH
+d AS (SELECT doc_id, {ascii_word_list('text')} AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+bi AS (SELECT b, a, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, a),
+tri AS (SELECT c, b, a, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, b, a),
+s AS (SELECT p.doc_id, tri.n >= 2 AS full_order, u.n < 2 AND coalesce(bi.n, 0) < 2 AS unseen, CASE
+        WHEN tri.n >= 2 THEN ln(tri.n) - ln(cb.n)
+        WHEN bi.n >= 2 THEN ln(0.4) + ln(bi.n) - ln(ub.n)
+        WHEN u.n >= 2 THEN 2 * ln(0.4) + ln(u.n) - ln((SELECT count(*) FROM p))
+        ELSE 2 * ln(0.4) - ln((SELECT count(*) FROM p)) END AS v
+      FROM p JOIN u ON u.a = p.a LEFT JOIN bi ON bi.a = p.a AND bi.b = p.b
+      LEFT JOIN tri ON tri.a = p.a AND tri.b = p.b AND tri.c = p.c
+      LEFT JOIN bi cb ON cb.a = p.b AND cb.b = p.c LEFT JOIN u ub ON ub.a = p.b)
+SELECT d.doc_id, count(v) AS n_words, round(coalesce(sum(v), 0), 4) + 0.0 AS log_score,
+       round(avg(v), 6) + 0.0 AS mean_log_score, count(*) FILTER (full_order) AS n_full,
+       count(*) FILTER (unseen) AS n_unseen
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
