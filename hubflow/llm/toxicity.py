@@ -103,8 +103,8 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 class Tokens:
     """The letter words of a batch of texts and their lexicon features."""
 
-    def __init__(self, b: pa.RecordBatch):
-        self.offs, self.raw = textnp.text_buffers(b.column("text"))
+    def __init__(self, texts):
+        self.offs, self.raw = textnp.text_buffers(texts)
         h, self.first, self.start, self.end = textnp.words(
             self.offs, self.raw, spans=True, gaps=textnp.NOT_LETTER)
         at, self.place = textnp.distinct_words(h)
@@ -146,7 +146,7 @@ def _evidence(lex: Lexicon, score: np.ndarray, first: np.ndarray):
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each feature, by fold and label (g = fold * 2 + toxic)."""
     for b in batches:
-        t = Tokens(b)
+        t = Tokens(b.column("text"))
         group = np.asarray(b.column("fold")) * 2 + np.asarray(b.column("toxic"))
         doc = np.repeat(np.arange(len(group)), np.diff(t.first))
         key = np.unique(np.stack([t.place, doc]), axis=1)      # distinct (word, document)
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fold = np.asarray(b.column("fold"))
         for k in np.unique(fold).tolist():
             rows = b.filter(pa.array(fold == k))
-            yield f(Tokens(rows), parts[k], rows)
+            yield f(Tokens(rows.column("text")), parts[k], rows)
 
     def best_segments(batches):
         def one(t, lex, rows):
@@ -291,6 +291,15 @@ def _char_spans(raw: np.ndarray, lo: int, pairs: list[tuple[int, int]]) -> list[
     return [(chars(lo, a), chars(lo, b)) for a, b in pairs]
 
 
+def probabilities(texts, model: Model) -> np.ndarray:
+    """Score of each text of an Arrow column."""
+    if model.lexicon is None:
+        return np.zeros(len(texts))
+    t = Tokens(texts)
+    best, total, _ = _evidence(model.lexicon, t.scores(model.lexicon), t.first)
+    return model.probability(best, total)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """id, score, passages (start, end in code points, score, e_value)."""
@@ -306,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
                 n = b.num_rows
                 p, out = np.zeros(n), [[] for _ in range(n)]
             else:
-                t = Tokens(b)
+                t = Tokens(b.column("text"))
                 best, total, found = _evidence(m.lexicon, t.scores(m.lexicon), t.first)
                 p, out = m.probability(best, total), []
                 for r, segs in enumerate(found):
@@ -323,6 +332,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
              "passages array<struct<start:int,end:int,score:double,e_value:double>>")
 
 
+def filter_clean(docs: DataFrame, model: Model, text_col: str = "text",
+                 reject_at: float = 0.7) -> DataFrame:
+    """``docs`` without the rows scored ``reject_at`` or more.
+
+    Rows are judged where they are read: the batch is filtered in its task,
+    so whole texts never move to meet their scores."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in textnp.pieces(batches, text_col):
+            yield b.filter(pa.array(probabilities(b.column(text_col), shared.value) < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from training: CRC-32 of the id's text leaves 1 modulo 3."""
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
