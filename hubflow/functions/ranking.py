@@ -1,16 +1,11 @@
-"""Distributed ranking and exact quantiles (no single-partition windows).
+"""Distributed ranking and exact quantiles (no single-partition row windows).
 
 A window without ``partitionBy`` moves every row into one task. The helpers
-here keep the work spread out:
-
-* ``dense_rank`` / ``row_index``: range-partition on the ordering, number
-  rows inside each range partition, and add the partition's offset from a
-  table with one row per partition.
-* ``exact_percentile``: linear-interpolated percentile (Spark's
-  ``percentile``, DuckDB's ``quantile_cont``) found by bracketing the two
-  target ranks with ``approx_percentile`` and resolving them exactly from
-  the (value, count) pairs inside the bracket -- a bounded handful of
-  values reaches the driver, never the column.
+here range-partition on the ordering, number the rows inside each range
+partition, *write that table once* and add each partition's offset, taken
+from the written table (one row per partition). Reading both from the same
+written table matters: a range partitioning that is evaluated twice samples
+its borders twice, and numbers and offsets would not fit.
 """
 
 from __future__ import annotations
@@ -20,78 +15,61 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+from hubflow.session import cut_lineage
 
 
 def _partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _offsets(local: DataFrame) -> DataFrame:
-    """Start offset of every range partition (one row per partition)."""
-    counts = local.groupBy("_p").agg(F.max("_rn").alias("_n"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+def _numbered(df: DataFrame, order: list[Column], step: Column | None = None) -> DataFrame:
+    """The written table of ``df`` with ``_p`` (range partition), ``_rn``
+    (running count, or sum of ``step``, inside it) and ``_off`` (total of the
+    partitions before it)."""
+    w = Window.partitionBy("_p").orderBy(*order)
+    run = F.row_number().over(w).cast("bigint") if step is None else F.sum(step).over(
+        w.rowsBetween(Window.unboundedPreceding, 0))
+    local = cut_lineage(df.repartitionByRange(_partitions(df), *order)
+                        .withColumn("_p", F.spark_partition_id()).withColumn("_rn", run))
+    ends = local.groupBy("_p").agg(F.max("_rn").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return local.join(F.broadcast(offsets), "_p")      # one row per partition
 
 
 def dense_rank(df: DataFrame, order: Column, value: str, out: str) -> DataFrame:
     """``df`` plus ``out`` = dense rank of ``value`` under ``order`` (1 first).
 
-    Distinct values are range-partitioned on ``order``, numbered per
-    partition, shifted by the partition offsets and joined back on the
-    value (NULL values get NULL)."""
+    Distinct values are numbered and joined back on the value (NULL values
+    get NULL)."""
     d = df.select(value).filter(F.col(value).isNotNull()).distinct()
-    r = d.repartitionByRange(_partitions(df), order).withColumn("_p", F.spark_partition_id())
-    local = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    ranks = local.join(_offsets(local).select("_p", "_off"), "_p").select(
-        value, (F.col("_off") + F.col("_rn")).cast("int").alias(out))
+    ranks = _numbered(d, [order]).select(value, (F.col("_off") + F.col("_rn")).cast("int").alias(out))
     return df.join(ranks, value, "left")
 
 
 def row_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` plus ``out`` = 0-based position in ``order`` (must be total)."""
-    r = df.repartitionByRange(_partitions(df), *order).withColumn("_p", F.spark_partition_id())
-    local = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return local.join(F.broadcast(_offsets(local).select("_p", "_off")), "_p").withColumn(
+    return _numbered(df, order).withColumn(
         out, F.col("_off") + F.col("_rn") - 1).drop("_p", "_rn", "_off")
 
 
 def exact_percentile(df: DataFrame, col: str, p: float) -> float | None:
     """Exact linear-interpolated ``p``-percentile of ``col`` (NULLs ignored).
 
-    Three small jobs: the count; approximate quantiles bracketing the two
-    target ranks (plus min/max); then one aggregation that counts the rows
-    below the bracket and returns the (value, count) pairs inside it. Only
-    those pairs -- a number set by ``ACCURACY``, not by the data size --
-    reach the driver. A bracket missed by the approximation is widened."""
-    x = F.col(col).cast("double")
-    n = df.select(F.count(x)).first()[0]
-    if n == 0:
+    Values are counted, the counts summed up along the value order, and the
+    one or two values whose ranges hold the target ranks are fetched: at most
+    two rows reach the driver, whatever the size and the ties."""
+    counts = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy("_v").agg(F.count("*").alias("_c")))
+    at = _numbered(counts, [F.col("_v").asc()], F.col("_c")).withColumn(
+        "_end", F.col("_off") + F.col("_rn"))
+    n = at.agg(F.max("_end")).first()[0]
+    if not n:
         return None
     pos = p * (n - 1)
     k1, k2 = math.floor(pos), math.ceil(pos)
-    slack = 2 * n / ACCURACY + 2
-    while True:
-        lo_q = max(0.0, (k1 - slack) / max(n - 1, 1))
-        hi_q = min(1.0, (k2 + slack) / max(n - 1, 1))
-        r = df.select(F.percentile_approx(x, [lo_q, hi_q], ACCURACY).alias("q"),
-                      F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-        lo = r["mn"] if lo_q == 0 else r["q"][0]
-        hi = r["mx"] if hi_q == 1 else r["q"][1]
-        key = F.when(x < lo, F.lit(None)).otherwise(x)
-        rows = (df.filter(x.isNotNull() & (x <= hi)).groupBy(key.alias("v")).count()
-                .orderBy(F.col("v").asc_nulls_first()).collect())
-        below = sum(r["count"] for r in rows if r["v"] is None)
-        inside = [r for r in rows if r["v"] is not None]
-        total = sum(r["count"] for r in inside)
-        if below <= k1 and k2 < below + total:
-            break
-        slack *= 4  # bracket missed (approximation error): widen and retry
-    vals = {}
-    seen = below
-    for r in inside:
-        for k in (k1, k2):
-            if k not in vals and seen <= k < seen + r["count"]:
-                vals[k] = r["v"]
-        seen += r["count"]
-    return vals[k1] + (pos - k1) * (vals[k2] - vals[k1])
+    rows = at.filter(((F.col("_end") > k1) & (F.col("_end") - F.col("_c") <= k1))
+                     | ((F.col("_end") > k2) & (F.col("_end") - F.col("_c") <= k2))
+                     ).select("_v").collect()
+    lo, hi = min(r["_v"] for r in rows), max(r["_v"] for r in rows)
+    return lo + (pos - k1) * (hi - lo)

@@ -171,31 +171,41 @@ def dim_variance(points: DataFrame, vec: str = "embedding") -> DataFrame:
 
 def similar_vectors(points: DataFrame, targets: DataFrame, top_k: int = 5,
                     vec: str = "embedding", key: str = "vec_id",
-                    max_targets: int = 10000) -> DataFrame:
+                    block: int = 10_000) -> DataFrame:
     """For each target id, the ``top_k`` most cosine-similar other points.
 
-    Targets (ids + vectors) are a size-checked set (at most ``max_targets``
-    rows) captured in the task closure. Each partition computes its local top-k per target with one
-    matrix product (``mapInPandas``, Arrow batches); only k x targets rows
-    per partition are shuffled for the final per-target ranking, so no
-    target ever gathers all candidates in one task. Unknown targets give
-    no rows."""
-    tv = targets.select(key).distinct().join(
-        points.select(key, as_vector(vec).alias("tx")), key)
-    tv = tv.limit(max_targets + 1).collect()
-    if len(tv) > max_targets:
-        raise ValueError(f"more than max_targets={max_targets} targets; batch them")
-    spark = points.sparkSession
+    Ids may be of any type and keep it. Targets are taken in blocks of
+    ``block`` rows, each captured in a task closure, so any number of them
+    works: one pass over the points per block. Each partition computes its
+    local top-k per target with one matrix product (``mapInPandas``, Arrow
+    batches); only k x targets rows per partition are shuffled for the final
+    per-target ranking, so no target ever gathers all candidates in one task.
+    Unknown targets give no rows."""
+    from hubflow.functions.ranking import row_index
+    numbered = row_index(targets.select(key).distinct().join(
+        points.select(key, as_vector(vec).alias("tx")), key), [F.col(key)], "_i")
+    n = numbered.count()
+    parts = [_similar_to(points, [(r[key], r["tx"]) for r in numbered.filter(
+        (F.col("_i") >= lo) & (F.col("_i") < lo + block)).select(key, "tx").collect()], top_k, vec, key)
+        for lo in range(0, max(n, 1), block)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _similar_to(points: DataFrame, tv: list[tuple], top_k: int, vec: str, key: str) -> DataFrame:
+    kind = points.schema[key].dataType
     out_schema = T.StructType([
-        T.StructField("target_id", T.LongType()), T.StructField("similar_id", T.LongType()),
+        T.StructField("target_id", kind), T.StructField("similar_id", kind),
         T.StructField("similarity", T.DoubleType())])
     if not tv:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(1))
-    tids = np.array([r[key] for r in tv], dtype=np.int64)
-    tmat = np.array([np.asarray(r["tx"], dtype=float) for r in tv])
+        return points.sparkSession.createDataFrame([], out_schema).withColumn("rank", F.lit(1))
+    tids = [t for t, _ in tv]
+    tmat = np.array([np.asarray(x, dtype=float) for _, x in tv])
     tn = np.linalg.norm(tmat, axis=1)
     tmat = tmat / np.where(tn == 0, 1, tn)[:, None]
-    cand = points.select(F.col(key).cast("long").alias("cid"), as_vector(vec).alias("cx"))
+    cand = points.select(F.col(key).alias("cid"), as_vector(vec).alias("cx"))
 
     def local_topk(batches):
         parts = []
@@ -205,7 +215,7 @@ def similar_vectors(points: DataFrame, targets: DataFrame, top_k: int = 5,
             cm = np.stack([np.asarray(v, dtype=float) for v in pdf["cx"]])
             cn = np.linalg.norm(cm, axis=1)
             sims = (cm / np.where(cn == 0, 1, cn)[:, None]) @ tmat.T
-            cids = pdf["cid"].to_numpy(dtype=np.int64)
+            cids = np.array(pdf["cid"].tolist())
             for j, tid in enumerate(tids):
                 idx = np.nonzero(cids != tid)[0]
                 if len(idx) == 0:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.session import cut_lineage
+from hubflow.session import cut_lineage, drop_tables
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, cols: list[str], hops: int = 2,
@@ -63,32 +63,40 @@ def _node_index(nodes: DataFrame, key: str, seed: int) -> DataFrame:
 
 def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42,
                    key: str = "hub_id", oversample: int = 3) -> DataFrame:
-    """Up to ``min(E, 2N)`` node pairs that are not edges (no self pairs).
-
-    Every node draws ``oversample * ceil(target / N)`` partners by hashing
-    ``(seed, node, draw)`` into the dense node index; existing edges are
-    removed with a ``left_anti`` join and duplicates dropped; the first
-    ``target`` pairs in hash order are kept (a sampling operator, so the
-    limit is the feature). Dense graphs can yield fewer pairs."""
+    """``min(E, 2N, number of non-edges)`` node pairs that are not edges
+    (no self pairs).
+
+    Every node draws partners by hashing ``(seed, node, draw)`` into the dense
+    node index; existing edges are removed with a ``left_anti`` join and
+    duplicates dropped. Draws multiply until the target is met. Where a node
+    would draw as often as there are nodes, and on graphs where most pairs
+    are edges, every node's partners are listed instead: such a list is
+    linear in the edges (more than half of the N * (N - 1) pairs are edges) or
+    in the draws. The first ``target`` pairs in hash order are kept (a
+    sampling operator, so the limit is the feature)."""
     idx = cut_lineage(_node_index(nodes, key, seed))
     n = idx.count()
-    n_e = edges.select("src", "dst").distinct().count()
-    target = min(n_e, 2 * n)
-    if n < 2 or target == 0:
+    e = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct())
+    n_e = e.count()
+    inside = (e.join(idx.select(F.col(key).alias("src")), "src", "left_semi")
+              .join(idx.select(F.col(key).alias("dst")), "dst", "left_semi").count())
+    target = min(n_e, 2 * n, n * (n - 1) - inside)
+    if target <= 0:
         return nodes.sparkSession.createDataFrame([], "src string, dst string")
     draws = oversample * (-(-target // n))
-    e = edges.select("src", "dst")
     while True:
+        listed = draws >= n or 2 * inside > n * (n - 1)
         cand = idx.select(F.col(key).alias("src"),
-                          F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        cand = cand.withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "src", "draw"), F.lit(n)))
+                          F.explode(F.sequence(F.lit(0), F.lit((n if listed else draws) - 1))).alias("draw"))
+        pick = F.col("draw").cast("bigint") if listed else \
+            F.pmod(F.xxhash64(F.lit(seed), "src", "draw"), F.lit(n))
+        cand = cand.withColumn("j", pick)
         cand = cand.join(idx.select(F.col("idx").alias("j"), F.col(key).alias("dst")), "j")
         cand = cand.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
         cand = cut_lineage(cand.join(e, ["src", "dst"], "left_anti"))
-        # dense graphs: few draws miss the rare non-edges; draw more, never
-        # more than n/2 partners per node (no pair enumeration)
-        if cand.count() >= target or draws * 4 > max(n // 2, 1):
+        if listed or cand.count() >= target:
             break
+        drop_tables(cand)
         draws *= 4
     # first ``target`` pairs in a seeded hash order, ranked distributively
     # (target grows with the node count, so no single-task top-k)

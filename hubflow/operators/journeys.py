@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from hubflow.functions.columns import (
     CHECKIN, DEP, ARR, DELIVERY, LEG_PREFIXES, NO_HUB, SEGMENTS, SUFFIXES,
-    delay_expr, is_transport, non_empty, normalise_hub, stage_column, to_number)
+    canonical_hub, delay_expr, is_transport, non_empty, normalise_hub, stage_column, to_number)
+from hubflow.session import cut_lineage
 
 VARIANTS = ("embed", "router", "predict", "cost", "flow")
 MISSING = "nan"  # text of a missing successor in compat mode (quirk Q7)
@@ -87,6 +88,8 @@ def unpivot_long(clean: DataFrame, compat: bool = False) -> DataFrame:
         return clean.sparkSession.createDataFrame([], schema)
     x = clean.select(F.explode(F.array(*items)).alias("m")).select("m.*")
     hub = normalise_hub("hub")
+    if not compat:
+        hub = canonical_hub(hub)
     if compat:
         # The source turned a float hub into text like "128.0" for DLV rows
         # only; reproduce by appending ".0" to numeric DLV hubs (quirk Q3).
@@ -117,7 +120,8 @@ def with_successor(long_df: DataFrame, compat: bool = False,
     split over many tasks; ``lead`` runs per (partition, leg) block; the
     last row of each block takes the first hub of the same leg's next block,
     found from a table with one row per block (a leg spans at most
-    ``partitions`` blocks, so that window is bounded).
+    ``partitions`` blocks, so that window is bounded). The partitioned rows
+    are written once and read back, so this path runs a job when called.
     """
     order = ["planned_mins", "seq"] if "seq" in long_df.columns else ["planned_mins"]
     if "delay_mins" not in long_df.columns:
@@ -135,6 +139,9 @@ def with_successor(long_df: DataFrame, compat: bool = False,
         wb = Window.partitionBy("_blk", "leg_id").orderBy(*order)
         r = r.withColumn("_in", F.lead("hub_id").over(wb)) \
              .withColumn("_last", F.lead(F.lit(1)).over(wb).isNull())
+        # written once: a second evaluation of the range partitioning could
+        # draw other borders, and blocks would not fit their rows
+        r = cut_lineage(r)
         first = r.groupBy("_blk", "leg_id").agg(
             F.min_by("hub_id", F.struct(*order)).alias("_first"))
         nb = first.withColumn(

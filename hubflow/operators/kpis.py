@@ -38,13 +38,21 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
                            (to_number("effective_mins") - to_number("planned_mins")).cast("bigint"))
     df = df.filter(F.col("delay_mins").isNotNull() & F.col("hub_id").isNotNull()
                    & (F.col("hub_id") != NO_HUB) & non_empty())
-    agg = df.groupBy("hub_id").agg(
-        F.count("leg_id").alias("total_outgoing_flow"),
-        F.avg("delay_mins").alias("avg_segment_delay"),
-        F.stddev_samp("delay_mins").alias("std_delay"),
-        F.percentile("delay_mins", 0.5).alias("median_delay"),
-        F.max("delay_mins").alias("max_delay"),
-    )
+    # rows first combine per (hub, delay) in the map tasks, which also splits
+    # a hot hub; mean, deviation and the exact median follow from the counts
+    d, c = F.col("delay_mins").cast("double"), F.col("_c")
+    counts = df.groupBy("hub_id", "delay_mins").agg(
+        F.count("leg_id").alias("_legs"), F.count("*").alias("_c"))
+    agg = counts.groupBy("hub_id").agg(
+        F.sum("_legs").alias("total_outgoing_flow"), F.sum("_c").alias("_n"),
+        F.sum(d * c).alias("_s"), F.sum(d * d * c).alias("_ss"),
+        F.percentile("delay_mins", 0.5, c).alias("median_delay"),
+        F.max("delay_mins").alias("max_delay"))
+    mean = F.col("_s") / F.col("_n")
+    spread = F.greatest(F.col("_ss") - F.col("_s") * mean, F.lit(0.0))
+    agg = agg.select("hub_id", "total_outgoing_flow", mean.alias("avg_segment_delay"),
+                     F.when(F.col("_n") > 1, F.sqrt(spread / (F.col("_n") - 1))).alias("std_delay"),
+                     "median_delay", "max_delay")
     agg = cut_lineage(agg)  # the hub table, written once and reused below
     med = exact_percentile(agg, "std_delay", 0.5)
     filled = agg.withColumn("std_delay", F.coalesce(

@@ -232,7 +232,7 @@ def q_scenario_roi(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- patterns
-@register("late_patterns", ops="A11 A12 M8 S6", sql=f"""WITH {S.journeys_cte()},
+@register("late_patterns", ops="A11 A12 M8", sql=f"""WITH {S.journeys_cte()},
 seqs AS (SELECT leg_id, string_agg(hub_id, ' -> ' ORDER BY planned_mins, seq) AS pattern
          FROM journeys WHERE delay_mins > 30 GROUP BY leg_id)
 SELECT pattern, count(*) AS frequency FROM seqs GROUP BY pattern
@@ -262,7 +262,7 @@ def _pairs_sql():
     return " UNION ALL ".join(parts)
 
 
-@register("corr_matrix", doubles=("correlation",), ops="P18 E1 X7 S7",
+@register("corr_matrix", doubles=("correlation",), ops="P18 E1 X7",
           sql=f"WITH {S.journeys_cte()} {_pairs_sql()}")
 def q_corr_matrix(spark, sf_dir):
     """Pearson correlations of planned, effective and delay minutes (long form)."""
@@ -290,7 +290,7 @@ UNION ALL SELECT '{c}', CASE WHEN det > 1e-12 THEN (1 - x * x) / det
                         ELSE CAST('Infinity' AS DOUBLE) END FROM d"""
 
 
-@register("vif", doubles=("vif",), ops="E2 S7", sql=_vif_sql())
+@register("vif", doubles=("vif",), ops="E2", sql=_vif_sql())
 def q_vif(spark, sf_dir):
     """No-intercept variance inflation factors of the three minute columns."""
     from hubflow.operators.eda import vif
@@ -311,7 +311,7 @@ SELECT column_name, skewness, CASE WHEN skewness > 1 THEN 'Highly Positive Skew'
   ELSE 'Moderate Skew' END AS interpretation FROM sk"""
 
 
-@register("skewness_report", doubles=("skewness",), ops="E3 S7", sql=_skew_sql())
+@register("skewness_report", doubles=("skewness",), ops="E3", sql=_skew_sql())
 def q_skewness_report(spark, sf_dir):
     """Population skewness and its label per minute column."""
     from hubflow.operators.eda import skewness_report
@@ -392,8 +392,14 @@ def q_hub_quadrants(spark, sf_dir):
 # --------------------------------------------------- wide format: clean/U1
 def _clean(spark, sf_dir):
     from hubflow.operators.clean import clean_wide
+    return clean_wide(_raw_wide(spark, sf_dir))
+
+
+def _raw_wide(spark, sf_dir):
+    # written once: the numeric guard of cleaning and its output both read it
+    from hubflow.session import cut_lineage
     from hubflow.sources.tables import journeys_wide
-    return clean_wide(journeys_wide(spark, sf_dir))
+    return cut_lineage(journeys_wide(spark, sf_dir))
 
 
 def _wide_sql(tail: str) -> str:
@@ -401,17 +407,18 @@ def _wide_sql(tail: str) -> str:
     return f"WITH {W.raw_wide_sql()}, {W.clean_wide_sql()}{tail}"
 
 
-@register("clean_wide", ops="S1 S2 P1-P7 P11", sql=_wide_sql(" SELECT * FROM clean_w"))
+@register("clean_wide", ops="P1-P6 P11", sql=_wide_sql(" SELECT * FROM clean_w"))
 def q_clean_wide(spark, sf_dir):
-    """The raw 98-column journey table after renaming and type cleaning."""
-    return _clean(spark, sf_dir)
+    """The raw 98-column journey table after renaming and type cleaning.
 
+    Printed as text: which columns become numbers depends on the data, and a
+    SQL text has fixed column types; ``clean_summary`` checks their number."""
+    clean = _clean(spark, sf_dir)
+    return clean.select(*[F.col(c).cast("string").alias(c) for c in clean.columns])
 
-@register("clean_summary", ops="P8", sql=_wide_sql(""" SELECT
-  CAST(count(*) AS BIGINT) AS total_columns,
-  CAST(sum(CASE WHEN data_type = 'BIGINT' THEN 1 ELSE 0 END) AS BIGINT) AS numeric_columns,
-  CAST(sum(CASE WHEN data_type = 'BIGINT' THEN 0 ELSE 1 END) AS BIGINT) AS non_numeric_columns
-FROM (DESCRIBE SELECT * FROM clean_w) d(column_name, data_type, n, k, df, ex)"""))
+
+@register("clean_summary", ops="P8", sql=_wide_sql(
+    " " + __import__("hubflow.plans.widesql", fromlist=["x"]).clean_summary_sql()))
 def q_clean_summary(spark, sf_dir):
     """Column counts of the cleaned wide table (total / numeric / text)."""
     from hubflow.operators.clean import clean_summary
@@ -623,7 +630,10 @@ nodes AS (SELECT src AS node FROM re WHERE src IS NOT NULL
           UNION SELECT dst FROM re WHERE dst IS NOT NULL)"""
 
 
-def _apsp_sql(edge_filter: str = "TRUE", unit: bool = False) -> str:
+def _apsp_sql(edge_filter: str = "TRUE", unit: bool = False, sources: str = "") -> str:
+    only = f"du.s IN (SELECT node FROM {sources}) AND " if sources else ""
+    start = f" WHERE node IN (SELECT node FROM {sources})" if sources else ""
+    scale = f" * (SELECT count(*) FROM gn) / (SELECT count(*) FROM {sources})" if sources else ""
     w = "CAST(1000000 AS BIGINT)" if unit else "CAST(round(weight * 1000000) AS BIGINT)"
     sq = []
     prev = "d1"
@@ -640,8 +650,8 @@ d0 AS (SELECT node AS s, node AS v, CAST(0 AS BIGINT) AS d FROM gn
 d1 AS (SELECT s, v, min(d) AS d FROM d0 GROUP BY s, v),
 {', '.join(sq)},
 dag AS (SELECT du.s, ge.src AS u, ge.dst AS v FROM d16 du JOIN ge ON du.v = ge.src
-        JOIN d16 dv ON dv.s = du.s AND dv.v = ge.dst WHERE du.d + ge.w = dv.d),
-paths(s, last, path) AS (SELECT node, node, [node] FROM gn
+        JOIN d16 dv ON dv.s = du.s AND dv.v = ge.dst WHERE {only}du.d + ge.w = dv.d),
+paths(s, last, path) AS (SELECT node, node, [node] FROM gn{start}
         UNION ALL SELECT p.s, g.v, list_append(p.path, g.v) FROM paths p
         JOIN dag g ON g.s = p.s AND g.u = p.last),
 sig AS (SELECT s, last AS t, count(*) AS sigma FROM paths GROUP BY s, last),
@@ -650,7 +660,7 @@ bcs AS (SELECT i.v, sum(1.0 / sg.sigma) AS b FROM inter i JOIN sig sg ON i.s = s
         GROUP BY i.v),
 nn AS (SELECT count(*) AS n FROM gn),
 bc AS (SELECT gn.node AS hub_id, coalesce(b, 0.0) *
-         CASE WHEN n > 2 THEN 1.0 / ((n - 1) * (n - 2)) ELSE 0.0 END AS centrality
+         CASE WHEN n > 2 THEN 1.0 / ((n - 1) * (n - 2)) ELSE 0.0 END{scale} AS centrality
        FROM gn LEFT JOIN bcs ON gn.node = bcs.v, nn)"""
 
 
@@ -662,18 +672,34 @@ def q_betweenness(spark, sf_dir):
     return betweenness(_nation_router(spark, sf_dir))
 
 
-UNW_FILTER = "volume > (SELECT quantile_cont(volume, 0.5) FROM re)"
-
-
 @register("betweenness_unweighted", doubles=("centrality",), ops="G7",
-          sql=f"WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql(UNW_FILTER, unit=True)} "
-              "SELECT * FROM bc")
+          sql=f"WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql(unit=True)} SELECT * FROM bc")
 def q_betweenness_unweighted(spark, sf_dir):
-    """Hop-count betweenness on the busier half of the nation router edges."""
+    """Hop-count betweenness on the whole nation router graph."""
     from hubflow.operators.paths import betweenness
-    e = _nation_router(spark, sf_dir)
-    med = e.select(F.percentile("volume", 0.5)).scalar()
-    return betweenness(e.filter(F.col("volume") > med), weight=None)
+    return betweenness(_nation_router(spark, sf_dir), weight=None)
+
+
+PIVOTS = 4
+PIVOT_SQL = f"""{S.transits_ctes(hub='supplier', variants=('router',))},
+re AS ({ROUTER_EDGES_SQL}),
+nodes AS (SELECT src AS node FROM re WHERE src IS NOT NULL
+          UNION SELECT dst FROM re WHERE dst IS NOT NULL),
+piv AS (SELECT node FROM nodes ORDER BY CAST(node AS BIGINT) LIMIT {PIVOTS})"""
+
+
+@register("betweenness_pivots", doubles=("centrality",), ops="G5",
+          sql=f"""WITH RECURSIVE {PIVOT_SQL}, {_apsp_sql(sources='piv')}
+SELECT * FROM bc""")
+def q_betweenness_pivots(spark, sf_dir):
+    """Weighted betweenness of the supplier-hub graph, which grows with the
+    tables, estimated from the pivots of smallest id."""
+    from hubflow.operators.network import router_edges
+    from hubflow.operators.paths import betweenness, nodes_of
+    from hubflow.session import cut_lineage
+    e = cut_lineage(router_edges(_t(spark, sf_dir, "router")))
+    pivots = nodes_of(e).orderBy(F.col("node").cast("bigint")).limit(PIVOTS)
+    return betweenness(e, sources=cut_lineage(pivots))
 
 
 @register("bottlenecks", doubles=("centrality_score", "avg_hub_delay"), ops="G6 J10 O2",
@@ -821,7 +847,27 @@ def q_negative_edges(spark, sf_dir):
     return negative_edges(z, edges, seed=42)
 
 
-@register("link_embedding", ops="G8 G9 G10 G12 S5")
+@register("negative_edges_check", ops="G9", sql=f"""
+WITH {S.transits_ctes(variants=('embed',))},
+e AS (SELECT DISTINCT src, dst FROM t_embed),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT least((SELECT count(*) FROM e), 2 * (SELECT count(*) FROM n),
+             (SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1) - (SELECT count(*) FROM e)) AS pairs,
+       CAST(0 AS BIGINT) AS self_pairs, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS edges_drawn""")
+def q_negative_edges_check(spark, sf_dir):
+    """Size of the negative sample and what must not be in it."""
+    from hubflow.operators.embed import negative_edges
+    from hubflow.session import cut_lineage
+    z, edges = _embed_graph(spark, sf_dir)
+    edges = cut_lineage(edges)
+    pairs = cut_lineage(negative_edges(z, edges, seed=42))
+    drawn = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").count()
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("src") == F.col("dst")).alias("self_pairs"),
+                     (F.count("*") - F.count_distinct("src", "dst")).alias("repeated")
+                     ).withColumn("edges_drawn", F.lit(drawn).cast("bigint"))
+
+
+@register("link_embedding", ops="G8 G9 G10 G12")
 def q_link_embedding(spark, sf_dir):
     """16-d hub embeddings from link prediction on the supplier-hub graph."""
     from hubflow.operators.embed import link_embedding
@@ -876,7 +922,7 @@ def q_rf_delay(spark, sf_dir):
     return evaluate(model, f, "random_forest")
 
 
-@register("feature_importance", ops="M7 O4 S8")
+@register("feature_importance", ops="M7 O4")
 def q_feature_importance(spark, sf_dir):
     """GBT feature importances, largest first."""
     from hubflow.operators.predict import feature_importance
@@ -978,6 +1024,5 @@ def q_hub_kpis_compat(spark, sf_dir):
     (duplicate IN_2 hub column dropped, DLV hubs split as 'x.0')."""
     from hubflow.operators.clean import clean_wide
     from hubflow.operators.journeys import unpivot_long
-    from hubflow.sources.tables import journeys_wide
-    c = clean_wide(journeys_wide(spark, sf_dir), compat=True)
+    c = clean_wide(_raw_wide(spark, sf_dir), compat=True)
     return K.hub_kpis(unpivot_long(c, compat=True))

@@ -6,12 +6,13 @@ the driver can compare both engines on the same parquet tables.
 
 from __future__ import annotations
 
-from hubflow.sources.tables import LINE_STAGES
-
-
-def _case(idx: int) -> str:
-    whens = " ".join(f"WHEN {i + 1} THEN '{st[idx]}'" for i, st in enumerate(LINE_STAGES))
-    return f"CASE l_linenumber {whens} END"
+# Written out here, not taken from the Spark modules, so that a wrong mapping
+# on either side shows.
+_MILESTONE = ("CASE l_linenumber WHEN 1 THEN 'RCS' WHEN 2 THEN 'DEP' WHEN 3 THEN 'RCF' "
+              "WHEN 4 THEN 'DEP' WHEN 5 THEN 'RCF' WHEN 6 THEN 'DEP' WHEN 7 THEN 'DLV' END")
+_STAGE = ("CASE WHEN l_linenumber = 1 THEN 'CheckIn' WHEN l_linenumber IN (2, 3) THEN 'Transport_Seg1' "
+          "WHEN l_linenumber IN (4, 5) THEN 'Transport_Seg2' WHEN l_linenumber = 6 THEN 'Transport_Seg3' "
+          "WHEN l_linenumber = 7 THEN 'Delivery' END")
 
 
 def lines_sql(hub: str = "supplier") -> str:
@@ -41,7 +42,7 @@ def journeys_cte(hub: str = "supplier", name: str = "journeys") -> str:
     {name}_lines AS ({lines_sql(hub)}),
     {name}_ms AS (
       SELECT leg_id, planned_mins, effective_mins, hub_id,
-             {_case(0)} AS milestone, {_case(1)} AS stage_group, 'OUT' AS leg_type,
+             {_MILESTONE} AS milestone, {_STAGE} AS stage_group, 'OUT' AS leg_type,
              CASE WHEN effective_mins <> 0 AND planned_mins <> 0
                   THEN effective_mins - planned_mins ELSE CAST(0 AS BIGINT) END AS delay_mins,
              l_linenumber, l_shipdate, l_partkey, l_suppkey

@@ -6,7 +6,7 @@ DataFrames; this module is the only place that configures Spark.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -17,12 +17,11 @@ def get_session(master: str | None = None, app: str = "hubflow",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Return (or create) a session with AQE on and the UI off.
 
-    ``master`` defaults to ``local[$HUBFLOW_CPUS or *]``; on a cluster pass
-    nothing and let ``spark-submit`` decide.
+    ``master`` is set only where the caller passes one; otherwise
+    ``spark-submit`` and the cluster's configuration decide, as they do over
+    memory.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        master = f"local[{os.environ.get('HUBFLOW_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
     conf = {
@@ -33,7 +32,6 @@ def get_session(master: str | None = None, app: str = "hubflow",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("HUBFLOW_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -47,9 +45,10 @@ def get_session(master: str | None = None, app: str = "hubflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only invent one
-    (a scratch folder) when running in local mode with nothing set, as in
-    tests. On a cluster an unset directory is an error rather than a silent
+    The cluster names it in ``spark.checkpoint.dir`` and is taken at its word
+    (a mounted shared file system has ``file:`` addresses too); we only
+    invent one (a scratch folder) in plain local mode with nothing set, as in
+    tests. Elsewhere an unset directory is an error rather than a silent
     fallback to a machine-local folder.
     """
     sc = spark.sparkContext
@@ -58,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; iterative operators need a "
                 "shared (HDFS/object-store) checkpoint directory")
@@ -81,4 +80,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/hubflow-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._hubflow_path = path
+    return out
+
+
+def drop_tables(*frames: DataFrame | None) -> None:
+    """Delete the tables that ``cut_lineage`` wrote for ``frames``: for state
+    that a later round has replaced and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_hubflow_path", None)
+        if path is None:
+            continue
+        jvm = df.sparkSession._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        df._hubflow_path = None

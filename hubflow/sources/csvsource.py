@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from hubflow.functions.columns import raw_schema
+from hubflow.functions.columns import raw_columns
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The 98-column raw journey CSV with a header, read as text.
-
-    An explicit all-STRING schema (no inference pass over the data; ``?``
-    stays text for the cleaning step to interpret). A missing path fails
-    at read time with Spark's ``PATH_NOT_FOUND``."""
-    return spark.read.schema(raw_schema()).option("header", True).csv(path)
+    """The 98-column raw journey CSV, bound by header name, as text.
+
+    The header is read first; columns may come in any order and further ones
+    are ignored, a missing one is an error. All values stay text (no
+    inference pass over the data; ``?`` is for the cleaning step to
+    interpret). A missing path fails with Spark's ``PATH_NOT_FOUND``."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in raw_columns() if c not in header]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(schema).option("header", True).option(
+        "enforceSchema", False).csv(path).select(*raw_columns())
 
 
 def read_raw_csv_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -32,8 +32,12 @@ LINE_STAGES = [
     ("DEP", "Transport_Seg3"),
     ("DLV", "Delivery"),
 ]
-# Raw wide columns filled from line numbers 1..7 of the OUT leg.
-LINE_TO_RAW = ["o_rcs", "o_dep_1", "o_rcf_1", "o_dep_2", "o_rcf_2", "o_dep_3", "o_dlv"]
+# Raw slots of a leg, filled from line numbers 1..7; of line 6 the lines with
+# an even part key are the third arrival, so all eight slots occur.
+SLOTS = ["rcs", "dep_1", "rcf_1", "dep_2", "rcf_2", "dep_3", "dlv", "rcf_3"]
+# The r-th repeat of an (order, line) goes to this leg, from the fifth on of a
+# further process.
+REPEAT_LEGS = ["o", "i1", "i2", "i3"]
 # --- end of fixed values ---
 
 
@@ -108,45 +112,46 @@ def journeys_long(spark: SparkSession, sf_dir: str, hub: str = "supplier") -> Da
 def journeys_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same journeys in the 98-column raw text format (all STRING).
 
-    One row per order. Lines 1..7 fill the OUT leg's check-in, three
-    departure/arrival segments and delivery; the inbound legs and the third
-    arrival do not exist and are ``?``, as is any missing line and any
-    effective time of 0. Repeated ``(order, line)`` pairs keep the first by
-    ``(shipdate, partkey, suppkey, quantity)``: a ``row_number`` window
-    clustered by order, then one hash aggregation by order with primitive
-    conditional maxima; both reuse the partitioning by order key.
+    Every line fills one slot of one leg. The r-th repeat of an (order, line)
+    pair, ordered by ``(shipdate, partkey, suppkey, quantity)``, goes to leg
+    OUT, IN_1, IN_2, IN_3 for r = 1..4 and from r = 5 on to further process
+    rows of the order, so no line is lost at any repeat count. Each leg has a
+    leg id of its own; a leg without lines is all ``?``, as is a missing slot
+    and any effective time of 0. One window clustered by order, then one
+    aggregation per process of at most 32 entries.
     """
     lines = _lines(spark, sf_dir, "supplier")
-    # first row per (order, line): a window clustered by order (satisfied by
-    # the join's partitioning on the order key), then a hash aggregation by
-    # order with primitive conditional maxima -- no further exchange.
-    first = Window.partitionBy("leg_id", "l_linenumber").orderBy(
+    repeat = Window.partitionBy("leg_id", "l_linenumber").orderBy(
         "l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
-    lines = lines.withColumn("_rk", F.row_number().over(first)).filter(F.col("_rk") == 1)
-    aggs = []
-    for i in range(len(LINE_TO_RAW)):
-        on_line = F.col("l_linenumber") == i + 1
-        aggs += [F.max(F.when(on_line, F.col("planned_mins"))).alias(f"p{i}"),
-                 F.max(F.when(on_line, F.col("effective_mins"))).alias(f"e{i}"),
-                 F.max(F.when(on_line, F.col("l_suppkey"))).alias(f"s{i}"),
-                 F.max(F.when(on_line, F.lit(1))).alias(f"h{i}")]
-    g = lines.groupBy("leg_id").agg(*aggs)
-    q = F.lit("?")
-    exprs = {}
-    nr = F.col("leg_id").cast("string")
-    exprs["nr"] = nr
-    exprs["legs"] = F.lit("0")
-    for i, raw in enumerate(LINE_TO_RAW):
-        exprs[f"{raw}_p"] = F.coalesce(F.col(f"p{i}").cast("string"), q)
-        exprs[f"{raw}_e"] = F.when(F.col(f"e{i}") != 0,
-                                   F.col(f"e{i}").cast("string")).otherwise(q)
-        if raw not in ("o_rcs", "o_dlv"):
-            exprs[f"{raw}_place"] = F.coalesce(F.col(f"s{i}").cast("string"), q)
-    exprs["o_legid"] = nr
-    hops = sum(F.coalesce(F.col(f"h{i}"), F.lit(0)) for i in (1, 3, 5))
-    exprs["o_hops"] = hops.cast("string")
-    cols = [exprs.get(c, q).alias(c) for c in raw_columns()]
-    return g.select(*cols)
+    third = (F.col("l_linenumber") == 6) & (F.col("l_partkey") % 2 == 0)
+    slot = F.element_at(F.array(*[F.lit(x) for x in SLOTS]),
+                        F.when(third, 8).otherwise(F.col("l_linenumber")))
+    leg = F.element_at(F.array(*[F.lit(x) for x in REPEAT_LEGS]),
+                       (F.col("_r") % len(REPEAT_LEGS) + 1).cast("int"))
+    placed = (lines.withColumn("_r", F.row_number().over(repeat) - 1)
+              .withColumn("_process", F.floor(F.col("_r") / len(REPEAT_LEGS)).cast("bigint"))
+              .select("leg_id", "_process", F.concat_ws("_", leg, slot).alias("at"),
+                      F.struct(F.col("planned_mins").alias("p"), F.col("effective_mins").alias("e"),
+                               F.col("l_suppkey").alias("s")).alias("v")))
+    g = placed.groupBy("leg_id", "_process").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    order = F.col("leg_id").cast("string")
+    exprs = {"nr": F.when(F.col("_process") == 0, order).otherwise(
+                 F.concat_ws("-", order, F.col("_process").cast("string"))),
+             "legs": F.lit("0")}
+    for k, leg_name in enumerate(REPEAT_LEGS):
+        at = {x: F.try_element_at("m", F.lit(f"{leg_name}_{x}")) for x in SLOTS}
+        filled = F.coalesce(*[v["p"] for v in at.values()]).isNotNull()
+        exprs[f"{leg_name}_legid"] = F.when(
+            filled, (F.col("leg_id") * 1000 + F.col("_process") * 4 + k).cast("string"))
+        for x, v in at.items():
+            exprs[f"{leg_name}_{x}_p"] = v["p"].cast("string")
+            exprs[f"{leg_name}_{x}_e"] = F.when(v["e"] != 0, v["e"].cast("string"))
+            if x not in ("rcs", "dlv"):
+                exprs[f"{leg_name}_{x}_place"] = v["s"].cast("string")
+        hops = sum(F.when(at[f"dep_{n}"].isNotNull(), 1).otherwise(0) for n in SEGMENTS)
+        exprs[f"{leg_name}_hops"] = F.when(filled, hops.cast("string"))
+    return g.select(*[F.coalesce(exprs[c], F.lit("?")).alias(c) for c in raw_columns()])
 
 
 __all__ = ["read_table", "journeys_long", "journeys_wide", "TABLES", "LINE_STAGES",
