@@ -16,18 +16,26 @@ one 64-bit word of the sketch. The tokens in which a linked pair differs touch
 at most (|A| + |B|) / 7 ranges, so others agree in all 64 bits. Documents meet
 on (band, range, word) for the first PARTS ranges. Up to band 6 these are all
 ranges and in bands above, a linked pair at the very threshold has no agreeing
-range among the 56 with a chance below 1e-13. Sets under 16 tokens meet on
-every token. A document near its band's upper end also uses the next band.
+range among the 56 with a chance below 1e-13 and a single one with a chance
+below 1e-11. Sets under 16 tokens meet on every token. A document near its band's upper end also uses the next band.
 
 From meetings to links, without all pairs of a group:
 1. equal sets become one class (smallest id); only classes go on;
-2. per bucket, every member meets the smallest id of the bucket; distinct
-   pairs whose whole-set sketches allow a link are verified on their texts;
+2. per bucket, every member meets one pivot, the member that shares most
+   buckets with others (in a group of edited copies that is the text closest
+   to all); distinct pairs whose whole-set sketches allow a link are verified
+   on their texts;
 3. in buckets that still hold several components, members of different
    components are compared sketch to sketch in blocks; large buckets are
-   first split by a second agreeing range. What the sketches allow is
-   verified nearest first, in rounds, while its ends are still apart. No pair
-   is dropped unless the bound excludes it or its ends are connected.
+   first split by a second agreeing range. Of what the sketches allow, each
+   member's nearest pairs into every other component are verified; rounds
+   with more pairs each follow until no allowed pair with ends still apart
+   is left untried. No pair is dropped unless the bound excludes it or its
+   ends are connected.
+
+Texts move only for verification, and only those of candidate pairs: a bitmap
+of fixed size over hashed ids sorts out the others where they are read (its
+false hits are removed by the join that follows).
 
 Defined results: null and empty texts have no shingle and stay alone; a text
 of one to four words is one shingle; rows that repeat an id must repeat its
@@ -40,12 +48,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm import textnp
 from hubflow.llm.graph import components
+from hubflow.llm.ship import ship
 from hubflow.session import cut_lineage
 
 WORDS = 5
@@ -53,8 +63,11 @@ NUM, DEN = 3, 4                 # similarity of at least NUM / DEN
 PARTS = 56
 SMALL = 16                      # sets below this size meet on every token
 MIN_BITS = 512
-SPLIT_ABOVE = 1000              # bucket rows from which a second range splits a bucket
+SPLIT_ABOVE = 1_000_000         # comparisons from which a second range splits a bucket
 BLOCK = 1024                    # rows of a block in sketch-to-sketch comparison
+STRIPE = 1 << 16                # comparisons made at once
+TAKE = 256                      # pairs per member and component in the first round
+BITMAP = 1 << 25                # bits of the candidate bitmap (4 MB)
 U = np.uint64
 
 
@@ -106,7 +119,8 @@ def set_keys(s: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    bits = max(MIN_BITS, 1 << max(0, len(s).bit_length() - 1))
+    # four to two bits for every token of both sides keep the bound sharp
+    bits = max(MIN_BITS, 2 << len(s).bit_length())
     return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1)
                        .astype(np.uint8), bitorder="little").tobytes()
 
@@ -120,7 +134,7 @@ def fold_sketch(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in textnp.pieces(batches, "text"):
         h, first = textnp.words(*textnp.text_buffers(b.column("text")))
         sets = textnp.shingle_sets(h, first, WORDS)
         keys = [set_keys(s) for s in sets]
@@ -159,7 +173,7 @@ def allowed_pairs(pairs: DataFrame, feats: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in textnp.pieces(batches, "text_a"):
         ids, at, place = np.unique(np.asarray(b.column("b")), return_index=True, return_inverse=True)
         right = textnp.shingle_sets(*textnp.words(*textnp.text_buffers(
             b.column("text_b").take(pa.array(at)))), WORDS)
@@ -174,8 +188,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose id is in ``ids`` (one distinct column, id)."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    cells = (ids.select(spot.alias("x"))
+             .groupBy(F.shiftright("x", 6).alias("at"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("bits")).toArrow())
+    bitmap = np.zeros(BITMAP // 64, np.int64)          # BITMAP / 64 rows at most
+    bitmap[np.asarray(cells["at"].combine_chunks())] = np.asarray(cells["bits"].combine_chunks())
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_be_in(x: pd.Series) -> pd.Series:
+        x = x.to_numpy()
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return (texts.filter("id is not null").filter(may_be_in(spot))
+            .join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) linked by exact comparison of their whole texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut_lineage(texts_of(texts, ids))
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return (pairs.select("a", "b").join(one, "a").join(two, "b")
@@ -201,49 +236,73 @@ def _runs(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Allowed pairs between different components inside each (bucket, block
-    pair); a group is at most two blocks of rows."""
-    for t in _runs(batches, ["key", "i", "j"]):
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        blk, ids = t["blk"].to_numpy(), t["id"].to_numpy()
-        n, comp, sk = t["n"].to_numpy(), t["comp"].to_numpy(), t["sketch"].to_pylist()
-        size = min(len(x) for x in sk)
-        bits = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in sk]).view(U)
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        found = []
-        for r in left.tolist():
-            other = right[comp[right] != comp[r]]
-            if i == j:
-                other = other[ids[other] > ids[r]]
-            if len(other):
-                ham = np.bitwise_count(bits[other] ^ bits[r]).sum(axis=1).astype(np.int64)
-                ok = may_link(n[other], n[r], ham)
-                b = ids[other[ok]]
-                found.append((np.maximum(b, ids[r]), np.minimum(b, ids[r]), ham[ok]))
-        if found:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)],
-                                  names=["a", "b", "ham"])
-
-
-def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame) -> DataFrame:
-    """(a, b, ham): allowed pairs of one bucket and different components."""
+def _cross_pairs(take: int):
+    """Per member and other component, the ``take`` nearest allowed pairs
+    inside each (bucket, block pair); ``more`` marks those cut short. A group
+    is at most two blocks of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["key", "i", "j"]):
+            i, j = t["i"][0].as_py(), t["j"][0].as_py()
+            blk, ids = t["blk"].to_numpy(), t["id"].to_numpy()
+            n, comp, sk = t["n"].to_numpy(), t["comp"].to_numpy(), t["sketch"].to_pylist()
+            size = min(len(x) for x in sk)
+            bits = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in sk]).view(U)
+            # the commonest component is only ever the other side of a pair
+            names, place, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+            most = place == sizes.argmax()
+            if len(names) == 1:
+                continue
+            found, rows = [], np.flatnonzero(~most)
+            stripe = max(1, STRIPE // len(ids))
+            for lo in range(0, len(rows), stripe):
+                r = rows[lo:lo + stripe, None]
+                apart = place[r] != place
+                if i == j:
+                    apart &= most | (ids[r] < ids)
+                else:
+                    apart &= np.where(blk[r] == i, blk == j, most & (blk == i))
+                p, q = np.nonzero(apart & may_link(n[r], n, 0))
+                p = rows[lo + p]
+                ham = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1).astype(np.int64)
+                ok = may_link(n[p], n[q], ham)
+                p, q, ham = p[ok], q[ok], ham[ok]
+                by = np.lexsort((ids[q], ham, place[q], p))
+                p, q = p[by], q[by]
+                new = np.ones(len(p), bool)
+                new[1:] = (p[1:] != p[:-1]) | (place[q[1:]] != place[q[:-1]])
+                begin = np.flatnonzero(new)
+                runs = np.diff(np.append(begin, len(p)))
+                keep = np.arange(len(p)) - np.repeat(begin, runs) < take
+                x, y = ids[p[keep]], ids[q[keep]]
+                found.append((np.maximum(x, y), np.minimum(x, y), np.repeat(runs > take, runs)[keep]))
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)],
+                                      names=["a", "b", "more"])
+    return run
+
+
+def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int) -> DataFrame:
+    """(a, b, more): nearest allowed pairs of one bucket and different components."""
     rows = cut_lineage(multi.join(comp, "id", "left")
                        .select("key", "id", F.coalesce("component", "id").alias("comp")))
-    mixed = (rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"),
-                                     F.max("comp").alias("hi"))
-             .filter("lo <> hi").select("key", "rows"))
-    rows = cut_lineage(rows.join(mixed, "key"))
-    small = rows.filter(F.col("rows") <= SPLIT_ABOVE)
-    hot = rows.filter(F.col("rows") > SPLIT_ABOVE)
-    # a large bucket splits by every second range that its members agree in
-    second = (hot.join(rows.select("id", F.col("key").alias("key2")), "id").filter("key <> key2")
+
+    def mixed(r: DataFrame) -> DataFrame:
+        """Buckets with several components: rows and comparisons between them."""
+        c = r.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        return (c.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"))
+                .withColumn("work", F.col("rows") * F.col("rows") - F.col("own"))
+                .filter("work > 0").select("key", "rows", "work"))
+
+    rows = cut_lineage(rows.join(mixed(rows), "key"))
+    small = rows.filter(F.col("work") <= SPLIT_ABOVE)
+    hot = rows.filter(F.col("work") > SPLIT_ABOVE)
+    # a large bucket splits by every second range that its members agree in; a
+    # pair that also meets in a small bucket is compared there
+    hot = hot.select("key", "id", "comp")
+    second = (hot.join(hot.select("id", F.col("key").alias("key2")), "id").filter("key < key2")
               .select(F.xxhash64("key", "key2").alias("key"), "id", "comp"))
-    sizes = (second.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"),
-                                       F.max("comp").alias("hi"))
-             .filter("lo <> hi").select("key", "rows"))
     rows = small.select("key", "id", "comp", "rows").unionByName(
-        second.join(sizes, "key").select("key", "id", "comp", "rows"))
+        second.join(mixed(second), "key").select("key", "id", "comp", "rows"))
     blocked = (rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
                .withColumn("blk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -251,13 +310,14 @@ def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame) -> DataFram
                        F.greatest("blk", "o").alias("j")))
     full = blocked.join(feats.select("id", "n", "sketch"), "id")
     return (full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_cross_pairs, "a bigint, b bigint, ham bigint")
-            .groupBy("a", "b").agg(F.min("ham").alias("ham")))
+            .mapInArrow(_cross_pairs(take), "a bigint, b bigint, more boolean")
+            .groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the smallest
     id reachable by links). Ids are integers."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = cut_lineage(texts.mapInArrow(
         _features, "id bigint, n bigint, s1 bigint, s2 bigint, sketch binary, keys array<bigint>"))
@@ -265,30 +325,30 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (feats.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
             .select("id", "n", "sketch", "keys").dropDuplicates(["id"]))
     keys = reps.select("id", F.explode("keys").alias("key"))
-    shared = (keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"))
-              .filter("c > 1").select("key", "pivot"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     multi = cut_lineage(keys.join(shared, "key"))
+    # the pivot of a bucket: who shares most with others, then the smallest id
+    weight = multi.groupBy("id").agg(F.sum("c").alias("w"))
+    weighed = cut_lineage(multi.join(weight, "id"))
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("w", -F.col("id"))).alias("p"))
+    star = (weighed.join(pivots, "key").select("id", (-F.col("p.col2")).alias("pivot"))
+            .filter("id <> pivot")
+            .select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
     small = feats.select("id", "n", "sketch").dropDuplicates(["id"])
-    # first: everyone against the smallest id of each bucket
-    star = multi.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = cut_lineage(allowed_pairs(star, small))
+    tried = cut_lineage(allowed_pairs(star, small).select("a", "b"))
     links = cut_lineage(verify(tried, texts))
     comp = cut_lineage(components(links))
     # then: what is still apart inside a bucket, nearest sketches first
-    left = cut_lineage(_open_pairs(multi.select("key", "id"), comp, small)
-                       .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    take = 8
-    while not left.isEmpty():
-        of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        apart = (left.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                 .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-                 .filter("ca <> cb"))
-        near = Window.partitionBy("a", "cb").orderBy("ham", "b")
-        ranked = cut_lineage(apart.withColumn("r", F.row_number().over(near)))
-        now = verify(ranked.filter(F.col("r") <= take), texts)
-        links = cut_lineage(links.unionByName(now))
-        comp = cut_lineage(components(links))
-        left = cut_lineage(ranked.filter(F.col("r") > take).select("a", "b", "ham"))
+    take = TAKE
+    while True:
+        near = cut_lineage(_open_pairs(multi.select("key", "id"), comp, small, take))
+        new = cut_lineage(near.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = cut_lineage(links.unionByName(verify(new, texts)))
+            comp = cut_lineage(components(links))
+            tried = cut_lineage(tried.unionByName(new))
+        if near.filter("more").isEmpty():
+            break
         take *= 8
     of_class = (classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
                 .select("n", "s1", "s2", F.coalesce("component", "rep").alias("c")))
