@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from hubflow.llm import textnp
 from hubflow.llm.ngram_join import _runs
-from hubflow.session import cut_lineage
+from hubflow.llm.ship import ship
 
 ORDER = 3
 MIN_COUNT = 2
 ALPHA = 0.4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
 PART_BYTES = 8 << 20
 KEPT_BITS = 52
 U = np.uint64
@@ -76,6 +76,16 @@ def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
     return (((x & U((1 << KEPT_BITS) - 1)) >> U(KEPT_BITS - 32)) * U(parts)) >> U(32)
 
 
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts with equal bytes side by side, deflated."""
+    return zlib.compress(np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+
+
 def pack_sorted(x: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted numbers as differences, their least bytes apart from the rest."""
     d = np.diff(x, prepend=U(0))
@@ -84,7 +94,7 @@ def pack_sorted(x: np.ndarray, n: np.ndarray) -> bytes:
     while width > 1 and not planes[width - 1].any():
         width -= 1
     raw = np.ascontiguousarray(planes[:width]).tobytes()
-    return bytes([width]) + len(x).to_bytes(8, "little") + raw + zlib.compress(n.astype(np.uint32).tobytes(), 1)
+    return bytes([width]) + len(x).to_bytes(8, "little") + raw + pack_counts(n)
 
 
 def unpack_sorted(b: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +102,7 @@ def unpack_sorted(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.zeros((8, m), np.uint8)
     planes[:width] = np.frombuffer(b, np.uint8, width * m, 9).reshape(width, m)
     x = np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
-    return x, np.frombuffer(zlib.decompress(b[9 + width * m:]), np.uint32).astype(np.int64)
+    return x, unpack_counts(b[9 + width * m:])
 
 
 def _chunk_tables(batches, order: int):
@@ -127,8 +137,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, place = np.unique(x, return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([n for _, n in sent])).astype(np.int64)
         cut = np.cumsum([0] + [len(a) for a, _ in sent])
-        back = [zlib.compress(total[place[a:z]].astype(np.uint32).tobytes(), 1)
-                for a, z in zip(cut[:-1], cut[1:])]
+        back = [pack_counts(total[place[a:z]]) for a, z in zip(cut[:-1], cut[1:])]
         yield pa.record_batch([t["chunk"].combine_chunks(), t["part"].combine_chunks(),
                                pa.array(back, pa.binary())], names=["chunk", "part", "counts"])
 
@@ -142,7 +151,7 @@ def _scored(order: int, parts: int, min_count: int, alpha: float, n_words: int,
         got = sorted(zip(replies["part"].to_pylist(), replies["counts"].to_pylist()))
         count = np.zeros(len(x), np.int64)
         if got:
-            count[by] = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for _, c in got])
+            count[by] = np.concatenate([unpack_counts(c) for _, c in got])
         counts = []
         for n, g in enumerate(grams):
             c = np.zeros(len(g), np.int64)
@@ -182,6 +191,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: id, n_words, log_score, mean_log_score, n_full
     (words scored at the full order), n_unseen (words below ``min_count``)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     size, n_words = rows.agg(
@@ -193,8 +203,9 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deal = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text"), F.lit(""))), F.lit(chunks))
     chunked = rows.withColumn("chunk", deal.cast("int")).repartition(chunks, "chunk").sortWithinPartitions("chunk")
     sent = chunked.mapInArrow(_requests(order, parts), "chunk int, part int, grams binary")
-    answers = cut_lineage(sent.repartition(parts, "part").sortWithinPartitions("part")
-                          .mapInArrow(_answers, "chunk int, part int, counts binary"))
+    # one plan for both uses of the chunks, so that their exchange is made once
+    answers = (sent.repartition(parts, "part").sortWithinPartitions("part")
+               .mapInArrow(_answers, "chunk int, part int, counts binary"))
     one = _scored(order, parts, min_count, alpha, n_words, kind)
     return (chunked.groupBy("chunk").cogroup(answers.groupBy("chunk"))
             .applyInArrow(one, f"id {kind}, n_words bigint, log_score double, mean_log_score double, "
