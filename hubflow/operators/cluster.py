@@ -309,8 +309,12 @@ def kmeans_best_k(points: DataFrame, max_k: int = 10, n_init: int = 10, seed: in
 def kmeans_clusters(points: DataFrame, k: int, n_init: int = 20, seed: int = 42,
                     vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Cluster label per point from the best of ``n_init`` fits."""
-    m = kmeans_fit(points, k, n_init, seed, vec)
-    return m.transform(_features(points, vec)).select(key, F.col("cluster").cast("int"))
+    return assign_clusters(kmeans_fit(points, k, n_init, seed, vec), points, vec, key)
+
+
+def assign_clusters(model, points: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """Cluster of every point under a fitted model."""
+    return model.transform(_features(points, vec)).select(key, F.col("cluster").cast("int"))
 
 
 # --------------------------------------------------- hub cluster analysis

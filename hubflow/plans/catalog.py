@@ -440,16 +440,16 @@ def _vectors(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings")
 
 
-VEC_BASE_SQL = """p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x
-       FROM embeddings WHERE label IS NOT NULL),
-pe AS (SELECT label, unnest(x) AS v, unnest(range(len(x))) AS i FROM p),
+VEC_STATS_SQL = """pe AS (SELECT label, unnest(x) AS v, unnest(range(len(x))) AS i FROM p),
 cs AS (SELECT label, list(s ORDER BY i) AS s, list(m ORDER BY i) AS centroid FROM
         (SELECT label, i, sum(v) AS s, avg(v) AS m FROM pe GROUP BY label, i) t GROUP BY label),
 cn AS (SELECT label, count(*) AS n, sum(list_dot_product(x, x)) AS q FROM p GROUP BY label),
 c AS (SELECT cn.label, n, q, s, centroid FROM cn JOIN cs ON cn.label = cs.label)"""
+VEC_BASE_SQL = f"""p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x
+       FROM embeddings WHERE label IS NOT NULL),
+{VEC_STATS_SQL}"""
 
-SIL_SQL = f"""WITH {VEC_BASE_SQL},
-d AS (SELECT p.vec_id, p.label AS plabel, c.label AS clabel, c.n,
+SIL_CTES_SQL = """d AS (SELECT p.vec_id, p.label AS plabel, c.label AS clabel, c.n,
         c.n * list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.s) + c.q AS tot
       FROM p, c),
 ab AS (SELECT vec_id, plabel AS label, max(CASE WHEN clabel = plabel THEN n END) AS own_n,
@@ -458,6 +458,7 @@ ab AS (SELECT vec_id, plabel AS label, max(CASE WHEN clabel = plabel THEN n END)
       FROM d GROUP BY vec_id, plabel),
 sil AS (SELECT vec_id, label, CASE WHEN own_n <= 1 OR b IS NULL THEN 0.0
                ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
+SIL_SQL = f"WITH {VEC_BASE_SQL}, {SIL_CTES_SQL}"
 
 
 @register("silhouette_samples", doubles=("silhouette",), ops="C3 J8",
@@ -812,8 +813,7 @@ def _embed_graph(spark, sf_dir):
     return z, edges
 
 
-@register("neighbour_mean", ops="G8 G2 J1",
-          doubles=tuple(f"nbr_{c}" for c in NODE_COLS), sql=f"""WITH base AS ({NODES_SQL}),
+NBR_SQL = f"""WITH base AS ({NODES_SQL}),
 z AS (SELECT hub_id,
   (total_outgoing_flow - avg(total_outgoing_flow) OVER ()) /
     CASE WHEN coalesce(stddev_pop(total_outgoing_flow) OVER (), 0) = 0 THEN 1
@@ -831,7 +831,10 @@ m AS (SELECT ed.dst, avg(z.f) AS f, avg(z.a) AS a, avg(z.s) AS s
       FROM ed JOIN z ON ed.src = z.hub_id GROUP BY ed.dst)
 SELECT z.hub_id, coalesce(m.f, 0.0) AS nbr_total_outgoing_flow,
        coalesce(m.a, 0.0) AS nbr_avg_segment_delay, coalesce(m.s, 0.0) AS nbr_std_delay
-FROM z LEFT JOIN m ON z.hub_id = m.dst""")
+FROM z LEFT JOIN m ON z.hub_id = m.dst"""
+
+
+@register("neighbour_mean", ops="G8 G2 J1", doubles=tuple(f"nbr_{c}" for c in NODE_COLS), sql=NBR_SQL)
 def q_neighbour_mean(spark, sf_dir):
     """One-hop mean of standardised in-neighbour features per hub."""
     from hubflow.operators.embed import neighbour_mean
@@ -839,6 +842,47 @@ def q_neighbour_mean(spark, sf_dir):
     return neighbour_mean(z, edges, NODE_COLS)
 
 
+# Hub vectors of a checkable operator; the label is a rule on the id.
+HUB_VEC_SQL = f"""hv AS ({NBR_SQL}),
+p AS (SELECT hub_id AS vec_id, CAST(CAST(hub_id AS BIGINT) % 3 AS INTEGER) AS label,
+      [nbr_total_outgoing_flow, nbr_avg_segment_delay, nbr_std_delay] AS x FROM hv)"""
+
+
+def _hub_vectors(spark, sf_dir):
+    from hubflow.operators.embed import neighbour_mean
+    from hubflow.session import cut_lineage
+    z, edges = _embed_graph(spark, sf_dir)
+    n = neighbour_mean(z, edges, NODE_COLS)
+    return cut_lineage(n.select("hub_id", (F.col("hub_id").cast("bigint") % 3).cast("int").alias("label"),
+                                F.array(*[F.col(f"nbr_{c}") for c in NODE_COLS]).alias("embedding")))
+
+
+@register("poor_fit_hubs", doubles=("silhouette", "avg_segment_delay"), ops="C6 J8 J9",
+          sql=f"""WITH {HUB_VEC_SQL}, {VEC_STATS_SQL}, {SIL_CTES_SQL},
+{S.journeys_cte()}, {S.hub_kpis_cte()}
+SELECT vec_id AS hub_id, label AS cluster_label, silhouette, total_outgoing_flow, avg_segment_delay
+FROM sil LEFT JOIN kpis ON sil.vec_id = kpis.hub_id WHERE silhouette < 0.1""")
+def q_poor_fit_hubs(spark, sf_dir):
+    """Hubs that fit their cluster badly, with flow and delay."""
+    from hubflow.operators.flow import poor_fit_hubs
+    kp = K.hub_kpis(journeys_long(spark, sf_dir, "supplier"), sort=False)
+    return poor_fit_hubs(_hub_vectors(spark, sf_dir), kp)
+
+
+@register("similar_hubs", doubles=("similarity",), ops="C10 O5", sql=f"""WITH {HUB_VEC_SQL},
+s AS (SELECT a.vec_id AS target_id, b.vec_id AS similar_id,
+        round(list_cosine_similarity(a.x, b.x), 9) AS similarity
+      FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE a.label = 0),
+r AS (SELECT target_id, max(similarity) AS similarity FROM s GROUP BY target_id)
+SELECT * FROM r""")
+def q_similar_hubs(spark, sf_dir):
+    """Best cosine neighbour's similarity of every third hub (text ids)."""
+    from hubflow.operators.cluster import similar_vectors
+    v = _hub_vectors(spark, sf_dir)
+    return similar_vectors(v, v.filter("label = 0").select("hub_id"), top_k=1, key="hub_id").select(
+        "target_id", "similarity")
+
+
 @register("negative_edges", ops="G9")
 def q_negative_edges(spark, sf_dir):
     """Seeded sample of min(E, 2N) non-edges of the supplier-hub graph."""
@@ -893,17 +937,11 @@ def _features(spark, sf_dir):
     return delay_features(transits(long_df, "predict"), K.hub_kpis(long_df, sort=False))
 
 
-_MODELS: dict = {}
-
-
-def _fitted(spark, sf_dir, model_type):
-    """Fit once per (session, tables, model type); later queries reuse it."""
+def _fitted(spark, sf_dir, model_type, **kw):
     from hubflow.operators.predict import fit_delay_model
-    key = (spark.sparkContext.applicationId, sf_dir, model_type)
-    if key not in _MODELS:
-        f = _features(spark, sf_dir).persist()
-        _MODELS[key] = (fit_delay_model(f, model_type), f)
-    return _MODELS[key]
+    from hubflow.session import cut_lineage
+    f = cut_lineage(_features(spark, sf_dir))
+    return fit_delay_model(f, model_type, **kw), f
 
 
 @register("gbt_delay", ops="M4 M6")
@@ -916,9 +954,9 @@ def q_gbt_delay(spark, sf_dir):
 
 @register("rf_delay", ops="M5 M6")
 def q_rf_delay(spark, sf_dir):
-    """Random forest (150 trees) delay model: MAE and R^2 on the test legs."""
+    """Random forest (150 trees, depth 12) delay model: MAE and R^2 on the test legs."""
     from hubflow.operators.predict import evaluate
-    model, f = _fitted(spark, sf_dir, "random_forest")
+    model, f = _fitted(spark, sf_dir, "random_forest", max_depth=12)
     return evaluate(model, f, "random_forest")
 
 
