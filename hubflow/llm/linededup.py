@@ -11,7 +11,8 @@ moves one row per task. Pages move once, to meet the hashes they lose.
 Defined results: a null host is a host of its own (''); null or empty texts
 keep an empty text; surrounding white space and blank lines are not part of
 a line and go; repeated rows count as pages of their own and keep their own
-result; further columns pass through untouched.
+result; further columns pass through untouched, except that the
+result's own ``n_lines`` and ``n_dropped`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubflow.session import cut_lineage
+
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 
@@ -38,8 +41,7 @@ def url_host(url: Column) -> Column:
 
 def line_array(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1),
-                                lambda x: F.regexp_replace(x, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")),
-                    lambda x: x != "")
+                                lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), lambda x: x != "")
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
@@ -50,24 +52,28 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     ``id_col`` must tell documents apart; rows that repeat an id lose the
     same lines.
     """
-    base = docs.withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_text", text)
-    lines = base.select(F.col(id_col).alias("_id"), "_host", F.explode(F.array_distinct(
-        F.transform(line_array(F.col("_text")), lambda x: F.xxhash64("_host", x)))).alias("_h"))
-    pages = base.groupBy("_host").agg(F.count("*").alias("_pages"))
-    common = (lines.groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-              .filter(F.col("_n") >= min_pages)
-              .join(pages, "_host")
-              .filter(F.col("_n") > max_ratio * F.col("_pages")).select("_h"))
-    lost = (lines.join(common, "_h").groupBy("_id")
-            .agg(F.collect_set("_h").alias("_lost")))
-    joined = (base.join(lost.withColumnRenamed("_id", "_lost_id"),
-                        F.col(id_col).eqNullSafe(F.col("_lost_id")), "left")
-              .withColumn("_lines", line_array(F.col("_text")))
-              .withColumn("_kept", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(
-                  F.filter("_lines", lambda x: ~F.array_contains(
-                      F.col("_lost"), F.xxhash64(F.col("_host"), x))))))
-    mine = {"n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long")}
-    rest = [F.col(c) for c in docs.columns if c not in (text_col, *mine)]
-    return joined.select(*rest, F.array_join("_kept", "\n").alias(text_col),
+    # the input's own columns travel as one struct, so no name can clash
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"),
+                       text.alias("text"))
+    # the pages are parsed once for counting: their line hashes are written
+    hashed = cut_lineage(base.select("id", "host", F.array_distinct(
+        F.transform(line_array(F.col("text")), lambda x: F.xxhash64("host", x))).alias("hs")))
+    lines = hashed.select("id", "host", F.explode("hs").alias("h"))
+    pages = hashed.groupBy("host").agg(F.count("*").alias("pages"))
+    common = (lines.groupBy("host", "h").agg(F.count("*").alias("n"))
+              .filter(F.col("n") >= min_pages)
+              .join(pages, "host")
+              .filter(F.col("n") > max_ratio * F.col("pages")).select("h"))
+    lost = (lines.join(common, "h").groupBy(F.col("id").alias("lost_id"))
+            .agg(F.collect_set("h").alias("lost")))
+    joined = (base.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left")
+              .withColumn("lines", line_array(F.col("text")))
+              .withColumn("kept", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(
+                  F.filter("lines", lambda x: ~F.array_contains(
+                      F.col("lost"), F.xxhash64(F.col("host"), x))))))
+    mine = {"n_lines": F.size("lines").cast("long"),
+            "n_dropped": (F.size("lines") - F.size("kept")).cast("long")}
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text_col, *mine)]
+    return joined.select(*rest, F.array_join("kept", "\n").alias(text_col),
                          *[e.alias(n) for n, e in mine.items()])
