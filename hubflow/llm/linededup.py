@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hubflow.session import cut_lineage
 
 MAX_RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 3
 
 _MARKUP = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>")
 

@@ -100,7 +100,7 @@ _MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>
 LINE_DEDUP = "WITH " + line_dedup(
     "pages", "page_id",
     r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))",
-    f"regexp_replace(coalesce(html, ''), '{_MARKUP}', chr(10), 'g')", 0.1, 5) + """
+    f"regexp_replace(coalesce(html, ''), '{_MARKUP}', chr(10), 'g')", 0.1, 3) + """
 SELECT id AS page_id, array_to_string(kept, chr(10)) AS text, len(lines)::BIGINT AS n_lines,
        (len(lines) - len(kept))::BIGINT AS n_dropped FROM kept"""
 
