@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from hubflow.llm.graph import components, forest
 from hubflow.llm.ngram_join import _runs
+from hubflow.llm.ship import ship
 from hubflow.session import cut_lineage
 
 THRESHOLD = 0.95
@@ -128,6 +129,7 @@ def _cells(axis: np.ndarray | None, width: float):
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                       threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``."""
+    ship(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     marked = v.select("id", F.when(_usable(F.col("vec")), F.xxhash64("vec")).alias("h1"),
                       F.when(_usable(F.col("vec")), F.xxhash64(F.lit(1), "vec")).alias("h2"))

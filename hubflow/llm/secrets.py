@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubflow.llm.ship import ship
 from hubflow.session import ensure_checkpoint_dir
 
 _ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
@@ -82,6 +83,7 @@ def scan_history(history: DataFrame, ledger_path: str, path_cols: list[str],
     third of all rows moves once per task.
     """
     spark = history.sparkSession
+    ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     versions = history.select(*path_cols, F.sha2(text, 256).alias("blob"), text.alias("text"))
     blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
