@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubflow.session import cut_lineage
+from hubflow.llm.ship import ship
+from hubflow.session import cut_lineage, drop_tables
 
 BLOCK = 500_000
 
@@ -73,14 +74,17 @@ def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, component) of every node with an edge, except that a component's
     smallest id itself has no row. ``edges``: two long columns; loops and
     repeated edges are allowed, nulls are ignored."""
+    ship(edges.sparkSession)
     a, b = edges.columns
     e = cut_lineage(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
                     .filter("u <> v"))
     parts = -(-e.count() // block) or 1
-    e = cut_lineage(e.repartition(parts, "u").mapInArrow(_contract, "u bigint, v bigint"))
+    written, e = e, cut_lineage(e.repartition(parts, "u").mapInArrow(_contract, "u bigint, v bigint"))
+    drop_tables(written)
     before = None
     while parts > 1:
-        e = cut_lineage(_small_star(_large_star(e)))
+        written, e = e, cut_lineage(_small_star(_large_star(e)))
+        drop_tables(written)
         now = _mark(e)
         if now == before:
             break

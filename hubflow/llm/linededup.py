@@ -52,28 +52,29 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     ``id_col`` must tell documents apart; rows that repeat an id lose the
     same lines.
     """
-    # the input's own columns travel as one struct, so no name can clash
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"),
-                       text.alias("text"))
+    mark = "b_"                       # own names start with what no input column does
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    my = lambda name: F.col(mark + name)
+    host = F.coalesce(host, F.lit(""))
     # the pages are parsed once for counting: their line hashes are written
-    hashed = cut_lineage(base.select("id", "host", F.array_distinct(
-        F.transform(line_array(F.col("text")), lambda x: F.xxhash64("host", x))).alias("hs")))
+    hashed = cut_lineage(docs.select(
+        F.col(id_col).alias("id"), host.alias("host"),
+        F.array_distinct(F.transform(line_array(text), lambda x: F.xxhash64(host, x))).alias("hs")))
     lines = hashed.select("id", "host", F.explode("hs").alias("h"))
     pages = hashed.groupBy("host").agg(F.count("*").alias("pages"))
     common = (lines.groupBy("host", "h").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages)
               .join(pages, "host")
               .filter(F.col("n") > max_ratio * F.col("pages")).select("h"))
-    lost = (lines.join(common, "h").groupBy(F.col("id").alias("lost_id"))
-            .agg(F.collect_set("h").alias("lost")))
-    joined = (base.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left")
-              .withColumn("lines", line_array(F.col("text")))
-              .withColumn("kept", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(
-                  F.filter("lines", lambda x: ~F.array_contains(
-                      F.col("lost"), F.xxhash64(F.col("host"), x))))))
-    mine = {"n_lines": F.size("lines").cast("long"),
-            "n_dropped": (F.size("lines") - F.size("kept")).cast("long")}
-    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text_col, *mine)]
-    return joined.select(*rest, F.array_join("kept", "\n").alias(text_col),
+    lost = (lines.join(common, "h").groupBy(F.col("id").alias(mark + "id"))
+            .agg(F.collect_set("h").alias(mark + "lost")))
+    joined = (docs.join(lost, F.col(id_col).eqNullSafe(my("id")), "left")
+              .withColumn(mark + "lines", line_array(text))
+              .withColumn(mark + "kept", F.when(my("lost").isNull(), my("lines")).otherwise(
+                  F.filter(my("lines"), lambda x: ~F.array_contains(my("lost"), F.xxhash64(host, x))))))
+    mine = {"n_lines": F.size(my("lines")).cast("long"),
+            "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *mine)]
+    return joined.select(*rest, F.array_join(my("kept"), "\n").alias(text_col),
                          *[e.alias(n) for n, e in mine.items()])
