@@ -23,8 +23,8 @@ def ship(spark: SparkSession) -> None:
     ``addPyFile`` serves the archive from the driver, so no folder has to be
     shared; with the package installed on the executors it changes nothing.
     A smaller bound on Arrow batches than BATCH_BYTES is kept."""
-    now = spark.conf.get(_BATCH, "").removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES or int(now) <= 0:
+    now = spark.conf.get(_BATCH, str(BATCH_BYTES + 1)).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
