@@ -716,11 +716,11 @@ def q_bottlenecks(spark, sf_dir):
     return bottlenecks(betweenness(_nation_router(spark, sf_dir)), kp, top_n=10)
 
 
-@register("k_best_routes", doubles=("total_weight", "total_avg_delay"), ops="G4",
-          sql=f"""WITH RECURSIVE {NATION_EDGES_SQL},
+def _routes_sql(edges: str, pairs: int) -> str:
+    return f"""WITH RECURSIVE {edges},
 e AS (SELECT src, dst, weight, avg_delay FROM re WHERE dst IS NOT NULL AND src <> dst),
 pairs AS (SELECT src AS source, dst AS target FROM re WHERE dst IS NOT NULL AND src <> dst
-          ORDER BY volume DESC, src, dst LIMIT 5),
+          ORDER BY volume DESC, src, dst LIMIT {pairs}),
 two AS (SELECT p.source, p.target, e.weight AS cost FROM pairs p
           JOIN e ON e.src = p.source AND e.dst = p.target
         UNION ALL SELECT p.source, p.target, a.weight + b.weight FROM pairs p
@@ -740,7 +740,11 @@ r AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source, target
         ORDER BY cost, path) AS INTEGER) AS rank, array_to_string(path, ' -> ') AS path,
         CAST(len(path) - 1 AS INTEGER) AS hops, cost AS total_weight, delay AS total_avg_delay
       FROM rp WHERE last = target)
-SELECT * FROM r WHERE rank <= 3""")
+SELECT * FROM r WHERE rank <= 3"""
+
+
+@register("k_best_routes", doubles=("total_weight", "total_avg_delay"), ops="G4",
+          sql=_routes_sql(NATION_EDGES_SQL, 5))
 def q_k_best_routes(spark, sf_dir):
     """Three cheapest simple routes between the ends of the 5 busiest routes."""
     from hubflow.operators.paths import k_best_routes
@@ -751,6 +755,24 @@ def q_k_best_routes(spark, sf_dir):
     return k_best_routes(e, pairs, top_k=3)
 
 
+SUPPLIER_PAIRS = 3
+
+
+@register("k_best_routes_hubs", ops="G4")
+def q_k_best_routes_hubs(spark, sf_dir):
+    """Three cheapest simple routes between the ends of the 3 busiest routes
+    of the supplier-hub graph, which grows with the tables. (Plain SQL lists
+    too many partial routes there; the operator has brute-force tests.)"""
+    from hubflow.operators.network import router_edges
+    from hubflow.operators.paths import k_best_routes
+    from hubflow.session import cut_lineage
+    e = cut_lineage(router_edges(_t(spark, sf_dir, "router")))
+    ok = e.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    pairs = ok.orderBy(F.desc("volume"), "src", "dst").limit(SUPPLIER_PAIRS).select(
+        F.col("src").alias("source"), F.col("dst").alias("target"))
+    return k_best_routes(e, pairs, top_k=3)
+
+
 # ------------------------------------------------------ delay features (M1-M3)
 FEATURE_DOUBLES = ("avg_delay_source", "avg_delay_target", "std_delay_source",
                    "std_delay_target", "route_avg_delay", "route_std_delay", "delay_risk_score")
