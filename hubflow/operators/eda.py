@@ -108,29 +108,37 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, max_columns: int =
                     "count")
 
 
-def kde_curve(df: DataFrame, col: str, grid_points: int = 64) -> DataFrame:
-    """KDE curve for a histogram panel: Gaussian kernel, Scott's bandwidth
+def kde_curves(df: DataFrame, cols: list[str], grid_points: int = 64) -> DataFrame:
+    """KDE curves for the histogram panels: Gaussian kernel, Scott's bandwidth
     ``bw = std * n^(-1/5)``, evaluated on ``grid_points`` over [min, max].
 
-    Returns ``grid_index, x, kernel_mean, bandwidth, density`` where
+    Returns ``column_name, grid_index, x, kernel_mean, bandwidth, density`` where
     ``kernel_mean`` is the average kernel value at the grid point and
-    ``density = kernel_mean / (bw * sqrt(2 pi))``. Each row contributes to
-    every grid point (a fixed multiple of the rows), summed with a partial
-    aggregation by grid index; the statistics are scalar subqueries."""
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    lo = base.select(F.min("x")).scalar()
-    hi = base.select(F.max("x")).scalar()
-    n = base.select(F.count("x")).scalar()
-    bw = base.select(F.stddev_samp("x") * F.pow(F.count("x").cast("double"), -0.2)).scalar()
-    g = base.select("x", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"))
-    g = g.withColumn("pos", lo + (hi - lo) * F.col("i") / (grid_points - 1)).withColumn("bw", bw)
-    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("pos")) / F.col("bw"), 2))
-    agg = g.groupBy("i", "pos", "bw").agg(F.sum(k).alias("ksum"))
+    ``density = kernel_mean / (bw * sqrt(2 pi))``. One pass counts the distinct
+    values of all columns; statistics and kernel sums read that table, so a
+    value meets the grid once, however often it occurs."""
+    from hubflow.session import cut_lineage
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])
+    values = cut_lineage(df.select(F.explode(pairs).alias("v")).select("v.*").filter(F.col("x").isNotNull())
+                         .groupBy("column_name", "x").agg(F.count("*").alias("c")))
+    n = F.sum("c")
+    mean = F.sum(F.col("x") * F.col("c")) / n
+    stats = values.groupBy("column_name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                              n.alias("n"), mean.alias("mean"))
+    spread = (values.join(F.broadcast(stats), "column_name")          # one row per column
+              .groupBy("column_name", "lo", "hi", "n")
+              .agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), 2)).alias("ss"))
+              .withColumn("bw", F.sqrt(F.col("ss") / (F.col("n") - 1))
+                          * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
+    g = (values.join(F.broadcast(spread), "column_name")
+         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
+         .withColumn("pos", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (grid_points - 1)))
+    k = F.col("c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("pos")) / F.col("bw"), 2))
+    agg = g.groupBy("column_name", "i", "pos", "bw", "n").agg(F.sum(k).alias("ksum"))
     return agg.select(
-        F.col("i").alias("grid_index"), F.col("pos").alias("x"),
-        (F.col("ksum") / n).alias("kernel_mean"), F.col("bw").alias("bandwidth"),
-        (F.col("ksum") / n / (F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
+        "column_name", F.col("i").alias("grid_index"), F.col("pos").alias("x"),
+        (F.col("ksum") / F.col("n")).alias("kernel_mean"), F.col("bw").alias("bandwidth"),
+        (F.col("ksum") / F.col("n") / (F.col("bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
 
 
 def stage_delay_histogram(long_df: DataFrame, bins: int = 30,
@@ -153,14 +161,16 @@ def stage_delay_histogram(long_df: DataFrame, bins: int = 30,
 
 def stage_delay_profile(long_df: DataFrame) -> DataFrame:
     """Delay distribution per stage: count, min, quartiles, max, mean."""
-    return long_df.groupBy("stage_group").agg(
-        F.count("delay_mins").alias("n"),
-        F.min("delay_mins").alias("min_delay"),
-        F.percentile("delay_mins", 0.25).alias("q1_delay"),
-        F.percentile("delay_mins", 0.5).alias("median_delay"),
-        F.percentile("delay_mins", 0.75).alias("q3_delay"),
+    # distinct delays are counted first: few stages, so their rows must combine
+    # in the map tasks, and the exact quartiles follow from the counts
+    counts = long_df.filter(F.col("delay_mins").isNotNull()).groupBy("stage_group", "delay_mins").agg(
+        F.count("*").alias("c"))
+    at = lambda p: F.percentile("delay_mins", p, F.col("c"))
+    return counts.groupBy("stage_group").agg(
+        F.sum("c").alias("n"), F.min("delay_mins").alias("min_delay"),
+        at(0.25).alias("q1_delay"), at(0.5).alias("median_delay"), at(0.75).alias("q3_delay"),
         F.max("delay_mins").alias("max_delay"),
-        F.avg("delay_mins").alias("mean_delay"))
+        (F.sum(F.col("delay_mins").cast("double") * F.col("c")) / F.sum("c")).alias("mean_delay"))
 
 
 def density_grid(kpis: DataFrame, x: str = "total_outgoing_flow",

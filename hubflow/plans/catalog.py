@@ -1030,19 +1030,21 @@ def q_network_drawing(spark, sf_dir):
 
 @register("kde_curve", ops="E4", doubles=("x", "kernel_mean", "bandwidth"), sql=f"""
 WITH {S.journeys_cte()},
-b AS (SELECT CAST(delay_mins AS DOUBLE) AS x FROM journeys WHERE delay_mins IS NOT NULL),
-st AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n,
-              stddev_samp(x) * power(CAST(count(x) AS DOUBLE), -0.2) AS bw FROM b),
-g AS (SELECT CAST(i AS INTEGER) AS grid_index, lo + (hi - lo) * i / 63 AS pos, bw, n
+b AS (SELECT column_name, CAST(x AS DOUBLE) AS x FROM
+        (SELECT planned_mins, effective_mins, delay_mins FROM journeys) j
+        UNPIVOT (x FOR column_name IN (planned_mins, effective_mins, delay_mins))),
+st AS (SELECT column_name, min(x) AS lo, max(x) AS hi, count(x) AS n,
+              stddev_samp(x) * power(CAST(count(x) AS DOUBLE), -0.2) AS bw FROM b GROUP BY column_name),
+g AS (SELECT column_name, CAST(i AS INTEGER) AS grid_index, lo + (hi - lo) * i / 63 AS pos, bw, n
       FROM st, range(64) t(i))
-SELECT grid_index, pos AS x, sum(exp(-0.5 * power((b.x - pos) / bw, 2))) / n AS kernel_mean,
-       bw AS bandwidth
-FROM g, b GROUP BY grid_index, pos, bw, n""")
+SELECT g.column_name, grid_index, pos AS x,
+       sum(exp(-0.5 * power((b.x - pos) / bw, 2))) / n AS kernel_mean, bw AS bandwidth
+FROM g JOIN b ON g.column_name = b.column_name GROUP BY g.column_name, grid_index, pos, bw, n""")
 def q_kde_curve(spark, sf_dir):
-    """Gaussian KDE of the milestone delay on a 64-point grid."""
-    from hubflow.operators.eda import kde_curve
-    return kde_curve(journeys_long(spark, sf_dir, "supplier"), "delay_mins").select(
-        "grid_index", "x", "kernel_mean", "bandwidth")
+    """Gaussian KDE of every numeric milestone column on a 64-point grid."""
+    from hubflow.operators.eda import kde_curves
+    return kde_curves(*_eda_input(spark, sf_dir)).select(
+        "column_name", "grid_index", "x", "kernel_mean", "bandwidth")
 
 
 @register("stage_delay_histogram", ops="X4", doubles=("bin_start", "bin_end"), sql=f"""
