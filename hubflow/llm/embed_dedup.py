@@ -159,7 +159,7 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
              .groupBy("dim", "slot", "blocks")
              .agg(F.collect_list(F.struct("slot2", "blocks2")).alias("near")))
     cell = lambda c: (F.col("dim").cast("long") * 1_000_000 + F.col(c)).alias
-    rows = (placed.join(F.broadcast(meets), ["dim", "slot"])
+    rows = (placed.join(meets, ["dim", "slot"])
             .withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
             .withColumn("o", F.explode("near"))
             .select("rep", "mult", "vec", "dim", "slot", "blk", F.col("o.slot2").alias("slot2"),

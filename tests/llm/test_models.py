@@ -254,6 +254,10 @@ def test_pipeline_stages(spark, tmp_path):
 def test_pipeline_on_odd_documents(spark, odd_docs, no_docs, tmp_path):
     odd = odd_docs.withColumn("n_chars", F.length("text").cast("long"))
     for k, d in enumerate((odd, odd.limit(0))):
+        if not k:
+            ids = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, d, SF).collect()]
+            # one row of the repeated id, one of each group of copies, all empty texts
+            assert sorted(x for x in ids if x is not None) == [0, 1, 2, 3, 5, 6, 8, 11] and None in ids
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, SF)
             assert d.count() >= 0
