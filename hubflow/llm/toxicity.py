@@ -184,9 +184,8 @@ def _lexicon(counts: DataFrame, groups: list[int], docs_by_group: dict[int, int]
     clean = [g for g in groups if not g % 2]
     if not all(sum(docs_by_group.get(g, 0) for g in side) for side in (tox, clean)):
         return None
-    c = (counts.groupBy("h").agg(
-        F.sum(F.when(F.col("g").isin(tox), F.col("n")).otherwise(0)).alias("t"),
-        F.sum(F.when(F.col("g").isin(clean), F.col("n")).otherwise(0)).alias("c")))
+    total = lambda side: sum((F.col(f"n{g}") for g in side), F.lit(0))
+    c = counts.select("h", total(tox).alias("t"), total(clean).alias("c")).filter("t + c > 0")
     n_t, n_c, vocabulary = c.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     if not n_t or not n_c:
         return None
@@ -238,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     sample = training_sample(docs, labels, id_col, text_col, label_col, max_per_class)
     sample = cut_lineage(sample)
+    # one row per feature with its counts in all groups: written once, read by every lexicon
     counts = cut_lineage(sample.mapInArrow(_feature_counts, "h bigint, g int, n bigint")
-                         .groupBy("h", "g").agg(F.sum("n").alias("n")))
+                         .groupBy("h").agg(*[F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"n{g}")
+                                             for g in range(2 * FOLDS)]))
     by_group = {r["g"]: r["count"] for r in sample.groupBy(
         (F.col("fold") * 2 + F.col("toxic")).alias("g")).count().collect()}
     whole = _lexicon(counts, list(range(2 * FOLDS)), by_group, max_lexicon)
