@@ -63,8 +63,9 @@ NUM, DEN = 3, 4                 # similarity of at least NUM / DEN
 PARTS = 56
 SMALL = 16                      # sets below this size meet on every token
 MIN_BITS = 512
-SPLIT_ABOVE = 1_000_000         # comparisons from which a second range splits a bucket
-BLOCK = 1024                    # rows of a block in sketch-to-sketch comparison
+SPLIT_ABOVE = 1 << 26           # comparisons from which a second range splits a bucket
+BLOCK_BYTES = 2 << 20           # sketches of a block in sketch-to-sketch comparison
+DIFFER_BYTES = 4 << 20          # bytes of sketches compared at once
 STRIPE = 1 << 16                # comparisons made at once
 TAKE = 256                      # pairs per member and component in the first round
 BITMAP = 1 << 25                # bits of the candidate bitmap (4 MB)
@@ -236,6 +237,15 @@ def _runs(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _differences(bits: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Differing bits of rows p and q, a bounded number of bytes at a time."""
+    out = np.zeros(len(p), np.int64)
+    step = max(1, DIFFER_BYTES // (8 * bits.shape[1]))
+    for s in range(0, len(p), step):
+        out[s:s + step] = np.bitwise_count(bits[p[s:s + step]] ^ bits[q[s:s + step]]).sum(axis=1)
+    return out
+
+
 def _cross_pairs(take: int):
     """Per member and other component, the ``take`` nearest allowed pairs
     inside each (bucket, block pair); ``more`` marks those cut short. A group
@@ -263,7 +273,7 @@ def _cross_pairs(take: int):
                     apart &= np.where(blk[r] == i, blk == j, most & (blk == i))
                 p, q = np.nonzero(apart & may_link(n[r], n, 0))
                 p = rows[lo + p]
-                ham = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1).astype(np.int64)
+                ham = _differences(bits, p, q)
                 ok = may_link(n[p], n[q], ham)
                 p, q, ham = p[ok], q[ok], ham[ok]
                 by = np.lexsort((ids[q], ham, place[q], p))
@@ -283,28 +293,31 @@ def _cross_pairs(take: int):
 
 def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int) -> DataFrame:
     """(a, b, more): nearest allowed pairs of one bucket and different components."""
-    rows = cut_lineage(multi.join(comp, "id", "left")
-                       .select("key", "id", F.coalesce("component", "id").alias("comp")))
+    rows = cut_lineage(multi.join(comp, "id", "left").join(feats.select("id", "n"), "id")
+                       .select("key", "id", F.coalesce("component", "id").alias("comp"), "n"))
 
     def mixed(r: DataFrame) -> DataFrame:
-        """Buckets with several components: rows and comparisons between them."""
-        c = r.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        return (c.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        """Buckets with several components: comparisons between them, and the
+        blocks that their sketches fill."""
+        c = r.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        size = F.greatest(F.lit(MIN_BITS), F.expr("shiftleft(2L, length(bin(max(n))))")) / 8
+        return (c.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"),
+                                     size.alias("size"))
                 .withColumn("work", F.col("rows") * F.col("rows") - F.col("own"))
-                .filter("work > 0").select("key", "rows", "work"))
+                .withColumn("blocks", F.ceil(F.col("rows") * F.col("size") / BLOCK_BYTES).cast("int"))
+                .filter("work > 0").select("key", "work", "blocks"))
 
     rows = cut_lineage(rows.join(mixed(rows), "key"))
     small = rows.filter(F.col("work") <= SPLIT_ABOVE)
     hot = rows.filter(F.col("work") > SPLIT_ABOVE)
     # a large bucket splits by every second range that its members agree in; a
     # pair that also meets in a small bucket is compared there
-    hot = hot.select("key", "id", "comp")
+    hot = hot.select("key", "id", "comp", "n")
     second = (hot.join(hot.select("id", F.col("key").alias("key2")), "id").filter("key < key2")
-              .select(F.xxhash64("key", "key2").alias("key"), "id", "comp"))
-    rows = small.select("key", "id", "comp", "rows").unionByName(
-        second.join(mixed(second), "key").select("key", "id", "comp", "rows"))
-    blocked = (rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-               .withColumn("blk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+              .select(F.xxhash64("key", "key2").alias("key"), "id", "comp", "n"))
+    rows = small.select("key", "id", "comp", "blocks").unionByName(
+        second.join(mixed(second), "key").select("key", "id", "comp", "blocks"))
+    blocked = (rows.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("key", "id", "comp", "blk", F.least("blk", "o").alias("i"),
                        F.greatest("blk", "o").alias("j")))

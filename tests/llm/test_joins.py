@@ -82,7 +82,7 @@ def test_ngram_join_equals_brute_force(spark):
 
 def test_ngram_join_with_split_buckets_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SPLIT_ABOVE", 8)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 256)
     _check(spark, _corpus(2))
 
 
