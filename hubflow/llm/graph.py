@@ -79,7 +79,9 @@ def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     e = cut_lineage(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
                     .filter("u <> v"))
     parts = -(-e.count() // block) or 1
-    written, e = e, cut_lineage(e.repartition(parts, "u").mapInArrow(_contract, "u bigint, v bigint"))
+    # one block of edges is finished by one task, and by one only
+    dealt = e.coalesce(1) if parts == 1 else e.repartition(parts, "u")
+    written, e = e, cut_lineage(dealt.mapInArrow(_contract, "u bigint, v bigint"))
     drop_tables(written)
     before = None
     while parts > 1:
