@@ -46,11 +46,14 @@ def line_array(text: Column) -> Column:
 
 def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
                      text_col: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, groups: DataFrame | None = None,
+                     keep_whole: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, plus ``n_lines`` and ``n_dropped``.
 
     ``id_col`` must tell documents apart; rows that repeat an id lose the
-    same lines.
+    same lines. ``groups`` (id, group), one row per id, makes the documents of
+    a group one page of their host, for a line's count and the host's alike.
+    With ``keep_whole`` a document that would lose every line keeps them all.
     """
     mark = "b_"                       # own names start with what no input column does
     while any(c.lower().startswith(mark) for c in docs.columns):
@@ -62,8 +65,14 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
         F.col(id_col).alias("id"), host.alias("host"),
         F.array_distinct(F.transform(line_array(text), lambda x: F.xxhash64(host, x))).alias("hs")))
     lines = hashed.select("id", "host", F.explode("hs").alias("h"))
-    pages = hashed.groupBy("host").agg(F.count("*").alias("pages"))
-    common = (lines.groupBy("host", "h").agg(F.count("*").alias("n"))
+    if groups is None:
+        counted, hosts = lines, hashed
+    else:
+        grouped = hashed.join(groups.toDF("id", "g"), "id")
+        counted = grouped.select("host", "g", F.explode("hs").alias("h")).distinct()
+        hosts = grouped.select("host", "g").distinct()
+    pages = hosts.groupBy("host").agg(F.count("*").alias("pages"))
+    common = (counted.groupBy("host", "h").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages)
               .join(pages, "host")
               .filter(F.col("n") > max_ratio * F.col("pages")).select("h"))
@@ -73,6 +82,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
               .withColumn(mark + "lines", line_array(text))
               .withColumn(mark + "kept", F.when(my("lost").isNull(), my("lines")).otherwise(
                   F.filter(my("lines"), lambda x: ~F.array_contains(my("lost"), F.xxhash64(host, x))))))
+    if keep_whole:
+        joined = joined.withColumn(mark + "kept", F.when(F.size(my("kept")) == 0, my("lines")).otherwise(my("kept")))
     mine = {"n_lines": F.size(my("lines")).cast("long"),
             "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *mine)]

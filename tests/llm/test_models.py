@@ -261,3 +261,32 @@ def test_pipeline_on_odd_documents(spark, odd_docs, no_docs, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, SF)
             assert d.count() >= 0
+
+
+def test_pipeline_keeps_one_whole_text_of_every_group_of_copies(spark):
+    rnd = random.Random(11)
+    line = lambda: " ".join(f"w{rnd.randint(0, 9000)}" for _ in range(30))
+    exact = [line() for _ in range(4)]
+    near = [line() for _ in range(9)]
+    rows = [("s", "\n".join(exact))] * 40
+    near_texts = set()
+    for _ in range(40):                   # edits in most lines: what copies share is less than half a text
+        t = [x.split() for x in near]
+        for i in rnd.sample(range(9), 6):
+            t[i][rnd.choice([0, 29])] = f"e{rnd.randint(0, 9000)}"
+        near_texts.add("\n".join(" ".join(x) for x in t))
+    near_texts = sorted(near_texts)
+    rows += [("s", t) for t in near_texts]
+    rows += [("s", "\n".join([line(), line(), "foot of the page"])) for _ in range(40)]
+    rows += [("s", "foot of the page")] * 5
+    few = line()
+    rows += [("small", few)] * 3 + [("small", line()) for _ in range(26)]
+    df = spark.createDataFrame([(i, t, s, len(t)) for i, (s, t) in enumerate(rows)],
+                               "doc_id long, text string, source string, n_chars long")
+    lines = corpus_pipeline.line_dedup_stage(spark, df, SF)
+    got = [r["text"] for r in corpus_pipeline.near_duplicate_stage(spark, lines, SF).collect()]
+    assert "" not in got
+    assert got.count("\n".join(exact)) == 1 and got.count(few) == 1
+    assert sum(t in near_texts for t in got) == 1
+    assert sum("foot of the page" in t for t in got) == 1     # off all pages but the one it is the whole of
+    assert len(got) == 1 + 1 + 40 + 1 + 1 + 26
