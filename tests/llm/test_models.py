@@ -290,3 +290,20 @@ def test_pipeline_keeps_one_whole_text_of_every_group_of_copies(spark):
     assert sum(t in near_texts for t in got) == 1
     assert sum("foot of the page" in t for t in got) == 1     # off all pages but the one it is the whole of
     assert len(got) == 1 + 1 + 40 + 1 + 1 + 26
+
+
+def test_pipeline_rows_without_id(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    item = max((r["text"] for r in items), key=lambda t: len(t.split()))
+    one, two, three, four = (" ".join(f"{p}{i}" for i in range(40)) for p in "pquv")
+    rows = [(7, one), (None, one), (None, two), (None, two), (None, four + " " + item), (None, None), (None, ""),
+            (4, "y y y y y"), (4, three), (9, three)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    once = [rows[0], (None, two), (None, four + " " + item), (None, None), (None, "")]
+    assert [x for x in got if x[0] not in (4, 9)] == sorted(once, key=repr)
+    # of the rows with id 4 one stays, and what only the other had stays with its copy
+    assert sum(x[0] == 4 for x in got) == 1 and three in [x[1] for x in got]
+    clean = [r["text"] for r in corpus_pipeline.decontamination_stage(spark, df, SF).collect()]
+    assert len(clean) == len(rows) - 1 and four + " " + item not in clean
