@@ -10,7 +10,7 @@ moves one row per task. Pages move once, to meet the hashes they lose.
 
 Defined results: a null host is a host of its own (''); null or empty texts
 keep an empty text; surrounding white space and blank lines are not part of
-a line and go; repeated rows count as pages of their own and keep their own
+a line and go, unless ``verbatim`` keeps them; repeated rows count as pages of their own and keep their own
 result; further columns pass through untouched, except that the
 result's own ``n_lines`` and ``n_dropped`` replace columns of those names.
 """
@@ -39,21 +39,30 @@ def url_host(url: Column) -> Column:
                                     r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
+def _raw_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def line_array(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1),
-                                lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), lambda x: x != "")
+    return F.filter(F.transform(_raw_lines(text), _trimmed), lambda x: x != "")
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
                      text_col: str = "text", max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES, groups: DataFrame | None = None,
-                     keep_whole: bool = False) -> DataFrame:
+                     keep_whole: bool = False, verbatim: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, plus ``n_lines`` and ``n_dropped``.
 
     ``id_col`` must tell documents apart; rows that repeat an id lose the
     same lines. ``groups`` (id, group), one row per id, makes the documents of
     a group one page of their host, for a line's count and the host's alike.
     With ``keep_whole`` a document that would lose every line keeps them all.
+    With ``verbatim`` white space and blank lines stay: lines are compared
+    trimmed, but a text goes on as it is except for the lines it loses.
     """
     mark = "b_"                       # own names start with what no input column does
     while any(c.lower().startswith(mark) for c in docs.columns):
@@ -87,5 +96,10 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     mine = {"n_lines": F.size(my("lines")).cast("long"),
             "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *mine)]
-    return joined.select(*rest, F.array_join(my("kept"), "\n").alias(text_col),
+    out = F.array_join(my("kept"), "\n")
+    if verbatim:
+        left = F.filter(_raw_lines(text), lambda x: (_trimmed(x) == "") |
+                        ~F.array_contains(my("lost"), F.xxhash64(host, _trimmed(x))))
+        out = F.when(mine["n_dropped"] == 0, F.coalesce(text, F.lit(""))).otherwise(F.array_join(left, "\n"))
+    return joined.select(*rest, out.alias(text_col),
                          *[e.alias(n) for n, e in mine.items()])

@@ -217,6 +217,24 @@ def test_line_dedup_odd_inputs(spark, odd_docs, no_docs):
     assert linededup.drop_boilerplate(no_docs, *args).count() == 0
 
 
+def test_line_dedup_verbatim_keeps_white_space(spark):
+    code = "def f(x):\n    if x:\n\treturn 1  \n\n    return 2\n"
+    rows = [(i, f"  Menu \n\n    own {i}\n\n\tfoot {i}  \n Menu") for i in range(20)] + [(50, code), (51, None), (52, " Menu\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.drop_boilerplate(
+        df, "doc_id", F.lit("h"), F.col("text"), keep_whole=True, verbatim=True).collect()}
+    assert got[3]["text"] == "\n    own 3\n\n\tfoot 3  " and (got[3]["n_lines"], got[3]["n_dropped"]) == (4, 2)
+    assert got[50]["text"] == code and got[50]["n_dropped"] == 0
+    assert got[51]["text"] == "" and got[52]["text"] == " Menu\n" and got[52]["n_dropped"] == 0
+
+
+def test_line_dedup_stage_keeps_white_space(spark):
+    code = "def f(x):\n    if x:\n\treturn 1  \n\n    return 2\n"
+    df = spark.createDataFrame([(1, code, "s", len(code))], "doc_id long, text string, source string, n_chars long")
+    got = corpus_pipeline.line_dedup_stage(spark, df, SF).first()
+    assert got["text"] == code and got["n_chars"] == len(code)
+
+
 def test_html_lines(spark):
     df = spark.createDataFrame([("<p>a<br>b</p><!-- <p>x --><script>var t='</p>';</script><STYLE>q{}</style>c", )], "h string")
     text = df.select(linededup.html_lines(F.col("h")).alias("t")).first()["t"]
