@@ -77,13 +77,18 @@ def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_counts(n: np.ndarray) -> bytes:
-    """Counts with equal bytes side by side, deflated."""
-    return zlib.compress(np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    """Counts with equal bytes side by side, deflated: four bytes a count, or
+    eight where the greatest needs more."""
+    wide = len(n) > 0 and int(n.max()) >> 32 > 0
+    kind, width = (np.uint64, 8) if wide else (np.uint32, 4)
+    planes = np.ascontiguousarray(n.astype(kind).view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 6)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    width = b[0]
+    planes = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64 if width == 8 else np.uint32).ravel().astype(np.int64)
 
 
 def pack_sorted(x: np.ndarray, n: np.ndarray) -> bytes:

@@ -140,6 +140,20 @@ def test_packed_numbers_round_trip():
         assert (x == y).all() and (c == d).all()
 
 
+def test_packed_counts_above_32_bits():
+    for c in ([(1 << 32) - 1], [1 << 32], [3, (1 << 32) + 1, 7 << 40, 2]):
+        assert lm_score.unpack_counts(lm_score.pack_counts(np.array(c, np.int64))).tolist() == c
+    # a word on 2^32 places of some chunks keeps its count in every chunk's reply
+    x = np.array([5, 9], np.uint64)
+    import pyarrow as pa
+    sent = pa.record_batch([pa.array([0, 1, 2], pa.int32()), pa.array([0, 0, 0], pa.int32()),
+                            pa.array([lm_score.pack_sorted(x, np.array([(1 << 31) + k, 1])) for k in range(3)],
+                                     pa.binary())], names=["chunk", "part", "grams"])
+    for back in lm_score._answers(iter([sent])):
+        for b in back.column("counts").to_pylist():
+            assert lm_score.unpack_counts(b).tolist() == [(3 << 31) + 3, 3]
+
+
 def test_lm_odd_inputs(spark, odd_docs, no_docs):
     rows = lm_score.stupid_backoff(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["log_score"] <= 1e-9 for r in rows)
