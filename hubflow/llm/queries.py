@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubflow.llm import decontaminate, embed_dedup, linededup, lm_score, ngram_join, packing, pii, quality, secrets, sql, toxicity
+from hubflow.llm import (conversation, decontaminate, embed_dedup, exactdup, linededup, lm_score, ngram_join, packing,
+                         pii, quality, ranked, secrets, sql, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +75,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after planted damage."""
+    return conversation.repair_digest(conversation.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document and the row that stays."""
+    return exactdup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_decontamination, op3_packing, op4_toxicity, op5_ngram_join,
-    op6_lm_score,    op7_line_dedup, op8_pii, op9_embedding_dedup, op10_quality)}
+    op6_lm_score, op7_line_dedup, op8_pii, op9_embedding_dedup, op10_quality,
+    op11_ranked_search, op12_conversation_repair, op13_exact_dedup)}
 ORACLE_SQL = {
     "op1_secret_scan": sql.SECRETS,
     "op2_decontamination": sql.DECONTAMINATION,
@@ -86,4 +103,7 @@ ORACLE_SQL = {
     "op7_line_dedup": sql.LINE_DEDUP,
     "op8_pii": sql.PII,
     "op9_embedding_dedup": sql.EMBEDDINGS,
+    "op11_ranked_search": sql.RANKED_SEARCH,
+    "op12_conversation_repair": sql.CONVERSATION,
+    "op13_exact_dedup": sql.EXACT_DEDUP,
 }

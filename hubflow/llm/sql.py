@@ -227,3 +227,91 @@ SELECT d.doc_id, count(v) AS n_words, round(coalesce(sum(v), 0), 4) + 0.0 AS log
        round(avg(v), 6) + 0.0 AS mean_log_score, count(*) FILTER (full_order) AS n_full,
        count(*) FILTER (unseen) AS n_unseen
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
+EXACT_DEDUP = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+           FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(x) DESC, doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: {bit})"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), "
+            f"lambda h: ascii(h)::BIGINT)), lambda c, b: {byte}), 4294967295)")
+
+
+def _edit(state: str, cost: str, edit: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {edit}}} END"
+
+
+def _least(*entries: str) -> str:
+    return f"list_min([{', '.join(entries)}])"
+
+
+_SEEN = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+_ROW = "CASE WHEN NOT gone THEN {} END"
+_TO_U = "CASE WHEN ini = 'u' THEN 0 ELSE 1 END + extra", "CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END"
+_TO_A = "CASE WHEN ini = 'a' THEN 0 ELSE 1 END + extra", "CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END"
+CONVERSATION = f"""
+WITH RECURSIVE c0 AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c, turn, coalesce(role, ' ') AS role,
+                             coalesce(text, ' ') AS text FROM conversations),
+c1 AS (SELECT *, {_crc32("(c || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM c0),
+c2 AS (SELECT conv_id, c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+              CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+              unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c1),
+c3 AS (SELECT c, turn, role, text, role[1] AS ini, {_SEEN} = '' AS blank, {_SEEN}[-1] NOT IN ('.', '!', '?') AS cut,
+              row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS rn FROM c2),
+c4 AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY rn) > 1 AS again,
+              lag(ini) OVER (PARTITION BY c ORDER BY rn) || ini AS two FROM c3),
+r AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM c4),
+facts AS (SELECT c, max(rn) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+                 count(*) FILTER (NOT gone AND cut) AS truncated,
+                 count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+dp AS (
+  SELECT DISTINCT c, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': ''}} AS e, NULL::STRUCT(c BIGINT, a VARCHAR) AS s,
+         NULL::STRUCT(c BIGINT, a VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR) AS a FROM r
+  UNION ALL
+  SELECT c, k, {_edit('e', '2', "'D'")},
+         {_least(_edit('s', '2', "'D'"), "CASE WHEN NOT gone AND ini = 's' THEN " + _edit('e', 'extra', "'K'") + " END")},
+         {_least(_edit('u', '2', "'D'"), _ROW.format(_least(*(_edit(x, *_TO_U) for x in 'esa'))))},
+         {_least(_edit('a', '2', "'D'"), _ROW.format(_edit('u', *_TO_A)))}
+  FROM (SELECT dp.c, r.rn AS k, gone, extra, ini, e, s,
+               {_least('u', *(_edit(x, '5', "'I'") for x in 'esa'))} AS u,
+               {_least('a', _edit('e', '10', "'II'"), _edit('s', '10', "'II'"), _edit('u', '5', "'I'"))} AS a
+        FROM dp JOIN r ON r.c = dp.c AND r.rn = dp.k + 1)
+),
+best AS (SELECT dp.c, {_least('e', 'a', _edit('u', '5', "'I'"), _edit('s', '10', "'II'"))} AS b
+         FROM dp JOIN facts ON facts.c = dp.c AND facts.n = dp.k),
+ch AS (SELECT c, i, b.a[i] AS x, sum(CASE WHEN b.a[i] <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS rn,
+              sum(CASE WHEN b.a[i] <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS o
+       FROM (SELECT c, b, unnest(range(1, length(b.a) + 1)) AS i FROM best)),
+ed AS (SELECT ch.c, i, x, o, CASE WHEN x = 'I' THEN '' ELSE text END AS text, role,
+              max(CASE WHEN o = 1 AND x = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY ch.c) AS sys
+       FROM ch LEFT JOIN r ON r.c = ch.c AND r.rn = ch.rn),
+fixed AS (SELECT c, string_agg(CASE WHEN x = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                               || ':' || text, chr(10) ORDER BY i) AS t FROM ed WHERE x <> 'D' GROUP BY c)
+SELECT p.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM c0) p LEFT JOIN facts USING (c) LEFT JOIN best USING (c) LEFT JOIN fixed USING (c)"""
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+RANKED_SEARCH = rf"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+st AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM dl),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * nd) // l) AS m FROM dl, st),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, st GROUP BY term, nd),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+       FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+WHERE rank <= 10"""
