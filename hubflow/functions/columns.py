@@ -20,6 +20,7 @@ SUFFIXES = {"p": "Planned_Mins", "e": "Effective_Mins", "place": "Hub_ID"}
 # Header columns: raw name -> cleaned name.
 HEADER = {"nr": "All_process_ID", "legs": "Total_Incoming_Legs"}
 # Hub text that means "no hub".
+MISSING_TEXT = "?"  # a missing value in raw text
 NO_HUB_TEXT = ["0", "0.0", "nan", "?"]
 NO_HUB = "none"
 SEGMENTS = (1, 2, 3)
@@ -69,7 +70,9 @@ def rename_map(compat: bool = False) -> dict[str, str]:
 def to_number(c: Column | str) -> Column:
     """Text -> DOUBLE; anything non-numeric (``?``, junk, NaN) becomes NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    d = c.cast("string").try_cast("double")
+    s = c.cast("string")
+    # a failed parse costs an exception each: the usual sign of a missing value is not parsed
+    d = F.when(s != MISSING_TEXT, s.try_cast("double"))
     return F.when(F.isnan(d), None).otherwise(d)
 
 

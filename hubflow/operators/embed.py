@@ -5,17 +5,21 @@
   aggregation), the state written to the checkpoint folder between hops.
 * G9: negative pairs from a seeded hash of (node, draw), minus existing
   edges (``left_anti``), deduplicated: no pair enumeration.
-* G10/G11: a bilinear logistic regression ``sigma(h_i' M h_j)`` fitted with
-  Spark ML ``LogisticRegression`` on the symmetrised outer products of the
-  propagated features (balanced class weights, L2 = weight decay, no
-  intercept). The embedding is ``z = h P`` with ``P P' = M_+`` (the PSD part
-  of the learned M), so ``z_i . z_j`` approximates the learned score. The
-  loss history is ``summary.objectiveHistory`` (G12).
+* G10/G11: a bilinear logistic regression ``sigma(x_i' S x_j)`` on whitened
+  propagated features x = h W (balanced classes, L2 = weight decay, no
+  intercept), fitted by Newton steps whose sums Spark adds up. The embedding is
+  ``z = x P`` with ``P P' = S_+`` (the positive part of the learned S), so
+  ``z_i . z_j`` approximates the learned score. The loss of every accepted step
+  is returned (G12).
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,68 +110,136 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 42,
     return ranked.filter(F.col("_i") < target).select("src", "dst")
 
 
-def _pair_features(h_i, h_j, p: int):
-    """Symmetrised outer-product features: for a <= b, (h_i[a]h_j[b] + h_i[b]h_j[a]) / 2."""
-    out = []
-    for a in range(p):
-        for b in range(a, p):
-            out.append((h_i[a] * h_j[b] + h_i[b] * h_j[a]) / 2)
-    return F.array(*out)
-
-
-def _fit_bilinear(pairs: DataFrame, p: int, reg: float, max_iter: int):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    n_pos = pairs.filter(F.col("y") == 1).count()
-    n_neg = pairs.filter(F.col("y") == 0).count()
-    if n_pos == 0 or n_neg == 0:
-        return None, []
-    data = pairs.withColumn("features", array_to_vector("f")).withColumn(
-        "w", F.when(F.col("y") == 1, F.lit(1.0 / n_pos)).otherwise(F.lit(1.0 / n_neg)))
-    data = data.withColumn("w", F.col("w") * (n_pos + n_neg) / 2.0)
-    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
-                            regParam=reg, elasticNetParam=0.0, fitIntercept=False,
-                            maxIter=max_iter, standardization=True)
-    model = lr.fit(data)
-    coef = model.coefficients.toArray()
-    m = np.zeros((p, p))
-    t = 0
-    for a in range(p):
-        for b in range(a, p):
-            if a == b:
-                m[a, a] = coef[t]
-            else:
-                m[a, b] = m[b, a] = coef[t] / 2
-            t += 1
-    return m, list(model.summary.objectiveHistory)
-
-
-def _project(h: DataFrame, m: np.ndarray, dim: int, key: str) -> DataFrame:
+EIGEN_LEAST = 1e-6   # share of the largest eigenvalue below which a direction is left out
+TOLERANCE = 1e-8     # gradient norm at which a fit has converged
+
+
+def whitening(h: DataFrame, p: int) -> np.ndarray:
+    """(p, r) matrix that gives the rows of ``h`` unit second moments in r
+    independent directions. Propagated features are nearly collinear; directions
+    whose eigenvalue is below ``EIGEN_LEAST`` of the largest are left out. The
+    Gram matrix is one aggregation: a row of p * p sums per task."""
+    def partial(batches):
+        total, n = np.zeros((p, p)), 0
+        for b in batches:
+            x = np.asarray(b.column("h").flatten(), dtype=float).reshape(-1, p)
+            total, n = total + x.T @ x, n + len(x)
+        yield pa.record_batch([pa.array([n]), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["n", "g"])
+
+    rows = h.select("h").mapInArrow(partial, "n bigint, g array<double>").collect()
+    n = sum(r["n"] for r in rows)
+    gram = sum((np.array(r["g"]) for r in rows), np.zeros(p * p)).reshape(p, p) / max(n, 1)
+    vals, vecs = np.linalg.eigh(gram)
+    keep = vals > EIGEN_LEAST * max(vals.max(), 1e-300)
+    return vecs[:, keep] / np.sqrt(vals[keep])
+
+
+@dataclass
+class BilinearFit:
+    """Symmetric matrix of the fitted score, its loss per accepted step, and the
+    gradient norm it ended with."""
+    matrix: np.ndarray
+    loss: list[float]
+    gradient: float
+
+    @property
+    def converged(self) -> bool:
+        return self.gradient <= TOLERANCE
+
+
+def fit_bilinear(pairs: DataFrame, p: int, w: np.ndarray, reg: float, max_iter: int) -> BilinearFit | None:
+    """Logistic regression of ``y`` on ``x_i' S x_j`` with x = h W (whitened) for
+    ``pairs`` (y, hi, hj), classes balanced, ridge ``reg``: Newton steps, halved
+    where the loss would rise. A step is one pass over the pairs; each task
+    returns its sums of loss, gradient and curvature, whose size depends on r only.
+    None where a class is missing."""
+    size = {r["y"]: r["n"] for r in pairs.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return None
+    r = w.shape[1]
+    up = np.triu_indices(r)
+    double = np.where(up[0] == up[1], 1.0, 2.0)       # S[a, b] and S[b, a] share a parameter
+    q = len(double)
+    share = {y: 0.5 / n for y, n in size.items()}
+
+    def sums(theta):
+        def run(batches):
+            total = np.zeros(1 + q + q * q)
+            for b in batches:
+                xi, xj = (np.asarray(b.column(c).flatten(), dtype=float).reshape(-1, p) @ w for c in ("hi", "hj"))
+                y = np.asarray(b.column("y"))
+                c = np.where(y == 1, share[1.0], share[0.0])
+                f = (xi[:, up[0]] * xj[:, up[1]] + xi[:, up[1]] * xj[:, up[0]]) / 2 * double
+                z = f @ theta
+                total[0] += (c * (np.logaddexp(0, z) - y * z)).sum()
+                prob = np.exp(-np.logaddexp(0, -z))
+                total[1:1 + q] += f.T @ (c * (prob - y))
+                total[1 + q:] += ((f * (c * prob * (1 - prob))[:, None]).T @ f).ravel()
+            yield pa.record_batch([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+        rows = pairs.mapInArrow(run, "s array<double>").collect()
+        s = sum((np.array(x["s"]) for x in rows), np.zeros(1 + q + q * q))
+        return (s[0] + reg / 2 * theta @ theta, s[1:1 + q] + reg * theta,
+                s[1 + q:].reshape(q, q) + reg * np.eye(q))
+
+    theta = np.zeros(q)
+    loss, grad, curve = sums(theta)
+    history = [loss]
+    for _ in range(max_iter):
+        if np.linalg.norm(grad) <= TOLERANCE:
+            break
+        step = np.linalg.solve(curve, grad)
+        for _ in range(30):
+            new = sums(theta - step)
+            if new[0] <= loss:
+                break
+            step = step / 2
+        else:
+            break
+        theta, (loss, grad, curve) = theta - step, new
+        history.append(loss)
+    m = np.zeros((r, r))
+    m[up] = theta
+    m[up[1], up[0]] = theta
+    return BilinearFit(m, [float(x) for x in history], float(np.linalg.norm(grad)))
+
+
+def _checked(fit: BilinearFit | None, max_iter: int) -> BilinearFit | None:
+    if fit is not None and not fit.converged:
+        warnings.warn(f"embedding fit stopped after {len(fit.loss) - 1} of {max_iter} steps "
+                      f"with gradient norm {fit.gradient:.2e}", stacklevel=3)
+    return fit
+
+
+def _project(h: DataFrame, w: np.ndarray, m: np.ndarray, dim: int, key: str) -> DataFrame:
+    """Embedding z = h W P with P P' the positive part of ``m``."""
     vals, vecs = np.linalg.eigh(m)
     order = np.argsort(vals)[::-1]
-    vals, vecs = vals[order], vecs[:, order]
-    proj = vecs * np.sqrt(np.clip(vals, 0, None))[None, :]
-    p = m.shape[0]
-    if proj.shape[1] < dim:
-        proj = np.hstack([proj, np.zeros((p, dim - proj.shape[1]))])
-    proj = proj[:, :dim]
+    proj = w @ (vecs[:, order] * np.sqrt(np.clip(vals[order], 0, None)))
+    p = proj.shape[0]
+    proj = np.hstack([proj, np.zeros((p, max(0, dim - proj.shape[1])))])[:, :dim]
     # fix the arbitrary eigenvector sign: largest-magnitude loading positive
     for j in range(dim):
         col = proj[:, j]
         if col[np.argmax(np.abs(col))] < 0:
             proj[:, j] = -col
-    rows = [F.lit(float(x)) for x in proj.T.ravel()]
-    pm = F.array(*rows)
-    z = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.aggregate(
-        F.sequence(F.lit(0), F.lit(p - 1)), F.lit(0.0),
-        lambda acc, i: acc + F.col("h")[i] * F.element_at(pm, j * p + i + 1)))
-    return h.select(key, z.alias("embedding"))
+    kind = h.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            z = np.asarray(b.column("h").flatten(), dtype=float).reshape(-1, p) @ proj
+            yield pa.record_batch([b.column(key), pa.array(list(z), pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return h.select(key, "h").mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
 
 
 def link_embedding(nodes: DataFrame, edges: DataFrame, cols: list[str], dim: int = 16,
                    hops: int = 5, weight_decay: float = 5e-4, max_iter: int = 100,
                    seed: int = 42, key: str = "hub_id"):
-    """G10 (+G9, G12): link-prediction embedding. Returns ``(embeddings, loss)``."""
+    """G10 (+G9, G12): link-prediction embedding. Returns ``(embeddings, loss)``.
+
+    Propagated features are whitened first; a fit that has not converged after
+    ``max_iter`` steps warns with its gradient norm."""
     h = cut_lineage(propagate(nodes, edges, cols, hops, key))
     p = len(cols) * (hops + 1)
     pos = edges.select("src", "dst").distinct().withColumn("y", F.lit(1.0))
@@ -175,12 +247,17 @@ def link_embedding(nodes: DataFrame, edges: DataFrame, cols: list[str], dim: int
     pairs = pos.unionByName(neg)
     hi = h.select(F.col(key).alias("src"), F.col("h").alias("hi"))
     hj = h.select(F.col(key).alias("dst"), F.col("h").alias("hj"))
-    pf = pairs.join(hi, "src").join(hj, "dst").select(
-        "y", _pair_features(F.col("hi"), F.col("hj"), p).alias("f"))
-    m, loss = _fit_bilinear(cut_lineage(pf), p, weight_decay, max_iter)
-    if m is None:
-        m = np.eye(p)
-    return _project(h, m, dim, key), loss
+    return _fitted_embedding(h, pairs.join(hi, "src").join(hj, "dst").select("y", "hi", "hj"),
+                             p, dim, weight_decay, max_iter, key)
+
+
+def _fitted_embedding(h: DataFrame, pairs: DataFrame, p: int, dim: int, reg: float, max_iter: int, key: str):
+    w = whitening(h, p)
+    pairs = cut_lineage(pairs)
+    fit = _checked(fit_bilinear(pairs, p, w, reg, max_iter), max_iter)
+    drop_tables(pairs)
+    m = np.eye(w.shape[1]) if fit is None else fit.matrix
+    return _project(h, w, m, dim, key), [] if fit is None else fit.loss
 
 
 def contrastive_embedding(nodes: DataFrame, edges: DataFrame, cols: list[str], dim: int = 16,
@@ -198,10 +275,6 @@ def contrastive_embedding(nodes: DataFrame, edges: DataFrame, cols: list[str], d
     corrupted = perm.join(feats, "perm").select(F.col("orig").alias(key), *cols)
     hc = cut_lineage(propagate(corrupted, edges, cols, hops, key))
     hp = h.select(key, F.col("h").alias("hi"))
-    pos = hp.select(F.lit(1.0).alias("y"), _pair_features(F.col("hi"), F.col("hi"), p).alias("f"))
-    neg = hp.join(hc.select(key, F.col("h").alias("hj")), key).select(
-        F.lit(0.0).alias("y"), _pair_features(F.col("hi"), F.col("hj"), p).alias("f"))
-    m, loss = _fit_bilinear(cut_lineage(pos.unionByName(neg)), p, weight_decay, max_iter)
-    if m is None:
-        m = np.eye(p)
-    return _project(h, m, dim, key), loss
+    pos = hp.select(F.lit(1.0).alias("y"), "hi", F.col("hi").alias("hj"))
+    neg = hp.join(hc.select(key, F.col("h").alias("hj")), key).select(F.lit(0.0).alias("y"), "hi", "hj")
+    return _fitted_embedding(h, pos.unionByName(neg), p, dim, weight_decay, max_iter, key)

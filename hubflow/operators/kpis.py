@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.functions.columns import NO_HUB, non_empty, to_number
-from hubflow.functions.ranking import dense_rank, exact_percentile
+from hubflow.functions.ranking import dense_rank, exact_percentile, exact_percentiles
 from hubflow.session import cut_lineage
 
 KPI_COLUMNS = ["hub_id", "total_outgoing_flow", "avg_segment_delay", "std_delay",
@@ -43,13 +43,15 @@ def hub_kpis(long_df: DataFrame, min_volume: int = 1, sort: bool = True) -> Data
     d, c = F.col("delay_mins").cast("double"), F.col("_c")
     counts = df.groupBy("hub_id", "delay_mins").agg(
         F.count("leg_id").alias("_legs"), F.count("*").alias("_c"))
+    mean = F.col("_s") / F.col("_n")
+    # squared differences from the mean over the counts: sums of squares would cancel in large hubs
+    away = lambda x: x["d"].cast("double") - mean
+    spread = F.aggregate("_cells", F.lit(0.0), lambda a, x: a + away(x) * away(x) * x["c"])
     agg = counts.groupBy("hub_id").agg(
         F.sum("_legs").alias("total_outgoing_flow"), F.sum("_c").alias("_n"),
-        F.sum(d * c).alias("_s"), F.sum(d * d * c).alias("_ss"),
-        F.percentile("delay_mins", 0.5, c).alias("median_delay"),
-        F.max("delay_mins").alias("max_delay"))
-    mean = F.col("_s") / F.col("_n")
-    spread = F.greatest(F.col("_ss") - F.col("_s") * mean, F.lit(0.0))
+        F.sum(d * c).alias("_s"), F.percentile("delay_mins", 0.5, c).alias("median_delay"),
+        F.max("delay_mins").alias("max_delay"),
+        F.collect_list(F.struct(F.col("delay_mins").alias("d"), F.col("_c").alias("c"))).alias("_cells"))
     agg = agg.select("hub_id", "total_outgoing_flow", mean.alias("avg_segment_delay"),
                      F.when(F.col("_n") > 1, F.sqrt(spread / (F.col("_n") - 1))).alias("std_delay"),
                      "median_delay", "max_delay")
@@ -73,8 +75,7 @@ def hub_quadrants(kpis: DataFrame, min_flow_percentile: float = 0.10) -> DataFra
     k = cut_lineage(kpis)
     cut = exact_percentile(k, "total_outgoing_flow", min_flow_percentile)
     kept = k.filter(F.col("total_outgoing_flow") >= F.lit(cut))
-    mf = exact_percentile(kept, "total_outgoing_flow", 0.5)
-    md = exact_percentile(kept, "avg_segment_delay", 0.5)
+    mf, md = exact_percentiles(kept, [("total_outgoing_flow", 0.5), ("avg_segment_delay", 0.5)])
     hi_f = F.col("total_outgoing_flow") > F.lit(mf)
     hi_d = F.col("avg_segment_delay") > F.lit(md)
     cat = (F.when(hi_f & hi_d, QUADRANTS[0]).when(hi_f, QUADRANTS[1])

@@ -485,6 +485,50 @@ def q_poor_fit_points(spark, sf_dir):
     return poor_fit_points(_vectors(spark, sf_dir), 0.1)
 
 
+EUCLID_SQL = """WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL),
+sz AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+ds AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s FROM p a JOIN p b ON {only}
+       GROUP BY a.vec_id, a.label, b.label),
+ab AS (SELECT vec_id, ds.label, max(CASE WHEN other = ds.label AND n > 1 THEN s / (n - 1) END) AS a,
+              min(CASE WHEN other <> ds.label THEN s / n END) AS b
+       FROM ds JOIN sz ON sz.label = ds.other GROUP BY vec_id, ds.label),
+eu AS (SELECT vec_id, label, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0
+              ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
+
+
+@register("silhouette_euclidean", doubles=("silhouette",), ops="C3 J8",
+          sql=f"{EUCLID_SQL.format(only='true')} SELECT * FROM eu")
+def q_silhouette_euclidean(spark, sf_dir):
+    """Per-vector Euclidean silhouette, label as cluster, all points against all."""
+    from hubflow.operators.silhouette import euclidean_samples
+    return euclidean_samples(_vectors(spark, sf_dir))
+
+
+@register("silhouette_euclidean_score", doubles=("silhouette",), ops="C3",
+          sql=f"{EUCLID_SQL.format(only='true')} SELECT avg(silhouette) AS silhouette FROM eu")
+def q_silhouette_euclidean_score(spark, sf_dir):
+    """Mean Euclidean silhouette of the labelled vectors."""
+    from hubflow.operators.silhouette import euclidean_score
+    return euclidean_score(_vectors(spark, sf_dir))
+
+
+@register("silhouette_euclidean_targets", doubles=("silhouette",), ops="C3",
+          sql=f"{EUCLID_SQL.format(only='a.vec_id % 50 = 0')} SELECT * FROM eu")
+def q_silhouette_euclidean_targets(spark, sf_dir):
+    """Euclidean silhouette of the stated query set (ids divisible by 50)
+    against all vectors, the form for tables too large for all targets."""
+    from hubflow.operators.silhouette import euclidean_samples
+    return euclidean_samples(_vectors(spark, sf_dir), targets=F.col("vec_id") % 50 == 0)
+
+
+@register("poor_fit_euclidean", doubles=("silhouette",), ops="C6 J9",
+          sql=f"{EUCLID_SQL.format(only='true')} SELECT * FROM eu WHERE silhouette < 0.1")
+def q_poor_fit_euclidean(spark, sf_dir):
+    """Vectors whose Euclidean silhouette is below 0.1."""
+    from hubflow.operators.silhouette import euclidean_poor_fit
+    return euclidean_poor_fit(_vectors(spark, sf_dir), 0.1)
+
+
 @register("davies_bouldin", doubles=("davies_bouldin",), ops="C4", sql=f"""WITH {VEC_BASE_SQL},
 sp AS (SELECT p.label, avg(list_distance(p.x, c.centroid)) AS s
        FROM p JOIN c ON p.label = c.label GROUP BY p.label),
@@ -540,6 +584,29 @@ def q_similar_vectors(spark, sf_dir):
     return similar_vectors(v, targets, top_k=5)
 
 
+@register("nearest_vectors", doubles=("similarity",), ops="C10 O5", sql="""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS target_id, e.vec_id AS similar_id, round(list_cosine_similarity(q.x, e.x), 12) AS similarity
+      FROM v q JOIN v e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY target_id
+        ORDER BY similarity DESC, similar_id) AS INTEGER) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 5""")
+def q_nearest_vectors(spark, sf_dir):
+    """Top-5 cosine neighbours among all vectors of the query set (ids divisible
+    by 50), over an inverted-file index searched to the distance bound."""
+    from hubflow.operators.neighbours import build_index, search_index
+    v = _vectors(spark, sf_dir)
+    return search_index(build_index(v), v.filter("vec_id % 50 = 0"), top_k=5)
+
+
+@register("nearest_vectors_probed", doubles=("similarity",), ops="C10 O5")
+def q_nearest_vectors_probed(spark, sf_dir):
+    """The same from the eight nearest lists only (approximate; recall is tested)."""
+    from hubflow.operators.neighbours import build_index, search_index
+    v = _vectors(spark, sf_dir)
+    return search_index(build_index(v), v.filter("vec_id % 50 = 0"), top_k=5, exact=False)
+
+
 # ------------------------------------------------- hub cluster analysis
 def _clustered(spark, sf_dir):
     from hubflow.operators.cluster import attach_clusters
@@ -703,6 +770,46 @@ def q_betweenness_pivots(spark, sf_dir):
     return betweenness(e, sources=cut_lineage(pivots))
 
 
+HUB_EDGES_SQL = f"""{S.transits_ctes(hub='supplier', variants=('router',))},
+re AS ({ROUTER_EDGES_SQL}),
+nodes AS (SELECT src AS node FROM re WHERE src IS NOT NULL
+          UNION SELECT dst FROM re WHERE dst IS NOT NULL)"""
+
+
+def _hub_router(spark, sf_dir):
+    from hubflow.operators.network import router_edges
+    from hubflow.session import cut_lineage
+    return cut_lineage(router_edges(_t(spark, sf_dir, "router")))
+
+
+@register("betweenness_hubs", doubles=("centrality",), ops="G5",
+          sql=f"WITH RECURSIVE {HUB_EDGES_SQL}, {_apsp_sql()} SELECT * FROM bc")
+def q_betweenness_hubs(spark, sf_dir):
+    """Exact weighted betweenness of the supplier-hub graph."""
+    from hubflow.operators.paths import betweenness
+    return betweenness(_hub_router(spark, sf_dir))
+
+
+@register("betweenness_sampled", doubles=("centrality", "error"), ops="G5")
+def q_betweenness_sampled(spark, sf_dir):
+    """Betweenness of the supplier-hub graph from sampled shortest paths, with
+    the error that holds for all hubs with a chance of 0.9."""
+    from hubflow.operators.centrality import sampled_betweenness
+    return sampled_betweenness(_hub_router(spark, sf_dir))
+
+
+@register("betweenness_sampled_inside", ops="G5", sql=f"""WITH {HUB_EDGES_SQL}
+SELECT node AS hub_id, true AS inside FROM nodes""")
+def q_betweenness_sampled_inside(spark, sf_dir):
+    """Whether each hub's exact betweenness lies within the sampled one's error."""
+    from hubflow.operators.centrality import sampled_betweenness
+    from hubflow.operators.paths import betweenness
+    e = _hub_router(spark, sf_dir)
+    exact = betweenness(e).withColumnRenamed("centrality", "exact")
+    return sampled_betweenness(e).join(exact, "hub_id").select(
+        "hub_id", (F.abs(F.col("centrality") - F.col("exact")) <= F.col("error")).alias("inside"))
+
+
 @register("bottlenecks", doubles=("centrality_score", "avg_hub_delay"), ops="G6 J10 O2",
           sql=f"""WITH RECURSIVE {NATION_EDGES_SQL}, {_apsp_sql()}, {S.hub_kpis_cte()}
 SELECT bc.hub_id, bc.centrality AS centrality_score, k.total_outgoing_flow AS flow_volume,
@@ -755,22 +862,35 @@ def q_k_best_routes(spark, sf_dir):
     return k_best_routes(e, pairs, top_k=3)
 
 
-SUPPLIER_PAIRS = 3
+SUPPLIER_PAIRS = 20
+
 
+def _hub_routes_sql(pairs: int) -> str:
+    """Partial routes are listed only while cost and shortest rest stay within
+    the third-best route of at most two edges."""
+    square = ",\n".join(f"""m{2 * k} AS (SELECT a.s, b.v, min(a.d + b.d) AS d FROM m{k} a JOIN m{k} b ON a.v = b.s
+    GROUP BY a.s, b.v)""" for k in (1, 2, 4, 8))
+    plain = _routes_sql(HUB_EDGES_SQL, pairs)
+    plain = plain.replace("rp(source,", f"""m1 AS (SELECT s, v, min(d) AS d FROM
+    (SELECT src AS s, dst AS v, weight AS d FROM e UNION ALL SELECT node, node, 0 FROM nodes) x GROUP BY s, v),
+{square},
+rp(source,""", 1)
+    plain = plain.replace("  FROM rp JOIN e ON e.src = rp.last JOIN ub", "  FROM rp JOIN e ON e.src = rp.last "
+                          "JOIN m16 ON m16.s = e.dst AND m16.v = rp.target JOIN ub", 1)
+    return plain.replace("AND rp.cost + e.weight <= ub.ub + 1e-9", "AND rp.cost + e.weight + m16.d <= ub.ub + 1e-9", 1)
 
-@register("k_best_routes_hubs", ops="G4")
+
+@register("k_best_routes_hubs", doubles=("total_weight", "total_avg_delay"), ops="G4",
+          sql=_hub_routes_sql(SUPPLIER_PAIRS))
 def q_k_best_routes_hubs(spark, sf_dir):
-    """Three cheapest simple routes between the ends of the 3 busiest routes
-    of the supplier-hub graph, which grows with the tables. (Plain SQL lists
-    too many partial routes there; the operator has brute-force tests.)"""
-    from hubflow.operators.network import router_edges
-    from hubflow.operators.paths import k_best_routes
-    from hubflow.session import cut_lineage
-    e = cut_lineage(router_edges(_t(spark, sf_dir, "router")))
+    """Three cheapest simple routes between the ends of the 20 busiest routes
+    of the supplier-hub graph, which grows with the tables, by deviations."""
+    from hubflow.operators.routes import k_best_by_deviation
+    e = _hub_router(spark, sf_dir)
     ok = e.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     pairs = ok.orderBy(F.desc("volume"), "src", "dst").limit(SUPPLIER_PAIRS).select(
         F.col("src").alias("source"), F.col("dst").alias("target"))
-    return k_best_routes(e, pairs, top_k=3)
+    return k_best_by_deviation(e, pairs, top_k=3)
 
 
 # ------------------------------------------------------ delay features (M1-M3)
