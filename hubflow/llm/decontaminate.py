@@ -16,13 +16,16 @@ then verified by exact containment on the shingles' words.
 Only built-in expressions run. Documents are split and exploded inside one
 generated stage that ends in the lookup of the sketch, so no shingle of a
 document without a sketch hash is ever shuffled while the sketch is small
-enough to broadcast (its rows are counted); beyond that the lookup is a
-shuffled join on the hash.
+enough to broadcast (its bytes are counted); beyond that the lookup is a
+shuffled join on the hash. The ids of documents found are broadcast under the
+same bound, so that texts stay where they are read.
 
 Defined results: null or empty texts and items match nothing; a one- to
-four-word item matches documents that consist of just those words; repeated
-rows give one row per distinct (document id, item id); an empty table gives
-an empty result; further columns are ignored.
+four-word item matches documents that consist of just those words; rows of
+one id are one document, their shingles taken together; rows without id match
+nothing and are never dropped; repeated rows give one row per distinct
+(document id, item id); an empty table gives an empty result; further columns
+are ignored. Texts are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ from hubflow.session import cut_lineage
 
 THRESHOLD = 0.75
 WORDS = 5
-#: rows of two longs that a broadcast may hold (32 MB)
-BROADCAST_ROWS = 2_000_000
+#: what a broadcast may hold, counted before it is made, and a row's own share
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 24
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -63,8 +67,12 @@ def _spelled(s: DataFrame) -> DataFrame:
     return s.withColumn("words", F.array_join(F.slice("w", F.col("i") + 1, F.lit(WORDS)), " "))
 
 
-def _lookup(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
-    return left.join(F.broadcast(right) if n_right <= BROADCAST_ROWS else right, "h")
+def bounded(table: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` marked for broadcast if its rows, with the bytes of its
+    ``texts`` columns, are within the bound."""
+    size = sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in texts), F.lit(ROW_BYTES))
+    total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,17 +98,16 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     item_shingles = cut_lineage(_spelled(shingles(items, item_col, text_col))
                                 .select("id", "h", "words").distinct())
     table = cut_lineage(item_sketches(item_shingles, threshold))
-    sketch = table.filter("sketch").select("h", "item")
-    n_sketch = sketch.count()
+    sketch = bounded(table.filter("sketch").select("h", "item"))
     # candidates: (document, item) pairs that share a sketch hash
-    found = _lookup(shingles(docs, doc_col, text_col).select("id", "h"), sketch, n_sketch)
+    found = shingles(docs, doc_col, text_col).select("id", "h").join(sketch, "h")
     pairs = cut_lineage(found.select("id", "item").distinct())
     sizes = table.select("item", "n").distinct()
     wanted = (item_shingles.withColumnRenamed("id", "item").join(sizes, "item"))
-    again = docs.select(doc_col, text_col).join(
-        pairs.select(F.col("id").alias(doc_col)).distinct(), doc_col, "left_semi")
-    hits = _lookup(_spelled(shingles(again, doc_col, text_col)).select("id", "h", "words"),
-                   wanted.withColumnRenamed("words", "item_words"), item_shingles.count())
+    ids = cut_lineage(pairs.select(F.col("id").alias(doc_col)).distinct())
+    again = docs.select(doc_col, text_col).join(bounded(ids, (doc_col,)), doc_col, "left_semi")
+    wanted = bounded(wanted.withColumnRenamed("words", "item_words"), ("item_words",))
+    hits = _spelled(shingles(again, doc_col, text_col)).select("id", "h", "words").join(wanted, "h")
     shared = (hits.filter(F.col("words") == F.col("item_words"))
               .select("id", "item", "n", "words").distinct()
               .groupBy("id", "item", "n").agg(F.count("*").alias("n_shared")))
@@ -112,5 +119,5 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = contaminated(docs, items, doc_col, **kw).select(doc_col).distinct()
-    return docs.join(bad, doc_col, "left_anti")
+    bad = cut_lineage(contaminated(docs, items, doc_col, **kw).select(doc_col).distinct())
+    return docs.join(bounded(bad, (doc_col,)), doc_col, "left_anti")

@@ -44,10 +44,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, n = [], 0
     for batch in batches:
-        a = np.concatenate([a, np.asarray(batch.column(0))])
-        b = np.concatenate([b, np.asarray(batch.column(1))])
-        a, b = forest(a, b)
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        n += batch.num_rows
+        if n > 2 * len(a) + 100_000:                 # the forest is rebuilt as the edges double
+            a, b = forest(*(np.concatenate(x) for x in zip((a, b), *held)))
+            held, n = [], 0
+    a, b = forest(*(np.concatenate(x) for x in zip((a, b), *held)))
     yield pa.record_batch([pa.array(a), pa.array(b)], names=["u", "v"])
 
 
@@ -73,14 +77,15 @@ def _mark(e: DataFrame) -> tuple:
 def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, component) of every node with an edge, except that a component's
     smallest id itself has no row. ``edges``: two long columns; loops and
-    repeated edges are allowed, nulls are ignored."""
+    repeated edges are allowed, nulls are ignored. The result is a written table."""
     ship(edges.sparkSession)
     a, b = edges.columns
     e = cut_lineage(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
                     .filter("u <> v"))
     parts = -(-e.count() // block) or 1
-    # one block of edges is finished by one task, and by one only
-    dealt = e.coalesce(1) if parts == 1 else e.repartition(parts, "u")
+    # one block of edges is finished by one task, and by one only; edges are dealt by
+    # both ends, so a node with very many edges is contracted in many tasks
+    dealt = e.coalesce(1) if parts == 1 else e.repartition(parts, "u", "v")
     written, e = e, cut_lineage(dealt.mapInArrow(_contract, "u bigint, v bigint"))
     drop_tables(written)
     before = None
@@ -91,4 +96,6 @@ def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out._hubflow_path = e._hubflow_path
+    return out

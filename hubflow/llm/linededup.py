@@ -8,8 +8,9 @@ Lines travel as 64-bit hashes of (host, line), never as text; counting
 combines in the map task, so a hot host or a line on a third of all pages
 moves one row per task. Pages move once, to meet the hashes they lose.
 
-Defined results: a null host is a host of its own (''); null or empty texts
-keep an empty text; surrounding white space and blank lines are not part of
+Defined results: texts are read whole, in time linear in their length; ties do
+not arise, as lines are counted; an empty table gives an empty result; a null
+host is a host of its own (''); null or empty texts keep an empty text; surrounding white space and blank lines are not part of
 a line and go, unless ``verbatim`` keeps them; repeated rows count as pages of their own and keep their own
 result; further columns pass through untouched, except that the
 result's own ``n_lines`` and ``n_dropped`` replace columns of those names.
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubflow.llm.exprs import let
 from hubflow.session import cut_lineage
 
 MAX_RATIO = 0.1
@@ -28,9 +30,36 @@ MIN_PAGES = 3
 _MARKUP = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>")
 
 
+#: characters that stand for a "<" which no longer opens one kind or any kind of markup
+_NOT_HERE, _NOWHERE = "\ufdd0", "\ufdd1"
+#: what opens a kind of markup, and its last end; tags come last
+_ENDS = ((r"<(?=!--)", "<!--", r"(?s)^.*-->"), (r"(?i)<(?=script\b)", "<", r"(?is)^.*</script\s*+>"),
+         (r"(?i)<(?=style\b)", "<", r"(?is)^.*</style\s*+>"))
+
+
 def html_lines(html: Column) -> Column:
-    """Visible text of a page, one line per run of text between tags."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), _MARKUP, "\n")
+    """Visible text of a page, one line per run of text between tags.
+
+    An opening that has no end behind it would be looked for up to the end of
+    the page, once per opening. Where the last end of its kind has passed, it
+    is hidden before the search and put back after it, so the work is linear."""
+    def hidden(x: Column, opening: str, end: str, sign: str) -> Column:
+        return let(F.regexp_extract(x, end, 0), lambda head: F.concat(
+            head, F.regexp_replace(F.substring(x, F.length(head) + 1, F.length(x)), opening, sign)))
+
+    def without(x: Column, opening: str, hint: str, end: str) -> Column:
+        return let(x, lambda v: F.when(F.contains(v, F.lit(hint)), hidden(v, opening, end, _NOT_HERE)).otherwise(v))
+
+    def searched(x: Column) -> Column:
+        for kind in _ENDS:
+            x = without(x, *kind)
+        x = let(x, lambda v: hidden(v, f"[<{_NOT_HERE}]", "(?s)^.*>", _NOWHERE))
+        found = F.regexp_replace(x, _MARKUP.replace("|<[^>]*>", f"|[<{_NOT_HERE}][^>]*>"), "\n")
+        return F.translate(found, _NOT_HERE + _NOWHERE, "<<")
+
+    return let(F.coalesce(html, F.lit("")), lambda t: F.when(
+        t.rlike(f"[{_NOT_HERE}{_NOWHERE}]"), F.regexp_replace(t, _MARKUP, "\n"))
+        .when(F.contains(t, F.lit("<")), searched(t)).otherwise(t))
 
 
 def url_host(url: Column) -> Column:

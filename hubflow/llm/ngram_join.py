@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from hubflow.llm import textnp
 from hubflow.llm.graph import components
 from hubflow.llm.ship import ship
-from hubflow.session import cut_lineage
+from hubflow.session import cut_lineage, drop_tables
 
 WORDS = 5
 NUM, DEN = 3, 4                 # similarity of at least NUM / DEN
@@ -209,13 +209,16 @@ def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) linked by exact comparison of their whole texts."""
+    """The pairs (a, b) linked by exact comparison of their whole texts, as a
+    written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = cut_lineage(texts_of(texts, ids))
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return (pairs.select("a", "b").join(one, "a").join(two, "b")
-            .select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"))
+    out = cut_lineage(pairs.select("a", "b").join(one, "a").join(two, "b")
+                      .select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"))
+    drop_tables(texts)
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], cols: list[str]) -> Iterator[pa.Table]:
@@ -292,8 +295,9 @@ def _cross_pairs(take: int):
 
 
 def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int) -> DataFrame:
-    """(a, b, more): nearest allowed pairs of one bucket and different components."""
-    rows = cut_lineage(multi.join(comp, "id", "left").join(feats.select("id", "n"), "id")
+    """(a, b, more): nearest allowed pairs of one bucket and different
+    components, as a written table."""
+    members = cut_lineage(multi.join(comp, "id", "left").join(feats.select("id", "n"), "id")
                        .select("key", "id", F.coalesce("component", "id").alias("comp"), "n"))
 
     def mixed(r: DataFrame) -> DataFrame:
@@ -307,7 +311,9 @@ def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int)
                 .withColumn("blocks", F.ceil(F.col("rows") * F.col("size") / BLOCK_BYTES).cast("int"))
                 .filter("work > 0").select("key", "work", "blocks"))
 
-    rows = cut_lineage(rows.join(mixed(rows), "key"))
+    rows = cut_lineage(members.join(mixed(members), "key"))
+    drop_tables(members)
+    written = rows
     small = rows.filter(F.col("work") <= SPLIT_ABOVE)
     hot = rows.filter(F.col("work") > SPLIT_ABOVE)
     # a large bucket splits by every second range that its members agree in; a
@@ -322,14 +328,17 @@ def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int)
                .select("key", "id", "comp", "blk", F.least("blk", "o").alias("i"),
                        F.greatest("blk", "o").alias("j")))
     full = blocked.join(feats.select("id", "n", "sketch"), "id")
-    return (full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_cross_pairs(take), "a bigint, b bigint, more boolean")
-            .groupBy("a", "b").agg(F.max("more").alias("more")))
+    out = cut_lineage(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                      .mapInArrow(_cross_pairs(take), "a bigint, b bigint, more boolean")
+                      .groupBy("a", "b").agg(F.max("more").alias("more")))
+    drop_tables(written)
+    return out
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (the smallest
-    id reachable by links). Ids are integers."""
+    id reachable by links), as a written table. Ids are integers. Tables of
+    earlier steps are dropped as soon as nothing reads them."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = cut_lineage(texts.mapInArrow(
@@ -349,22 +358,31 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct())
     small = feats.select("id", "n", "sketch").dropDuplicates(["id"])
     tried = cut_lineage(allowed_pairs(star, small).select("a", "b"))
-    links = cut_lineage(verify(tried, texts))
-    comp = cut_lineage(components(links))
+    drop_tables(weighed)
+    links = verify(tried, texts)
+    comp = components(links)
     # then: what is still apart inside a bucket, nearest sketches first
     take = TAKE
     while True:
-        near = cut_lineage(_open_pairs(multi.select("key", "id"), comp, small, take))
+        near = _open_pairs(multi.select("key", "id"), comp, small, take)
         new = cut_lineage(near.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            links = cut_lineage(links.unionByName(verify(new, texts)))
-            comp = cut_lineage(components(links))
+            found = verify(new, texts)
+            before = links, comp, tried
+            links = cut_lineage(links.unionByName(found))
+            comp = components(links)
             tried = cut_lineage(tried.unionByName(new))
-        if near.filter("more").isEmpty():
+            drop_tables(*before, found)
+        again = not near.filter("more").isEmpty()
+        drop_tables(near, new)
+        if not again:
             break
         take *= 8
+    drop_tables(multi, links, tried)
     of_class = (classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
                 .select("n", "s1", "s2", F.coalesce("component", "rep").alias("c")))
-    return (feats.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("c", "id").alias("component_id")))
+    out = cut_lineage(feats.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
+                      .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                              F.coalesce("c", "id").alias("component_id")))
+    drop_tables(feats, classes, comp)
+    return out

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm import textnp
+from hubflow.llm.sample import one_text, smallest
 from hubflow.llm.ship import ship
 from hubflow.session import cut_lineage
 
@@ -246,20 +247,22 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posterior = label_model(patterns)
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(sorted(posterior.items()), "votes string, posterior double"))
-    picked = (voted.filter("id is not null").withColumn("m", F.md5(F.col("id").cast("string")))
-              .orderBy("m", "id").limit(max_train).join(table, "votes")
-              .select("id", "posterior", F.conv(F.substring("m", 32, 1), 16, 10).cast("int").alias("part"))
-              .dropDuplicates(["id"]))
+    # one row per id: of rows that repeat it, the one that `one_text` takes
+    ids = voted.filter("id is not null").select("id").distinct().withColumn("m", F.md5(F.col("id").cast("string")))
+    picked = smallest(ids, "m", max_train, "id").select(
+        "id", F.conv(F.substring("m", 32, 1), 16, 10).cast("int").alias("part"))
+    taken = cut_lineage(rows.join(F.broadcast(picked), "id")        # max_train rows at most
+                        .groupBy("id", "part").agg(one_text("text").alias("text")))
 
     def featured(batches):
         for b in textnp.pieces(batches, "text"):
-            f = Stats(b.column("text")).features()
-            yield pa.record_batch([b.column("id"), b.column("part"), b.column("posterior"),
-                                   pa.array(f, pa.list_(pa.int64()))],
-                                  names=["id", "part", "posterior", "features"])
+            s = Stats(b.column("text"))
+            yield pa.record_batch([b.column("id"), b.column("part"), pa.array(_pattern(s.votes())),
+                                   pa.array(s.features(), pa.list_(pa.int64()))],
+                                  names=["id", "part", "votes", "features"])
 
-    sample = cut_lineage(rows.join(F.broadcast(picked), "id")       # max_train rows at most
-                         .mapInArrow(featured, f"id {kind}, part int, posterior double, features array<bigint>"))
+    sample = cut_lineage(taken.mapInArrow(featured, f"id {kind}, part int, votes string, features array<bigint>")
+                         .join(table, "votes").select("id", "part", "posterior", "features"))
     shared = spark.sparkContext.broadcast(train(sample))
 
     def scored(batches):

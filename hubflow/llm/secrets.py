@@ -7,8 +7,11 @@ the current rule version, appends them, and joins findings back to all
 paths, so a copy, a rename or an unchanged version costs no scan.
 
 Defined results: null and empty texts are one blob without findings; equal
-rows share a blob and each get the result; an empty table gives an empty
-result; further columns are ignored.
+rows share a blob and each get the result; spans of equal start go by kind in
+the order of ``RULES``; an empty table gives an empty result; further columns
+are ignored, and path columns may have any name (a path column named like a
+result column stands beside it). Texts are read whole, in time linear in
+their length.
 """
 
 from __future__ import annotations
@@ -42,6 +45,27 @@ _SPAN = "array<struct<start:int,k:int,end:int,kind:string>>"
 LEDGER_SCHEMA = f"blob string, spans {_SPAN}, rule_version string"
 
 
+_CHAIN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++")
+
+
+def jwt_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the ``jwt`` pattern, in linear time: its three parts lie in one
+    chain of dotted runs, and the first reaches to the end of its run."""
+    for chain in _CHAIN.finditer(text):
+        at, parts = chain.start(), chain.group().split(".")
+        starts = [at]
+        for p in parts[:-1]:
+            starts.append(starts[-1] + len(p) + 1)
+        i = 0
+        while i + 2 < len(parts):
+            o = parts[i].find("eyJ")
+            if o >= 0 and len(parts[i]) - o >= 11 and len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8:
+                yield starts[i] + o, starts[i + 2] + len(parts[i + 2])
+                i += 3
+            else:
+                i += 1
+
+
 def scan_text(text: str, compiled) -> list[dict]:
     """All spans of one text by start, then kind."""
     low = text.lower()
@@ -49,6 +73,9 @@ def scan_text(text: str, compiled) -> list[dict]:
     for k, (kind, rx, group, least, must) in enumerate(compiled):
         if must and not any(m in low for m in must):
             continue
+        if kind == "jwt":
+            found += [(lo, k, hi, kind) for lo, hi in jwt_spans(text)]
+            continue
         for m in rx.finditer(text):
             if m.end(group) - m.start(group) >= least:
                 found.append((m.start(), k, m.end(), kind))
@@ -85,7 +112,9 @@ def scan_history(history: DataFrame, ledger_path: str, path_cols: list[str],
     spark = history.sparkSession
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = history.select(*path_cols, F.sha2(text, 256).alias("blob"), text.alias("text"))
+    paths = [f"path{k}_" for k in range(len(path_cols))]      # path columns may have any name
+    versions = history.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(path_cols, paths)],
+                              F.sha2(text, 256).alias("blob"), text.alias("text"))
     blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     known = open_ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version)
     unseen = blobs.join(known.select("blob"), "blob", "left_anti")
@@ -95,8 +124,9 @@ def scan_history(history: DataFrame, ledger_path: str, path_cols: list[str],
     seen = open_ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version)
     # a run that was retried may have written a pair twice: findings of a pair are equal
     hits = (seen.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans")))
-    return (versions.select(*path_cols, "blob").join(hits, "blob", "left")
-            .select(*path_cols, "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")))
+    return (versions.select(*paths, "blob").join(hits, "blob", "left")
+            .select(*[F.col(n).alias(c) for c, n in zip(path_cols, paths)], "blob",
+                    F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")))
 
 
 def new_ledger_path(spark: SparkSession) -> str:

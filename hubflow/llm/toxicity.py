@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Fit (on labelled rows only):
-1. At most ``max_per_class`` rows of each label, the smallest by MD5 of the
-   id, make the training sample, so its size is bounded and known.
+1. At most ``max_per_class`` ids of each label, the smallest by MD5, with one
+   text each, make the training sample, so its size is bounded and known.
 2. Every word, and every word beginning of 4 to 9 bytes, gets its log-odds
    between toxic and clean documents under Dirichlet priors (a symmetric part
    plus one that follows its overall share), with its z value; those beyond
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubflow.llm import textnp
+from hubflow.llm.sample import one_text, smallest
 from hubflow.llm.ship import ship
 from hubflow.session import cut_lineage
 
@@ -164,17 +165,18 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                     label_col: str, max_per_class: int) -> DataFrame:
-    """(id, fold, toxic, text) of at most ``max_per_class`` labelled rows a class."""
+    """(id, fold, toxic, text) of at most ``max_per_class`` labelled ids a class,
+    one row per id."""
     ranked = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
               .groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
               .withColumn("_m", F.md5(F.col(id_col).cast("string"))))
-    pick = [ranked.filter(F.col("toxic") == y).orderBy("_m", id_col).limit(max_per_class)
-            for y in (0, 1)]
+    pick = [smallest(ranked.filter(F.col("toxic") == y), "_m", max_per_class, id_col) for y in (0, 1)]
     sample = (pick[0].unionByName(pick[1])
               .select(F.col(id_col).alias("id"), "toxic",
                       (F.conv(F.substring("_m", 32, 1), 16, 10).cast("int") % FOLDS).alias("fold")))
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(sample), "id"))      # 2 * max_per_class rows at most
+            .join(F.broadcast(sample), "id")       # 2 * max_per_class rows at most
+            .groupBy("id", "toxic", "fold").agg(one_text("text").alias("text")))
 
 
 def _lexicon(counts: DataFrame, groups: list[int], docs_by_group: dict[int, int],
@@ -353,5 +355,5 @@ def filter_clean(docs: DataFrame, model: Model, text_col: str = "text",
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows kept from training: CRC-32 of the id's text leaves 1 modulo 3."""
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    """Rows kept from training: CRC-32 of the id's text leaves 1 modulo 3 (never without id)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
