@@ -232,17 +232,27 @@ def q_scenario_roi(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- patterns
-@register("late_patterns", ops="A11 A12 M8", sql=f"""WITH {S.journeys_cte()},
+LATE_SQL = f"""WITH {S.journeys_cte()},
 seqs AS (SELECT leg_id, string_agg(hub_id, ' -> ' ORDER BY planned_mins, seq) AS pattern
          FROM journeys WHERE delay_mins > 30 GROUP BY leg_id)
 SELECT pattern, count(*) AS frequency FROM seqs GROUP BY pattern
-ORDER BY frequency DESC, pattern LIMIT 10""")
+ORDER BY frequency DESC, pattern LIMIT 10"""
+
+
+@register("late_patterns", ops="A11 A12 M8", sql=LATE_SQL)
 def q_late_patterns(spark, sf_dir):
     """Top 10 hub sequences of late milestones (delay > 30 min)."""
     from hubflow.operators.patterns import late_patterns
     return late_patterns(journeys_long(spark, sf_dir, "supplier"), 30, 10)
 
 
+@register("late_patterns_digest", ops="A11 A12 M8", sql=LATE_SQL)
+def q_late_patterns_digest(spark, sf_dir):
+    """The same, counted by sequence digest, for legs of any length."""
+    from hubflow.operators.patterns import late_patterns_by_digest
+    return late_patterns_by_digest(journeys_long(spark, sf_dir, "supplier"), 30, 10)
+
+
 # --------------------------------------------------------------------- EDA
 EDA_COLS = ["planned_mins", "effective_mins", "delay_mins"]
 
@@ -635,6 +645,7 @@ def q_cluster_summary(spark, sf_dir):
     return cluster_summary(_clustered(spark, sf_dir))
 
 
+# fixed values: the texts below are those of CLUSTER_TYPES in operators/cluster.py
 @register("cluster_interpretation", doubles=SUMMARY_DOUBLES + ("flow_share_pct",),
           ops="C5 A16", sql=f"""{CLUSTERED_SQL},
 net AS (SELECT sum(total_outgoing_flow) AS tf, avg(total_outgoing_flow) AS af,
@@ -866,18 +877,39 @@ SUPPLIER_PAIRS = 20
 
 
 def _hub_routes_sql(pairs: int) -> str:
-    """Partial routes are listed only while cost and shortest rest stay within
-    the third-best route of at most two edges."""
+    """Partial routes are listed only while cost and shortest rest stay within a
+    bound: the third-least cost of leaving the source by some edge and going on
+    by a shortest way that cannot come back to the source."""
     square = ",\n".join(f"""m{2 * k} AS (SELECT a.s, b.v, min(a.d + b.d) AS d FROM m{k} a JOIN m{k} b ON a.v = b.s
     GROUP BY a.s, b.v)""" for k in (1, 2, 4, 8))
-    plain = _routes_sql(HUB_EDGES_SQL, pairs)
-    plain = plain.replace("rp(source,", f"""m1 AS (SELECT s, v, min(d) AS d FROM
+    return f"""WITH RECURSIVE {HUB_EDGES_SQL},
+e AS MATERIALIZED (SELECT src, dst, weight, avg_delay FROM re WHERE dst IS NOT NULL AND src <> dst),
+pairs AS MATERIALIZED (SELECT src AS source, dst AS target FROM re WHERE dst IS NOT NULL AND src <> dst
+          ORDER BY volume DESC, src, dst LIMIT {pairs}),
+m1 AS (SELECT s, v, min(d) AS d FROM
     (SELECT src AS s, dst AS v, weight AS d FROM e UNION ALL SELECT node, node, 0 FROM nodes) x GROUP BY s, v),
 {square},
-rp(source,""", 1)
-    plain = plain.replace("  FROM rp JOIN e ON e.src = rp.last JOIN ub", "  FROM rp JOIN e ON e.src = rp.last "
-                          "JOIN m16 ON m16.s = e.dst AND m16.v = rp.target JOIN ub", 1)
-    return plain.replace("AND rp.cost + e.weight <= ub.ub + 1e-9", "AND rp.cost + e.weight + m16.d <= ub.ub + 1e-9", 1)
+h AS MATERIALIZED (SELECT s AS node, v AS target, d FROM m16 WHERE v IN (SELECT target FROM pairs)),
+first AS (SELECT p.source, p.target, e.weight + h.d AS cost FROM pairs p JOIN e ON e.src = p.source
+          JOIN h ON h.node = e.dst AND h.target = p.target JOIN h hs ON hs.node = p.source AND hs.target = p.target
+          LEFT JOIN m16 back ON back.s = e.dst AND back.v = p.source
+          WHERE back.d IS NULL OR h.d < back.d + hs.d - 1e-6),
+ub AS MATERIALIZED (SELECT source, target, max(cost) AS ub FROM
+         (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY cost) AS rn FROM first) x
+       WHERE rn <= 3 GROUP BY source, target HAVING count(*) = 3),
+rp(source, target, last, path, cost, delay) AS (
+  SELECT source, target, source, [source], CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM pairs
+  UNION ALL SELECT rp.source, rp.target, e.dst, list_append(rp.path, e.dst),
+         rp.cost + e.weight, rp.delay + e.avg_delay
+  FROM rp JOIN e ON e.src = rp.last JOIN h ON h.node = e.dst AND h.target = rp.target
+  JOIN ub ON ub.source = rp.source AND ub.target = rp.target
+  WHERE rp.last <> rp.target AND NOT list_contains(rp.path, e.dst)
+    AND rp.cost + e.weight + h.d <= ub.ub + 1e-6),
+r AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source, target
+        ORDER BY cost, path) AS INTEGER) AS rank, array_to_string(path, ' -> ') AS path,
+        CAST(len(path) - 1 AS INTEGER) AS hops, cost AS total_weight, delay AS total_avg_delay
+      FROM rp WHERE last = target)
+SELECT * FROM r WHERE rank <= 3"""
 
 
 @register("k_best_routes_hubs", doubles=("total_weight", "total_avg_delay"), ops="G4",
@@ -1117,6 +1149,31 @@ def q_kmeans_best_k(spark, sf_dir):
     return kmeans_best_k(_vectors(spark, sf_dir), max_k=8, n_init=10)
 
 
+@register("kmeans_choose_k", ops="C1")
+def q_kmeans_choose_k(spark, sf_dir):
+    """Inertia and Euclidean silhouette for k = 2..10, fitted on one coreset and
+    scored on all vectors; best k flagged."""
+    from hubflow.operators.coreset import choose_k
+    return choose_k(_vectors(spark, sf_dir)).scores
+
+
+def _flow(spark, sf_dir):
+    from hubflow.operators.flow import hub_flow
+    return hub_flow(journeys_long(spark, sf_dir, "supplier"))
+
+
+@register("flow_clustered", ops="C2 J5 (whole flow)")
+def q_flow_clustered(spark, sf_dir):
+    """Hub KPIs with the cluster that the whole flow gives each hub."""
+    return _flow(spark, sf_dir)["clustered"]
+
+
+@register("flow_interpretation", ops="C5 A16 (whole flow)")
+def q_flow_interpretation(spark, sf_dir):
+    """Business type and recommendation of the whole flow's clusters."""
+    return _flow(spark, sf_dir)["interpretation"]
+
+
 @register("kmeans_clusters", ops="C2")
 def q_kmeans_clusters(spark, sf_dir):
     """KMeans (k=10, best of 20 starts) cluster of every vector."""
