@@ -192,11 +192,11 @@ def test_contamination_equals_brute_force(spark):
     assert got == want and len(want) > 10
     assert decontaminate.decontaminate(d, b).count() == len(docs) - len({i for i, _ in want})
     # the lookup without broadcast gives the same
-    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
+    old, decontaminate.BROADCAST_BYTES = decontaminate.BROADCAST_BYTES, 0
     try:
         assert decontaminate.contaminated(d, b).count() == len(want)
     finally:
-        decontaminate.BROADCAST_ROWS = old
+        decontaminate.BROADCAST_BYTES = old
 
 
 def test_contamination_odd_inputs(spark, odd_docs, no_docs):
