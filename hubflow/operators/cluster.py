@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hubflow.operators.neighbours import best_rows
+
 # --- fixed values: cluster business types and recommendations ---
 CLUSTER_TYPES = [
     ("CRITICAL BOTTLENECK - High volume with delays",
@@ -63,7 +65,7 @@ def cluster_stats(points: DataFrame, label: str = "label", vec: str = "embedding
     return st.withColumn("centroid", F.transform("vsum", lambda v: v / F.col("n")))
 
 
-MAX_CLUSTERS = 10_000  # bound on k x d state shipped to every task
+MAX_CLUSTERS = 10_000  # clusters whose k x d state is shipped to a task at once
 
 
 def checked_stats(points: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -89,23 +91,43 @@ def silhouette_samples(points: DataFrame, label: str = "label", vec: str = "embe
     Mean squared distance from x to cluster C is
     ``(n_C |x|^2 - 2 x.S_C + Q_C) / n_C`` (own cluster: divided by n_C - 1);
     ``s = (b - a) / max(a, b)``, 0 for a singleton cluster."""
-    stats = checked_stats(points, label, vec)
-    arr = _stats_array(stats)
+    from hubflow.session import cut_lineage
+    stats = cut_lineage(cluster_stats(points, label, vec))
+    blocks = max(1, -(-stats.count() // MAX_CLUSTERS))
     p = points.select(key, F.col(label).alias("label"), as_vector(vec).alias("x")) \
         .filter(F.col("label").isNotNull())
-    x2 = _sqnorm(F.col("x"))
-    scored = p.withColumn("x2", x2).withColumn("cl", arr)
+    if blocks == 1:
+        found = _against(p, stats)
+    else:
+        # more clusters than a task should hold: every block of them scores all
+        # points, and the parts are put together per row
+        p = cut_lineage(p.withColumn("_row", F.monotonically_increasing_id()))
+        dealt = cut_lineage(stats.withColumn("_blk", F.pmod(F.xxhash64("label"), F.lit(blocks))))
+        found = None
+        for k in range(blocks):
+            part = _against(p, dealt.filter(F.col("_blk") == k))
+            found = part if found is None else found.unionByName(part)
+        found = found.groupBy("_row", key, "label").agg(
+            F.max("own_n").alias("own_n"), F.max("a").alias("a"), F.min("b").alias("b"))
+    s = F.when(F.col("own_n") <= 1, F.lit(0.0)).when(F.col("b").isNull(), F.lit(0.0)) \
+        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return found.select(key, "label", F.coalesce(s, F.lit(0.0)).alias("silhouette"))
+
+
+def _against(p: DataFrame, stats: DataFrame) -> DataFrame:
+    """Every point's mean squared distance to its own cluster (``a``, with the
+    cluster's size) and the least to another (``b``), of the clusters in ``stats``."""
+    arr = _stats_array(stats)
+    scored = p.withColumn("x2", _sqnorm(F.col("x"))).withColumn("cl", arr)
     d = F.transform("cl", lambda c: F.struct(
         c["label"].alias("label"), c["n"].alias("n"),
         (c["n"] * F.col("x2") - 2 * _dot(F.col("x"), c["vsum"]) + c["sqsum"]).alias("tot")))
     scored = scored.withColumn("d", d)
-    own = F.filter("d", lambda s: s["label"] == F.col("label"))[0]
+    own = F.get(F.filter("d", lambda s: s["label"] == F.col("label")), F.lit(0))
     others = F.filter("d", lambda s: s["label"] != F.col("label"))
-    a = F.when(own["n"] > 1, own["tot"] / (own["n"] - 1))
-    b = F.array_min(F.transform(others, lambda s: s["tot"] / s["n"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).when(b.isNull(), F.lit(0.0)) \
-        .otherwise((b - a) / F.greatest(a, b))
-    return scored.select(key, "label", F.coalesce(s, F.lit(0.0)).alias("silhouette"))
+    return scored.select(*[c for c in p.columns if c != "x"], own["n"].alias("own_n"),
+                         F.when(own["n"] > 1, own["tot"] / (own["n"] - 1)).alias("a"),
+                         F.array_min(F.transform(others, lambda s: s["tot"] / s["n"])).alias("b"))
 
 
 def silhouette_score(points: DataFrame, **kw) -> DataFrame:
@@ -207,25 +229,27 @@ def _similar_to(points: DataFrame, tv: list[tuple], top_k: int, vec: str, key: s
     tmat = tmat / np.where(tn == 0, 1, tn)[:, None]
     cand = points.select(F.col(key).alias("cid"), as_vector(vec).alias("cx"))
 
+    tarr = np.array(tids)
+
     def local_topk(batches):
         parts = []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            cm = np.stack([np.asarray(v, dtype=float) for v in pdf["cx"]])
-            cn = np.linalg.norm(cm, axis=1)
-            sims = (cm / np.where(cn == 0, 1, cn)[:, None]) @ tmat.T
-            cids = np.array(pdf["cid"].tolist())
-            for j, tid in enumerate(tids):
-                idx = np.nonzero(cids != tid)[0]
-                if len(idx) == 0:
-                    continue
-                s = sims[idx, j]
-                order = np.lexsort((cids[idx], -s))[:top_k]
-                parts.append(pd.DataFrame({"target_id": tid, "similar_id": cids[idx][order],
-                                           "similarity": s[order]}))
-            if len(parts) > 4 * len(tids):
-                parts = [_trim(pd.concat(parts), top_k)]
+            step = max(1, STRIPE // len(tids))
+            for lo in range(0, len(pdf), step):
+                some = pdf.iloc[lo:lo + step]
+                cm = np.stack([np.asarray(v, dtype=float) for v in some["cx"]])
+                cn = np.linalg.norm(cm, axis=1)
+                sims = tmat @ (cm / np.where(cn == 0, 1, cn)[:, None]).T
+                cids = np.array(some["cid"].tolist())
+                names, order = np.unique(cids, return_inverse=True)
+                # a target is no neighbour of its own: one place per target at most
+                at = np.minimum(np.searchsorted(names, tarr), len(names) - 1)
+                sims[(order[None, :] == at[:, None]) & (names[at] == tarr)[:, None]] = -np.inf
+                row, col = best_rows(sims, order, top_k)
+                parts.append(pd.DataFrame({"target_id": tarr[row], "similar_id": cids[col],
+                                           "similarity": sims[row, col]}))
+                if sum(map(len, parts)) > 4 * top_k * len(tids):
+                    parts = [_trim(pd.concat(parts), top_k)]
         if parts:
             yield _trim(pd.concat(parts), top_k)
 
@@ -234,6 +258,9 @@ def _similar_to(points: DataFrame, tv: list[tuple], top_k: int, vec: str, key: s
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
+STRIPE = 1 << 21    # similarities held at once
+
+
 def _trim(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["target_id", "similarity", "similar_id"],
                           ascending=[True, False, True])

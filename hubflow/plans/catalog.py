@@ -1224,6 +1224,17 @@ def q_kde_curve(spark, sf_dir):
         "column_name", "grid_index", "x", "kernel_mean", "bandwidth")
 
 
+@register("kde_binned_inside", ops="E4", sql="""SELECT column_name, CAST(i AS INTEGER) AS grid_index, true AS inside
+FROM (VALUES ('planned_mins'), ('effective_mins'), ('delay_mins')) c(column_name), range(64) t(i)""")
+def q_kde_binned_inside(spark, sf_dir):
+    """Whether the binned kernel densities are within their stated error of the exact ones."""
+    from hubflow.operators.eda import kde_curves, kde_curves_binned
+    df, cols = _eda_input(spark, sf_dir)
+    exact = kde_curves(df, cols).select("column_name", "grid_index", F.col("kernel_mean").alias("exact"))
+    return kde_curves_binned(df, cols, error=1e-5).join(exact, ["column_name", "grid_index"]).select(
+        "column_name", "grid_index", (F.abs(F.col("kernel_mean") - F.col("exact")) <= 1.01e-5).alias("inside"))
+
+
 @register("stage_delay_histogram", ops="X4", doubles=("bin_start", "bin_end"), sql=f"""
 WITH {S.journeys_cte()},
 lv AS (SELECT stage_group, CAST(delay_mins AS DOUBLE) AS value FROM journeys
