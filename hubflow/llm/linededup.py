@@ -82,14 +82,15 @@ def line_array(text: Column) -> Column:
 
 def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
                      text_col: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, groups: DataFrame | None = None,
-                     keep_whole: bool = False, verbatim: bool = False) -> DataFrame:
+                     min_pages: int = MIN_PAGES, page: Column | None = None,
+                     keep_whole: bool = False, keep_from: float = 1.0, verbatim: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, plus ``n_lines`` and ``n_dropped``.
 
     ``id_col`` must tell documents apart; rows that repeat an id lose the
-    same lines. ``groups`` (id, group), one row per id, makes the documents of
-    a group one page of their host, for a line's count and the host's alike.
-    With ``keep_whole`` a document that would lose every line keeps them all.
+    same lines. Rows of a host with equal ``page`` (their text's digest, say)
+    count as one page, for a line's count and the host's alike. With
+    ``keep_whole`` a document that would lose the share ``keep_from`` of its
+    lines' characters, or more, keeps them all.
     With ``verbatim`` white space and blank lines stay: lines are compared
     trimmed, but a text goes on as it is except for the lines it loses.
     """
@@ -100,15 +101,14 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     host = F.coalesce(host, F.lit(""))
     # the pages are parsed once for counting: their line hashes are written
     hashed = cut_lineage(docs.select(
-        F.col(id_col).alias("id"), host.alias("host"),
+        F.col(id_col).alias("id"), host.alias("host"), (F.lit(None) if page is None else page).alias("g"),
         F.array_distinct(F.transform(line_array(text), lambda x: F.xxhash64(host, x))).alias("hs")))
     lines = hashed.select("id", "host", F.explode("hs").alias("h"))
-    if groups is None:
+    if page is None:
         counted, hosts = lines, hashed
     else:
-        grouped = hashed.join(groups.toDF("id", "g"), "id")
-        counted = grouped.select("host", "g", F.explode("hs").alias("h")).distinct()
-        hosts = grouped.select("host", "g").distinct()
+        once = hashed.groupBy("host", "g").agg(F.first("hs").alias("hs"))
+        counted, hosts = once.select("host", F.explode("hs").alias("h")), once
     pages = hosts.groupBy("host").agg(F.count("*").alias("pages"))
     common = (counted.groupBy("host", "h").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages)
@@ -121,7 +121,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
               .withColumn(mark + "kept", F.when(my("lost").isNull(), my("lines")).otherwise(
                   F.filter(my("lines"), lambda x: ~F.array_contains(my("lost"), F.xxhash64(host, x))))))
     if keep_whole:
-        joined = joined.withColumn(mark + "kept", F.when(F.size(my("kept")) == 0, my("lines")).otherwise(my("kept")))
+        size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+        whole = size(my("kept")) <= (1 - keep_from) * size(my("lines"))
+        joined = joined.withColumn(mark + "kept", F.when(whole, my("lines")).otherwise(my("kept")))
     mine = {"n_lines": F.size(my("lines")).cast("long"),
             "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *mine)]

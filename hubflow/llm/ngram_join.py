@@ -66,6 +66,7 @@ MIN_BITS = 512
 SPLIT_ABOVE = 1 << 26           # comparisons from which a second range splits a bucket
 BLOCK_BYTES = 2 << 20           # sketches of a block in sketch-to-sketch comparison
 DIFFER_BYTES = 4 << 20          # bytes of sketches compared at once
+KEY_BYTES = 64 << 20            # bits by which a bucket knows its members' other buckets
 STRIPE = 1 << 16                # comparisons made at once
 TAKE = 256                      # pairs per member and component in the first round
 BITMAP = 1 << 25                # bits of the candidate bitmap (4 MB)
@@ -249,10 +250,41 @@ def _differences(bits: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def _smaller_keys(t: pa.Table, key: int) -> np.ndarray | None:
+    """Per member of a bucket, the set of its buckets of smaller key that other
+    members are in too, as rows of bits (64 a word). None where these would fill
+    more than KEY_BYTES: then pairs are merely returned again."""
+    lists = t["keys"].combine_chunks()
+    flat = np.asarray(lists.flatten())
+    who = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    low = flat < key
+    names, place, n = np.unique(flat[low], return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    use = shared[place]
+    words = -(-max(1, int(shared.sum())) // 64)
+    if 8 * words * len(lists) > KEY_BYTES:
+        return None
+    bits = np.zeros((len(lists), words), U)
+    c = column[place[use]]
+    np.bitwise_or.at(bits, (who[low][use], c >> 6), U(1) << (c & 63).astype(U))
+    return bits
+
+
+def _met_before(bits: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Pairs that also meet in a bucket of smaller key, and are compared there."""
+    out = np.zeros(len(p), bool)
+    step = max(1, DIFFER_BYTES // (8 * bits.shape[1]))
+    for s in range(0, len(p), step):
+        out[s:s + step] = (bits[p[s:s + step]] & bits[q[s:s + step]]).any(axis=1)
+    return out
+
+
 def _cross_pairs(take: int):
     """Per member and other component, the ``take`` nearest allowed pairs
-    inside each (bucket, block pair); ``more`` marks those cut short. A group
-    is at most two blocks of rows."""
+    inside each (bucket, block pair); ``more`` marks those cut short. A pair
+    belongs to the smallest bucket that both its ends are in, and is left out of
+    others. A group is at most two blocks of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "i", "j"]):
             i, j = t["i"][0].as_py(), t["j"][0].as_py()
@@ -260,6 +292,7 @@ def _cross_pairs(take: int):
             n, comp, sk = t["n"].to_numpy(), t["comp"].to_numpy(), t["sketch"].to_pylist()
             size = min(len(x) for x in sk)
             bits = np.stack([fold_sketch(np.frombuffer(x, np.uint8), size) for x in sk]).view(U)
+            met = _smaller_keys(t, t["key"][0].as_py())
             # the commonest component is only ever the other side of a pair
             names, place, sizes = np.unique(comp, return_inverse=True, return_counts=True)
             most = place == sizes.argmax()
@@ -278,6 +311,8 @@ def _cross_pairs(take: int):
                 p = rows[lo + p]
                 ham = _differences(bits, p, q)
                 ok = may_link(n[p], n[q], ham)
+                if met is not None:
+                    ok[ok] = ~_met_before(met, p[ok], q[ok])
                 p, q, ham = p[ok], q[ok], ham[ok]
                 by = np.lexsort((ids[q], ham, place[q], p))
                 p, q = p[by], q[by]
@@ -323,15 +358,18 @@ def _open_pairs(multi: DataFrame, comp: DataFrame, feats: DataFrame, take: int)
               .select(F.xxhash64("key", "key2").alias("key"), "id", "comp", "n"))
     rows = small.select("key", "id", "comp", "blocks").unionByName(
         second.join(mixed(second), "key").select("key", "id", "comp", "blocks"))
+    # every bucket that an id is compared in: a pair is taken from the smallest shared one
+    rows = cut_lineage(rows)
+    every = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     blocked = (rows.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("key", "id", "comp", "blk", F.least("blk", "o").alias("i"),
                        F.greatest("blk", "o").alias("j")))
-    full = blocked.join(feats.select("id", "n", "sketch"), "id")
+    full = blocked.join(feats.select("id", "n", "sketch").join(every, "id"), "id")
     out = cut_lineage(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                       .mapInArrow(_cross_pairs(take), "a bigint, b bigint, more boolean")
                       .groupBy("a", "b").agg(F.max("more").alias("more")))
-    drop_tables(written)
+    drop_tables(written, rows)
     return out
 
 
