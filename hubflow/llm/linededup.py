@@ -28,7 +28,8 @@ MAX_RATIO = 0.1
 MIN_PAGES = 3
 
 _MARKUP = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>")
-
+#: the same with its common first character in front, which a search passes text by faster
+_CLOSED = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|[^>]*>)"
 
 #: characters that stand for a "<" which no longer opens one kind or any kind of markup
 _NOT_HERE, _NOWHERE = "\ufdd0", "\ufdd1"
@@ -42,7 +43,8 @@ def html_lines(html: Column) -> Column:
 
     An opening that has no end behind it would be looked for up to the end of
     the page, once per opening. Where the last end of its kind has passed, it
-    is hidden before the search and put back after it, so the work is linear."""
+    is hidden before the search and put back after it, so the work is linear.
+    Pages whose openings all have an end, nearly all, are searched as they are."""
     def hidden(x: Column, opening: str, end: str, sign: str) -> Column:
         return let(F.regexp_extract(x, end, 0), lambda head: F.concat(
             head, F.regexp_replace(F.substring(x, F.length(head) + 1, F.length(x)), opening, sign)))
@@ -50,6 +52,15 @@ def html_lines(html: Column) -> Column:
     def without(x: Column, opening: str, hint: str, end: str) -> Column:
         return let(x, lambda v: F.when(F.contains(v, F.lit(hint)), hidden(v, opening, end, _NOT_HERE)).otherwise(v))
 
+    def closed(x: Column, lower: Column) -> Column:
+        """Whether the last opening of every kind, and so each of them, has an end behind it."""
+        def ended(v: Column, opening: str, end: str) -> Column:
+            last = F.substring_index(v, opening, -1)
+            return F.contains(last, F.lit(end)) if end.endswith(">") else last.rlike(end + r"\s*+>")
+        kinds = [~F.contains(v, F.lit(o)) | ended(v, o, e) for v, o, e in (
+            (x, "<!--", "-->"), (lower, "<script", "</script"), (lower, "<style", "</style"))]
+        return ended(x, "<", ">") & kinds[0] & kinds[1] & kinds[2]
+
     def searched(x: Column) -> Column:
         for kind in _ENDS:
             x = without(x, *kind)
@@ -58,8 +69,10 @@ def html_lines(html: Column) -> Column:
         return F.translate(found, _NOT_HERE + _NOWHERE, "<<")
 
     return let(F.coalesce(html, F.lit("")), lambda t: F.when(
-        t.rlike(f"[{_NOT_HERE}{_NOWHERE}]"), F.regexp_replace(t, _MARKUP, "\n"))
-        .when(F.contains(t, F.lit("<")), searched(t)).otherwise(t))
+        ~F.contains(t, F.lit("<")), t)
+        .when(let(F.lower(t), lambda low: closed(t, low)), F.regexp_replace(t, _CLOSED, "\n"))
+        .when(t.rlike(f"[{_NOT_HERE}{_NOWHERE}]"), F.regexp_replace(t, _MARKUP, "\n"))
+        .otherwise(searched(t)))
 
 
 def url_host(url: Column) -> Column:
@@ -87,28 +100,40 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     """``docs`` with ``text_col`` rewritten, plus ``n_lines`` and ``n_dropped``.
 
     ``id_col`` must tell documents apart; rows that repeat an id lose the
-    same lines. Rows of a host with equal ``page`` (their text's digest, say)
-    count as one page, for a line's count and the host's alike. With
+    same lines. Rows of a host with equal ``page`` (their group of near copies,
+    say) count as one page with the lines of all, for a line's count and the
+    host's alike. With
     ``keep_whole`` a document that would lose the share ``keep_from`` of its
     lines' characters, or more, keeps them all.
     With ``verbatim`` white space and blank lines stay: lines are compared
     trimmed, but a text goes on as it is except for the lines it loses.
     """
+    by_page = page is not None
     mark = "b_"                       # own names start with what no input column does
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark = "_" + mark
     my = lambda name: F.col(mark + name)
+    columns = docs.columns
     host = F.coalesce(host, F.lit(""))
-    # the pages are parsed once for counting: their line hashes are written
+    page = F.lit(None).cast("string") if page is None else page
+    if not verbatim:
+        # pages are parsed once: their lines are written, beside the columns that stay
+        rest = [F.col(f"`{c}`") for c in columns if c not in (text_col, "n_lines", "n_dropped") or c == id_col]
+        docs = cut_lineage(docs.select(*rest, host.alias(mark + "host"), page.alias(mark + "page"),
+                                       line_array(text).alias(mark + "lines")))
+        host, page, all_lines = my("host"), my("page"), my("lines")
+    else:
+        all_lines = line_array(text)
+    # the line hashes are written too, for counting and for the lost lines
     hashed = cut_lineage(docs.select(
-        F.col(id_col).alias("id"), host.alias("host"), (F.lit(None) if page is None else page).alias("g"),
-        F.array_distinct(F.transform(line_array(text), lambda x: F.xxhash64(host, x))).alias("hs")))
+        F.col(id_col).alias("id"), host.alias("host"), page.alias("g"),
+        F.array_distinct(F.transform(all_lines, lambda x: F.xxhash64(host, x))).alias("hs")))
     lines = hashed.select("id", "host", F.explode("hs").alias("h"))
-    if page is None:
+    if not by_page:
         counted, hosts = lines, hashed
     else:
-        once = hashed.groupBy("host", "g").agg(F.first("hs").alias("hs"))
-        counted, hosts = once.select("host", F.explode("hs").alias("h")), once
+        counted = hashed.select("host", "g", F.explode("hs").alias("h")).distinct()
+        hosts = hashed.select("host", "g").distinct()
     pages = hosts.groupBy("host").agg(F.count("*").alias("pages"))
     common = (counted.groupBy("host", "h").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages)
@@ -117,7 +142,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
     lost = (lines.join(common, "h").groupBy(F.col("id").alias(mark + "id"))
             .agg(F.collect_set("h").alias(mark + "lost")))
     joined = (docs.join(lost, F.col(id_col).eqNullSafe(my("id")), "left")
-              .withColumn(mark + "lines", line_array(text))
+              .withColumn(mark + "lines", all_lines)
               .withColumn(mark + "kept", F.when(my("lost").isNull(), my("lines")).otherwise(
                   F.filter(my("lines"), lambda x: ~F.array_contains(my("lost"), F.xxhash64(host, x))))))
     if keep_whole:
@@ -126,7 +151,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
         joined = joined.withColumn(mark + "kept", F.when(whole, my("lines")).otherwise(my("kept")))
     mine = {"n_lines": F.size(my("lines")).cast("long"),
             "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, *mine)]
+    rest = [F.col(f"`{c}`") for c in columns if c not in (text_col, *mine)]
     out = F.array_join(my("kept"), "\n")
     if verbatim:
         left = F.filter(_raw_lines(text), lambda x: (_trimmed(x) == "") |

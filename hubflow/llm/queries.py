@@ -54,9 +54,9 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without its host's boilerplate."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return (linededup.drop_boilerplate(pages, "page_id", linededup.url_host(F.col("url")),
-                                       linededup.html_lines(F.col("html")))
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id", linededup.url_host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    return (linededup.drop_boilerplate(pages, "page_id", F.col("host"), F.col("text"))
             .select("page_id", "text", "n_lines", "n_dropped"))
 
 

@@ -249,6 +249,16 @@ def test_line_dedup_stage_keeps_white_space(spark):
     assert got["text"] == code and got["n_chars"] == len(code)
 
 
+def test_html_lines_as_the_plain_markup(spark):
+    parts = ["<p>", "a b", "<", ">", "<!--", "-->", "<SCRIPT x>", "</Script >", "<style>", "</style\n>", "<scripty>", "</script",
+             linededup._NOT_HERE, "\n", "<!-->"]
+    rng = np.random.default_rng(5)
+    rows = [("".join(rng.choice(parts, size=rng.integers(0, 12))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "html string")
+    plain = F.regexp_replace("html", linededup._MARKUP, "\n")
+    assert df.filter(linededup.html_lines(F.col("html")) != plain).count() == 0
+
+
 def test_html_lines(spark):
     df = spark.createDataFrame([("<p>a<br>b</p><!-- <p>x --><script>var t='</p>';</script><STYLE>q{}</style>c", )], "h string")
     text = df.select(linededup.html_lines(F.col("h")).alias("t")).first()["t"]
