@@ -162,3 +162,21 @@ def test_similar_vectors_with_text_ids(spark):
 def test_session_keeps_the_given_master(spark):
     assert session.get_session().sparkContext.master == spark.sparkContext.master
     assert "spark.master" not in str(session.get_session.__code__.co_consts)
+
+
+def test_journey_tasks_follow_the_lines(spark, tmp_path, monkeypatch):
+    import datetime
+    from hubflow.operators.journeys import with_successor
+    from hubflow.sources import tables
+    day = datetime.date(2024, 1, 1)
+    lines = [(i % 97, i % 11, i % 5, i % 7 + 1, float(i % 13 + 1), day + datetime.timedelta(days=i % 9))
+             for i in range(2000)] + [(None, 1, 1, 1, 1.0, day)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                 "l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, day) for k in range(97)], "o_orderkey long, o_orderdate date").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    build = lambda: with_successor(tables.journeys_long(spark, str(tmp_path)))
+    whole = sorted(map(repr, build().collect()))
+    monkeypatch.setattr(tables, "TASK_LINES", 100)
+    assert build().rdd.getNumPartitions() == 21       # of 100 lines each, not one of all
+    assert sorted(map(repr, build().collect())) == whole
