@@ -4,15 +4,16 @@ Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 decides what goes on. All but the last return the columns of ``documents``:
 
 1. toxicity         documents scored 0.7 or more go
-2. line_dedup       lines on too many pages of their source go, equal texts being
-                    one page; ``n_chars`` follows the text
+2. line_dedup       lines on too many pages of their source go; the documents
+                    of a near-duplicate component are one page, as are equal
+                    texts; ``n_chars`` follows the text
 3. near_duplicates  of every near-duplicate component the smallest id stays
 4. decontamination  documents that contain a benchmark item go
 5. packing          every document left gets its length bucket and batch
 
 Null texts pass the filters as empty texts. Copies make no line boilerplate,
-and a document that would lose a fifth of its characters keeps them, so the
-third stage meets every group of copies and near copies with its text. Lines that stay keep their white space.
+and a document whose lines would all go keeps them, so the third stage meets
+every group of copies with its text. Lines that stay keep their white space.
 Documents
 without shingles are no duplicates of each other. Rows that repeat a doc_id
 leave the third stage as one row. Rows without doc_id are documents of their
@@ -32,10 +33,6 @@ from hubflow.llm import decontaminate, linededup, ngram_join, packing, toxicity
 from hubflow.session import cut_lineage, ensure_checkpoint_dir
 
 
-#: share of a document's characters from which repeated lines are no boilerplate
-MOSTLY = 0.2
-
-
 def _release(spark: SparkSession) -> None:
     """Let go of the shuffle files of stages whose plans nobody holds any more."""
     gc.collect()
@@ -65,13 +62,19 @@ def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrite texts without the lines that their source repeats in texts that are no copies.
 
-    Equal texts of a source are one page. A document that would lose MOSTLY of its
-    characters or more is itself a copy or near copy rather than a page with
-    boilerplate, and goes on whole to the next stage."""
+    The near copies of a source are one page, and so are its equal texts without
+    words. Every other document loses its repeated lines, whatever their share."""
     _release(spark)
     rows, key = _with_key(docs)
-    out = linededup.drop_boilerplate(rows, key, F.col("source"), F.col("text"), page=F.md5("text"),
-                                    keep_whole=True, keep_from=MOSTLY, verbatim=True)
+    copies = ngram_join.link_components(rows.select(key, "text"), key)
+    # documents without shingles belong to no component: equal ones are one page
+    blank = rows.join(copies.filter("n_shingles = 0").select(key), key, "left_semi")
+    groups = (copies.filter("n_shingles > 0").select(key, F.col("component_id").cast("string").alias("page"))
+              .unionByName(blank.select(key, F.coalesce(F.md5("text"), F.lit("")).alias("page"))))
+    groups = cut_lineage(groups)
+    _release(spark)
+    out = linededup.drop_boilerplate(rows, key, F.col("source"), F.col("text"), groups=groups,
+                                    keep_whole=True, verbatim=True)
     changed = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

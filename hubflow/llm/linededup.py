@@ -95,45 +95,43 @@ def line_array(text: Column) -> Column:
 
 def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
                      text_col: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, page: Column | None = None,
-                     keep_whole: bool = False, keep_from: float = 1.0, verbatim: bool = False) -> DataFrame:
+                     min_pages: int = MIN_PAGES, groups: DataFrame | None = None,
+                     keep_whole: bool = False, verbatim: bool = False) -> DataFrame:
     """``docs`` with ``text_col`` rewritten, plus ``n_lines`` and ``n_dropped``.
 
     ``id_col`` must tell documents apart; rows that repeat an id lose the
-    same lines. Rows of a host with equal ``page`` (their group of near copies,
-    say) count as one page with the lines of all, for a line's count and the
-    host's alike. With
-    ``keep_whole`` a document that would lose the share ``keep_from`` of its
-    lines' characters, or more, keeps them all.
+    same lines. ``groups`` (id, group), one row per id, makes the documents of
+    a group (of near copies, say) one page of their host with the lines of all,
+    for a line's count and the host's alike. With ``keep_whole`` a document
+    that would lose every line keeps them all.
     With ``verbatim`` white space and blank lines stay: lines are compared
     trimmed, but a text goes on as it is except for the lines it loses.
     """
-    by_page = page is not None
     mark = "b_"                       # own names start with what no input column does
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark = "_" + mark
     my = lambda name: F.col(mark + name)
     columns = docs.columns
     host = F.coalesce(host, F.lit(""))
-    page = F.lit(None).cast("string") if page is None else page
     if not verbatim:
         # pages are parsed once: their lines are written, beside the columns that stay
         rest = [F.col(f"`{c}`") for c in columns if c not in (text_col, "n_lines", "n_dropped") or c == id_col]
-        docs = cut_lineage(docs.select(*rest, host.alias(mark + "host"), page.alias(mark + "page"),
+        docs = cut_lineage(docs.select(*rest, host.alias(mark + "host"),
                                        line_array(text).alias(mark + "lines")))
-        host, page, all_lines = my("host"), my("page"), my("lines")
+        host, all_lines = my("host"), my("lines")
     else:
         all_lines = line_array(text)
     # the line hashes are written too, for counting and for the lost lines
     hashed = cut_lineage(docs.select(
-        F.col(id_col).alias("id"), host.alias("host"), page.alias("g"),
+        F.col(id_col).alias("id"), host.alias("host"),
         F.array_distinct(F.transform(all_lines, lambda x: F.xxhash64(host, x))).alias("hs")))
     lines = hashed.select("id", "host", F.explode("hs").alias("h"))
-    if not by_page:
+    if groups is None:
         counted, hosts = lines, hashed
     else:
-        counted = hashed.select("host", "g", F.explode("hs").alias("h")).distinct()
-        hosts = hashed.select("host", "g").distinct()
+        grouped = hashed.join(groups.toDF("id", "g"), "id")
+        counted = grouped.select("host", "g", F.explode("hs").alias("h")).distinct()
+        hosts = grouped.select("host", "g").distinct()
     pages = hosts.groupBy("host").agg(F.count("*").alias("pages"))
     common = (counted.groupBy("host", "h").agg(F.count("*").alias("n"))
               .filter(F.col("n") >= min_pages)
@@ -146,9 +144,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str, host: Column, text: Column,
               .withColumn(mark + "kept", F.when(my("lost").isNull(), my("lines")).otherwise(
                   F.filter(my("lines"), lambda x: ~F.array_contains(my("lost"), F.xxhash64(host, x))))))
     if keep_whole:
-        size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-        whole = size(my("kept")) <= (1 - keep_from) * size(my("lines"))
-        joined = joined.withColumn(mark + "kept", F.when(whole, my("lines")).otherwise(my("kept")))
+        joined = joined.withColumn(mark + "kept", F.when(F.size(my("kept")) == 0, my("lines")).otherwise(my("kept")))
     mine = {"n_lines": F.size(my("lines")).cast("long"),
             "n_dropped": (F.size(my("lines")) - F.size(my("kept"))).cast("long")}
     rest = [F.col(f"`{c}`") for c in columns if c not in (text_col, *mine)]

@@ -249,6 +249,18 @@ def test_line_dedup_stage_keeps_white_space(spark):
     assert got["text"] == code and got["n_chars"] == len(code)
 
 
+def test_line_dedup_stage_drops_whatever_the_share(spark):
+    menu = "menu line that every page of this source repeats at its very top"
+    copy = "\n".join(f"passage {j} of a long text that was copied with few changes into other pages" for j in range(30))
+    rows = [(i, f"{menu}\nown words {i} {i * 7}", "s", 0) for i in range(20)]
+    rows += [(100 + i, f"{copy}\nending {i}", "s", 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, df, SF).collect()}
+    assert len(got) == 32
+    assert all(got[i]["text"] == f"own words {i} {i * 7}" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(20))
+    assert all(got[100 + i]["text"] == f"{copy}\nending {i}" for i in range(12))   # near copies are one page
+
+
 def test_html_lines_as_the_plain_markup(spark):
     parts = ["<p>", "a b", "<", ">", "<!--", "-->", "<SCRIPT x>", "</Script >", "<style>", "</style\n>", "<scripty>", "</script",
              linededup._NOT_HERE, "\n", "<!-->"]
