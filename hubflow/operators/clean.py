@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hubflow.functions.columns import rename_map, to_number
+from hubflow.functions.columns import LEG_PREFIXES, rename_map, to_number
 
 
 def is_id_column(name: str) -> bool:
@@ -42,17 +42,33 @@ def clean_wide(raw: DataFrame, compat: bool = False,
     elif others:
         counts = renamed.agg(*[F.count(to_number(c)).alias(c) for c in others]).first()
         numeric = {c for c in others if counts[c] > 0}
-    exprs = []
+    def leg_of(c):
+        return next((leg for leg in LEG_PREFIXES.values() if c.startswith(f"{leg}_")), "")
+
+    # one expression per leg and kind over an array of its columns: written out
+    # per column, the generated method is beyond what the JVM compiles
+    kinds = {"id": _clean_id, "number": _clean_number}
+    groups, exprs = {}, []
     for c in renamed.columns:
-        col = F.col(f"`{c}`")
-        if is_id_column(c):
-            s = F.regexp_replace(col.cast("string"), r"\?", "0")
-            exprs.append(F.when(s.isNull() | (s == "nan"), F.lit("0")).otherwise(s).alias(c))
-        elif c in numeric:
-            exprs.append(F.coalesce(to_number(col), F.lit(0.0)).cast("bigint").alias(c))
+        kind = "id" if is_id_column(c) else "number" if c in numeric else None
+        if kind is None:
+            exprs.append(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("0")).alias(c))
         else:
-            exprs.append(F.coalesce(col.cast("string"), F.lit("0")).alias(c))
-    return renamed.select(*exprs)
+            members = groups.setdefault((kind, leg_of(c)), [])
+            exprs.append(F.col(f"_{kind}_{leg_of(c)}")[len(members)].alias(c))
+            members.append(F.col(f"`{c}`").cast("string"))
+    arrays = [F.transform(F.array(*members), kinds[kind]).alias(f"_{kind}_{leg}")
+              for (kind, leg), members in groups.items()]
+    return renamed.select("*", *arrays).select(*exprs)
+
+
+def _clean_id(s: F.Column) -> F.Column:
+    s = F.translate(s, "?", "0")
+    return F.when(s.isNull() | (s == "nan"), F.lit("0")).otherwise(s)
+
+
+def _clean_number(s: F.Column) -> F.Column:
+    return F.coalesce(to_number(s), F.lit(0.0)).cast("bigint")
 
 
 def clean_summary(spark: SparkSession, clean: DataFrame) -> DataFrame:
