@@ -11,8 +11,12 @@ O(n * k) instead of the O(n^2) point pairs of the Euclidean form.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,38 +299,130 @@ def _features(points: DataFrame, vec: str):
     return points.withColumn("features", array_to_vector(as_vector(vec)))
 
 
-def kmeans_fit(points: DataFrame, k: int, n_init: int = 10, seed: int = 42,
-               vec: str = "embedding", max_iter: int = 300, parallelism: int = 8):
-    """KMeans with ``n_init`` restarts; keeps the lowest training cost."""
+STEP = 1 << 17       # distances of a Lloyd step held at once
+MOVED = 1e-4         # a fit has converged when no centre moves farther (Spark's default)
+
+
+@dataclass
+class KMeansFit:
+    """Centres of a fit and the cost of its last assignment."""
+    centres: np.ndarray
+    summary: SimpleNamespace
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+
+def _starts(points: DataFrame, todo: list[tuple[int, int]], vec: str, parallelism: int) -> list[np.ndarray]:
+    """Spark's k-means|| centres for every (k, seed)."""
     from pyspark.ml.clustering import KMeans
     from concurrent.futures import ThreadPoolExecutor
     feats = _features(points, vec).persist()
 
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(feats)
-        return m.summary.trainingCost, i, m
+    def start(job):
+        k, seed = job
+        m = KMeans(k=k, seed=seed, maxIter=0, featuresCol="features", predictionCol="cluster").fit(feats)
+        return np.array(m.clusterCenters())
 
-    # restarts are independent Spark jobs: submit them concurrently, as
+    # starts are independent Spark jobs: submit them concurrently, as
     # spark.ml's own tuning does with its ``parallelism`` parameter
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallelism))) as ex:
-        fits = list(ex.map(fit, range(n_init)))
+    with ThreadPoolExecutor(max_workers=max(1, min(len(todo), parallelism))) as ex:
+        out = list(ex.map(start, todo))
     feats.unpersist()
-    return min(fits, key=lambda t: (t[0], t[1]))[2]
+    return out
+
+
+def _assigned_sums(x: DataFrame, centres: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(cost, rows, sums) of the clusters of every set of centres, from one pass:
+    a task returns one row, whose size follows the centres only."""
+    dim = centres[0].shape[1]
+    shift = centres[0][0]
+    flat = np.concatenate(centres) - shift
+    ends = np.cumsum([len(c) for c in centres])
+    shared = x.sparkSession.sparkContext.broadcast((flat, ends, shift))
+
+    def run(batches):
+        flat, ends, shift = shared.value
+        half = (flat * flat).sum(1) / 2
+        cost, n, sums = np.zeros(len(ends)), np.zeros(len(flat)), np.zeros(flat.shape)
+        for b in batches:
+            rows = np.asarray(b.column("x").flatten(), dtype=float).reshape(-1, dim) - shift
+            step = max(1, STEP // len(flat))
+            for lo in range(0, len(rows), step):
+                r = rows[lo:lo + step]
+                d = half - r @ flat.T
+                hot = np.zeros(d.shape)
+                every, xx = np.arange(len(r)), (r * r).sum(1)
+                for i, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                    at = start + d[:, start:end].argmin(1)
+                    hot[every, at] = 1.0
+                    cost[i] += np.maximum(xx + 2 * d[every, at], 0).sum()
+                n += hot.sum(0)
+                sums += hot.T @ r
+        yield pa.record_batch([pa.array([np.concatenate([cost, n, sums.ravel()])], pa.list_(pa.float64()))], names=["s"])
+
+    total = sum(np.array(r["s"]) for r in x.mapInArrow(run, "s array<double>").collect())
+    shared.unpersist()
+    cost, n, sums = np.split(total, [len(centres), len(centres) + len(flat)])
+    sums = sums.reshape(flat.shape) + n[:, None] * shift
+    return [(float(c), n[lo:hi], sums[lo:hi]) for c, lo, hi in zip(cost, [0, *ends[:-1]], ends)]
+
+
+def kmeans_fits(points: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, vec: str = "embedding",
+                max_iter: int = 300, parallelism: int = 8) -> dict[int, KMeansFit]:
+    """KMeans for every k, each the best of ``n_init`` starts by training cost.
+
+    Lloyd's steps on all rows. All fits that still move share a step's pass over
+    the points, so there are as many passes as the longest fit has steps, not as
+    all fits together have."""
+    from hubflow.session import cut_lineage, drop_tables
+    todo = [(k, seed + i) for k in ks for i in range(n_init)]
+    centres = _starts(points, todo, vec, parallelism)
+    costs = [0.0] * len(todo)
+    table = cut_lineage(points.select(as_vector(vec).alias("x")))
+    # few tasks keep what a pass sends to the driver small, however many files there are
+    x = table.coalesce(4 * table.sparkSession.sparkContext.defaultParallelism)
+    moving = list(range(len(todo)))
+    for _ in range(max_iter):
+        still = []
+        for i, (cost, n, sums) in zip(moving, _assigned_sums(x, [centres[i] for i in moving])):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[i])
+            if (((new - centres[i]) ** 2).sum(1) > MOVED ** 2).any():
+                still.append(i)
+            costs[i], centres[i] = cost, new
+        moving = still
+        if not moving:
+            break
+    drop_tables(table)
+    best: dict[int, int] = {}
+    for i, (k, _) in enumerate(todo):
+        if k not in best or costs[i] < costs[best[k]]:
+            best[k] = i
+    return {k: KMeansFit(centres[i], SimpleNamespace(trainingCost=costs[i])) for k, i in best.items()}
+
+
+def kmeans_fit(points: DataFrame, k: int, n_init: int = 10, seed: int = 42,
+               vec: str = "embedding", max_iter: int = 300, parallelism: int = 8) -> KMeansFit:
+    """KMeans with ``n_init`` restarts; keeps the lowest training cost."""
+    return kmeans_fits(points, [k], n_init, seed, vec, max_iter, parallelism)[k]
 
 
 def kmeans_best_k(points: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42,
                   vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """For k = 2..max_k the inertia and squared-Euclidean silhouette; the
     first k with the best silhouette is flagged ``best``."""
+    from hubflow.operators.coreset import label_points
+    from hubflow.session import cut_lineage
     from pyspark.ml.evaluation import ClusteringEvaluator
     spark = points.sparkSession
     rows = []
-    for k in range(2, max_k + 1):
-        m = kmeans_fit(points, k, n_init, seed, vec)
-        pred = m.transform(_features(points, vec))
-        sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(pred)
-        rows.append((k, float(m.summary.trainingCost), float(sil)))
+    if max_k >= 2:
+        fits = kmeans_fits(points, list(range(2, max_k + 1)), n_init, seed, vec)
+        labelled = cut_lineage(label_points(points, {k: m.centres for k, m in fits.items()}, vec, key))
+        feats = _features(labelled, vec)
+        for k, m in fits.items():
+            sil = ClusteringEvaluator(featuresCol="features", predictionCol=f"k{k}").evaluate(feats)
+            rows.append((k, float(m.summary.trainingCost), float(sil)))
     best_k = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
     return spark.createDataFrame(
         [(k, c, s, k == best_k) for k, c, s in rows],
@@ -339,9 +435,10 @@ def kmeans_clusters(points: DataFrame, k: int, n_init: int = 20, seed: int = 42,
     return assign_clusters(kmeans_fit(points, k, n_init, seed, vec), points, vec, key)
 
 
-def assign_clusters(model, points: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """Cluster of every point under a fitted model."""
-    return model.transform(_features(points, vec)).select(key, F.col("cluster").cast("int"))
+def assign_clusters(model: KMeansFit, points: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """Cluster of every point under a fit."""
+    from hubflow.operators.coreset import label_points
+    return label_points(points, {0: model.centres}, vec, key).select(key, F.col("k0").alias("cluster"))
 
 
 # --------------------------------------------------- hub cluster analysis
