@@ -239,16 +239,44 @@ def link_embedding(nodes: DataFrame, edges: DataFrame, cols: list[str], dim: int
     """G10 (+G9, G12): link-prediction embedding. Returns ``(embeddings, loss)``.
 
     Propagated features are whitened first; a fit that has not converged after
-    ``max_iter`` steps warns with its gradient norm."""
+    ``max_iter`` steps warns with its gradient norm. Pairs carry the whitened
+    features of both ends, which are fewer than the propagated ones."""
     h = cut_lineage(propagate(nodes, edges, cols, hops, key))
     p = len(cols) * (hops + 1)
+    w = whitening(h, p)
+    if not w.shape[1]:                       # all features are 0: one direction of zeros
+        w = np.zeros((p, 1))
     pos = edges.select("src", "dst").distinct().withColumn("y", F.lit(1.0))
     neg = negative_edges(nodes, edges, seed, key).withColumn("y", F.lit(0.0))
-    pairs = pos.unionByName(neg)
-    hi = h.select(F.col(key).alias("src"), F.col("h").alias("hi"))
-    hj = h.select(F.col(key).alias("dst"), F.col("h").alias("hj"))
-    return _fitted_embedding(h, pairs.join(hi, "src").join(hj, "dst").select("y", "hi", "hj"),
-                             p, dim, weight_decay, max_iter, key)
+    pairs = whitened_pairs(h, pos.unionByName(neg), w, key)
+    r = range(w.shape[1])
+    both = pairs.select("y", *[F.array(*[F.col(f"{c}{i}") for i in r]).alias(f"h{c}") for c in "ij"])
+    fit = _checked(fit_bilinear(both, w.shape[1], np.eye(w.shape[1]), weight_decay, max_iter), max_iter)
+    drop_tables(pairs)
+    m = np.eye(w.shape[1]) if fit is None else fit.matrix
+    return _project(h, w, m, dim, key), [] if fit is None else fit.loss
+
+
+def whitened_pairs(h: DataFrame, pairs: DataFrame, w: np.ndarray, key: str) -> DataFrame:
+    """Written (y, i0, i1, .., j0, j1, ..): the whitened features x = h W of both
+    ends of ``pairs`` (src, dst, y). Nodes are whitened before they meet their
+    pairs, and every feature is a column of its own, in which the values that
+    pairs of one node repeat are stored once."""
+    p, r = w.shape
+    kind = h.schema[key].dataType.simpleString()
+    names = [f"x{i}" for i in range(r)]
+
+    def run(batches):
+        for b in batches:
+            x = np.asarray(b.column("h").flatten(), dtype=float).reshape(-1, p) @ w
+            yield pa.record_batch([b.column(key), *[pa.array(np.ascontiguousarray(c)) for c in x.T]], names=[key, *names])
+
+    x = cut_lineage(h.select(key, "h").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in names)))
+    end = lambda c, side: x.select(F.col(key).alias(c), *[F.col(f"x{i}").alias(f"{side}{i}") for i in range(r)])
+    out = cut_lineage(pairs.join(end("src", "i"), "src").join(end("dst", "j"), "dst").select(
+        "y", *[f"{c}{i}" for c in "ij" for i in range(r)]))
+    drop_tables(x)
+    return out
 
 
 def _fitted_embedding(h: DataFrame, pairs: DataFrame, p: int, dim: int, reg: float, max_iter: int, key: str):

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from hubflow.operators import cluster as C
 from hubflow.operators.coreset import choose_k, label_points
 from hubflow.operators.embed import link_embedding
-from hubflow.operators.journeys import transits
+from hubflow.operators.journeys import transits, written_successors
 from hubflow.operators.kpis import hub_kpis
 from hubflow.operators.network import embed_edges, graph_nodes, node_features, standardise
 from hubflow.operators.silhouette import euclidean_samples
-from hubflow.session import cut_lineage
+from hubflow.session import cut_lineage, drop_tables
 
 NODE_COLS = ["total_outgoing_flow", "avg_segment_delay", "std_delay"]
 
@@ -41,8 +41,10 @@ def hub_flow(long_df: DataFrame, dim: int = 16, hops: int = 5, max_k: int = 10,
     ``labels``, ``clustered``, ``interpretation``, ``boundary`` (by the fitted
     centres) and ``poor_fit``.
     """
-    kpis = cut_lineage(hub_kpis(long_df, sort=False))
-    edges = cut_lineage(embed_edges(transits(long_df, "embed")))
+    lines = written_successors(long_df)
+    kpis = cut_lineage(hub_kpis(lines, sort=False))
+    edges = cut_lineage(embed_edges(transits(None, "embed", successors=lines)))
+    drop_tables(lines)
     nodes = standardise(node_features(graph_nodes(edges), kpis), NODE_COLS)
     embeddings, loss = link_embedding(nodes, edges, NODE_COLS, dim=dim, hops=hops, seed=seed)
     embeddings = cut_lineage(embeddings)
